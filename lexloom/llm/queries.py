@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, simhash, topk
+from lexloom.llm import decontaminate, packing, simhash, topk, warc
 from lexloom.llm.common import table
 
 
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -24,15 +30,29 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_dictionary": op2_warc_dictionary,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_topk": op6_exact_topk,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_dictionary": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        b AS (SELECT page_id, body, hex, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT) AS g FROM p),
+        d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, hex,
+                     array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g[(j // 4 + 1)::BIGINT] >> (15 - 5 * (j % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+                     max(page_id) OVER (PARTITION BY hex) AS first FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
     "op5_benchmark_decontamination": f"""
         WITH i AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark),
         iw AS (SELECT DISTINCT item, least(10, len(w)) AS span, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS win
