@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, packing, simhash, topk, warc
-from lexloom.llm.common import table
+from lexloom.llm import decontaminate, katz, packing, simhash, topk, warc
+from lexloom.llm.common import fold_of, table
 
 
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of("doc_id", 7) != 2)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,6 +40,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_dictionary": op2_warc_dictionary,
+    "op3_katz_backoff": op3_katz_backoff,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_topk": op6_exact_topk,
