@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import attribution, decontaminate, katz, licenses, packing, simhash, topk, warc
+from lexloom.llm import attribution, decontaminate, katz, licenses, packing, rules, simhash, topk, warc
 from lexloom.llm.common import fold_of, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    documents = documents.select("doc_id", "text")
+    model = rules.train(documents, labels.select("doc_id", "quality"), usable=fold_of("doc_id", 4) != 2)
+    scored = rules.quality_scores(documents, model)
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -48,6 +56,7 @@ def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_warc_dictionary": op2_warc_dictionary,
     "op3_katz_backoff": op3_katz_backoff,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
