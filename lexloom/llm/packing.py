@@ -9,6 +9,7 @@ by best fit, first into the space that the patterns leave. The plan works on (le
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,54 +30,81 @@ BINS, PATTERN_DOCS, ROUNDS = 32, 3, 400
 SHARES = (1.0, 0.95, 0.9, 0.75, 0.5)
 
 
-class ChunkEncoder:
-    """Token ids of texts, by encoding each distinct run between ASCII white space once.
+#: The vocabulary's own splitting rule on texts of ASCII and Latin-1 letters; other texts go to the tokenizer whole.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
+OTHER = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 
-    The vocabulary's normalizer and pre-tokenizer never join characters across white space and drop it, so the ids of a
-    text are those of its runs. The memo starts anew when large.
+
+class Encoder(dict):
+    """Token ids of texts: each distinct piece that the splitting rule gives is encoded once and kept.
+
+    Pieces never depend on what is around them, so a text's ids are those of its pieces. The memo is the worker's; when
+    large it starts anew, so memory stays bounded.
     """
 
     LIMIT = 600_000
+    _own: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        to_bytes = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        #: Letters as the byte-level alphabet writes them.
+        self.letters = {i: to_bytes(chr(i))[0][0] for i in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-        self.used = 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(sizes.sum())
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids)), np.uint32)])
-        self.ids[self.used : need] = np.fromiter((i for x in ids for i in x), np.uint32, need - self.used)
-        n = len(self.at)
-        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.ends = np.concatenate([self.ends, self.used + np.cumsum(sizes)])
-        self.used = need
+        self.clear()
+        self.flat: list[int] = []
+        self.start: list[int] = []
+        self.size: list[int] = []
+        self.arrays = None
+
+    def __missing__(self, piece: str) -> int:
+        if piece.isalpha():
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        n = self[piece] = len(self.start)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat += ids
+        return n
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.at) > self.LIMIT:
+        if len(self) > self.LIMIT:
             self.reset()
-        split = [t.split() for t in texts]
-        new = {c for words in split for c in words if c not in self.at}
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for words in split:
-            which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            start, size = self.ends[which], self.ends[which + 1] - self.ends[which]
-            total = int(size.sum())
-            out.append(self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)] if total else np.zeros(0, np.uint32))
-        return out
+        which: list[np.ndarray] = []
+        whole: dict[int, np.ndarray] = {}
+        for i, t in enumerate(texts):
+            text = t.decode()
+            if "<|" in text or not text.isascii() and OTHER.search(text):
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                which.append(np.zeros(0, np.int64))
+            else:
+                pieces = PIECES.findall(text.lower())
+                which.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
+        if self.arrays is None or len(self.arrays[0]) < len(self.start):
+            self.arrays = tuple(_grown(old, new, kind) for old, new, kind in zip(self.arrays or (None,) * 3, (self.start, self.size, self.flat), (np.int64, np.int64, np.uint32), strict=True))
+        starts, sizes, flat = self.arrays
+        every = np.concatenate([*which, np.zeros(0, np.int64)])
+        size = sizes[every] if len(every) else every
+        end = np.cumsum(size)
+        ids = flat[np.repeat(starts[every] - (end - size), size) + np.arange(int(size.sum()))] if len(every) else np.zeros(0, np.uint32)
+        cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(w) for w in which])]).astype(np.int64)].tolist()
+        return [whole[i] if i in whole else ids[s:e] for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False))]
+
+
+def _grown(old: np.ndarray | None, values: list[int], kind: type) -> np.ndarray:
+    return np.array(values, kind) if old is None else np.concatenate([old, np.array(values[len(old) :], kind)])
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -205,7 +233,7 @@ def tokenized_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capac
     names = ["k", "piece", "start", "length", "crc", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = ChunkEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for b in batches:
