@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexloom.llm.common import raw, tune
+from lexloom.llm.common import packed, raw, tune, unpacked
 from lexloom.llm.words import alnum_words
 
 SHINGLE = 5
@@ -153,17 +154,30 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
         yield build_block(held, window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, spans: bool = False) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated[, spans]) for each row of ``docs``.
+class _Finder:
+    """Finds the windows of all blocks in documents; it is sent to executors with references to the blocks only."""
 
-    Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``window`` consecutive words of an item; an
-    item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit.
-    ``spans`` adds the merged hit spans as [first word, end) pairs.
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
 
-    A null or empty text has no words and no hit; items without words match nothing; a null item id counts as an empty
-    name. Repeated rows come out as often as they come in. With an empty benchmark nothing is hit. Other columns are not
-    read. Items are handled in blocks of BLOCK_BYTES of text, so no broadcast grows with the benchmark.
-    """
+    def matchers(self) -> Matcher | None:
+        return Matcher(self.blocks[0].value) if len(self.blocks) == 1 else None
+
+    def __call__(self, matcher: Matcher | None, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+        """Spans and items of each document. Of several blocks one is in memory at a time."""
+        found: list[tuple[list, set]] = [([], set()) for _ in documents]
+        for block in self.blocks:
+            m = matcher or Matcher(block.value)
+            for (spans, names), words in zip(found, documents, strict=True):
+                new, more = m.hits(words)
+                spans += new
+                names |= more
+            if matcher is None:
+                block.__dict__.pop("_value", None)
+        return found
+
+
+def _finder(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int) -> _Finder:
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col(text).cast("string").alias("t"))
@@ -173,22 +187,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         order_by_rarity(block, count_shingles(texts, sent))
         sent.unpersist()
         ready.append(spark.sparkContext.broadcast(block))
+    return _Finder(ready)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, spans: bool = False) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated[, spans]) for each row of ``docs``.
+
+    Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``window`` consecutive words of an item; an
+    item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit.
+    ``spans`` adds the merged hit spans as [first word, end) pairs.
+
+    A null or empty text has no words and no hit; items without words match nothing; a null item id counts as an empty
+    name. Repeated rows come out as often as they come in. With an empty benchmark nothing is hit. Other columns are not
+    read. Items are handled in blocks of BLOCK_BYTES of text, so no broadcast grows with the benchmark.
+    """
+    find = _finder(docs, benchmark, text, item, item_text, window)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(ready[0].value) if len(ready) == 1 else None
+        matchers = find.matchers()
         for b in batches:
             words = [alnum_words(t) for t in raw(b.column(1))]
-            found: list[tuple[list, set]] = [([], set()) for _ in words]
-            for block in ready:  # one block in memory at a time
-                m = matcher or Matcher(block.value)
-                for (old, names), w in zip(found, words, strict=True):
-                    new, more = m.hits(w)
-                    old += new
-                    names |= more
-                if matcher is None:
-                    block.__dict__.pop("_value", None)
+            found = find(matchers, words)
             hit, merged, digests = [], [], []
             for where, names in found:
                 joined: list[list[int]] = []
@@ -206,3 +227,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     out = rows.mapInArrow(run, f"k {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>")
     out = out.withColumnRenamed("k", key)
     return out if spans else out.drop("spans")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs (see ``contamination``), with their columns as they are."""
+    find = _finder(docs, benchmark, text, item, item_text, window)
+    rows = packed(docs, t=F.col(text).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = find.matchers()
+        for b in batches:
+            clean = [not spans for spans, _ in find(matchers, [alnum_words(t) for t in raw(b.column(1))])]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(clean, pa.bool_()))], names=["row"])
+
+    return unpacked(rows.mapInArrow(run, T.StructType([rows.schema["row"]])), docs.columns)

@@ -189,16 +189,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each near-duplicate component stays: that with the smallest key.
 
-    Of repeated rows with that key one stays. Rows with a null key stay if their component has no other key, one of them.
+    A key names one document: of repeated rows with that key one stays. Of rows with a null key one stays if a component
+    has no other key. Columns come out as they are.
     """
     scratch = Scratch(docs.sparkSession, "simhash-drop")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))  # noqa: E731  a null key has a name of its own
     found = near_duplicates(docs, key, text, width)
-    keep = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("_id"))
-    keep = scratch.save(keep, "keep")
-    rows = packed(docs, id=F.col(key))
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    once = kept.withColumn("turn", F.xxhash64("row")).groupBy("id").agg(F.min_by("row", "turn").alias("row"))
-    return unpacked(once, docs.columns)
+    keep = scratch.save(found.select(name("component_id").alias("id")).distinct(), "keep")
+    kept = packed(docs, id=name(key)).join(keep, "id", "left_semi").withColumn("turn", F.xxhash64("row"))
+    return unpacked(kept.groupBy("id").agg(F.min_by("row", "turn").alias("row")), docs.columns)
