@@ -7,6 +7,7 @@ includes U+001C to U+001F, word characters are letters, numbers and the undersco
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def text_of(c: Column | str) -> Column:
     return F.coalesce(_c(c), F.lit(""))
 
@@ -54,8 +60,12 @@ def _solid(c: Column | str) -> Column:
 
 
 def _share(c: Column | str, pattern: str) -> Column:
-    solid = _solid(c)
-    return F.when(solid == 0, F.lit(0.0)).otherwise(F.regexp_count(text_of(c), F.lit(pattern)) / solid)
+    return let(_solid(c), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(text_of(c), F.lit(pattern)) / n))
+
+
+def _scripts(c: Column | str, f: Callable[[Column, Column], Column]) -> Column:
+    """f of the Indic and the Latin share."""
+    return let(F.struct(indic_ratio(c).alias("i"), latin_ratio(c).alias("a")), lambda x: f(x["i"], x["a"]))
 
 
 def indic_ratio(c: Column | str) -> Column:
@@ -70,9 +80,8 @@ def latin_ratio(c: Column | str) -> Column:
 
 def detect_language(c: Column | str, default: Column | str = "as") -> Column:
     """mixed, as or en by script shares of at least 0.15; else ``default`` (a language, or a column of them)."""
-    indic, latin = indic_ratio(c), latin_ratio(c)
     other = F.lit(default) if isinstance(default, str) else default
-    return F.when((indic >= 0.15) & (latin >= 0.15), "mixed").when(indic >= 0.15, "as").when(latin >= 0.15, "en").otherwise(other)
+    return _scripts(c, lambda i, a: F.when((i >= 0.15) & (a >= 0.15), "mixed").when(i >= 0.15, "as").when(a >= 0.15, "en").otherwise(other))
 
 
 def detect_query_language(c: Column | str) -> Column:
@@ -88,9 +97,8 @@ def garbage_ratio(c: Column | str) -> Column:
 
 def quality_score(c: Column | str) -> Column:
     """0 to 1: half for the main script's share, 0.3 for freedom from garbage, 0.2 for both scripts' share; 0 if short."""
-    indic, latin = indic_ratio(c), latin_ratio(c)
-    score = F.lit(0.5) * F.greatest(indic, latin) + F.lit(0.3) * (F.lit(1.0) - garbage_ratio(c) * 10) + F.lit(0.2) * F.least(latin + indic, F.lit(1.0))
-    return F.when(F.length(strip(text_of(c))) < 5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    score = lambda i, a: F.lit(0.5) * F.greatest(i, a) + F.lit(0.3) * (F.lit(1.0) - garbage_ratio(c) * 10) + F.lit(0.2) * F.least(a + i, F.lit(1.0))
+    return F.when(F.length(strip(text_of(c))) < 5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _scripts(c, score))))
 
 
 @F.pandas_udf(T.StringType())
@@ -149,7 +157,7 @@ def looks_like_questions(c: Column | str) -> Column:
 
 def is_embeddable(c: Column | str, min_quality: float, composed: bool = False) -> Column:
     """Whether a text is worth a vector: at least 10 characters and, once cleaned, of the quality asked for."""
-    return (F.length(strip(text_of(c))) >= 10) & (quality_score(clean_text(c, composed=composed)) >= min_quality)
+    return (F.length(strip(text_of(c))) >= 10) & (let(clean_text(c, composed=composed), quality_score) >= min_quality)
 
 
 def normalize_line(c: Column | str) -> Column:
@@ -184,7 +192,7 @@ def sentences(c: Column | str) -> Column:
 def token_count(c: Column | str) -> Column:
     """Tokens, by length: 2.5 characters each where Indic letters are at least as many as Latin ones, else 4; 0 if empty."""
     n = F.length(text_of(c))
-    size = F.when(indic_ratio(c) >= latin_ratio(c), F.lit(2.5)).otherwise(F.lit(4.0))
+    size = _scripts(c, lambda i, a: F.when(i >= a, F.lit(2.5)).otherwise(F.lit(4.0)))
     return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n / size).cast("int")))
 
 
