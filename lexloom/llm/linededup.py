@@ -178,7 +178,7 @@ def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
 def _deduped(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Each row of ``docs`` packed in ``row``, with t (text), lines (to delete, or null) and kept (the text without them)."""
-    found = shared_lines(docs, key, text, min_words).select(F.col("k").alias("fk"), F.col("u").alias("fu"), "lines")
+    found = shared_lines(docs, key, text, min_words).select(F.col("k").alias("fk"), F.col("u").alias("fu"), "lines").hint("merge")
     rows = packed(docs, k=F.col(key), t=F.col(text).cast("string"), u=F.xxhash64(F.col(text).cast("string")))
     rows = rows.join(found, F.col("k").eqNullSafe(F.col("fk")) & (F.col("u") == F.col("fu")), "left")
     split = rows.select("row", "k", "t", "lines", F.split("t", "\n").alias("every"))
