@@ -199,5 +199,5 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))  # noqa: E731  a null key has a name of its own
     found = near_duplicates(docs, key, text, width)
     keep = scratch.save(found.select(name("component_id").alias("id")).distinct(), "keep")
-    kept = packed(docs, id=name(key)).join(keep, "id", "left_semi").withColumn("turn", F.xxhash64("row"))
+    kept = packed(docs, id=name(key)).join(keep.hint("merge"), "id", "left_semi").withColumn("turn", F.xxhash64("row"))
     return unpacked(kept.groupBy("id").agg(F.min_by("row", "turn").alias("row")), docs.columns)
