@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches handed to Python hold at most so many rows, so that long texts stay small in memory.
-BATCH_ROWS = 512
+#: Arrow batches handed to Python hold at most so many rows and bytes, so that long texts stay small in memory.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+#: Whether Spark removes a query's shuffle files when it ends, rather than when the driver's memory is short.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +41,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        """Write a table and read it back. The shuffles behind it are removed at once: nothing reads them again."""
+        conf, writer = self.spark.conf, df.write.mode("overwrite")
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:
@@ -56,6 +65,7 @@ class Scratch:
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,39 +26,43 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, raw, tune
 from lexloom.llm.words import WordHash, space_words
 
-#: Good-Turing applies up to this count; tokens in a chunk.
-CUT, CHUNK, RESERVE, MINIMUM = 5, 2_000_000, 0.5, 2
+#: Good-Turing applies up to this count; tokens in a chunk; buckets of keys for each shuffle partition.
+CUT, CHUNK, RESERVE, MINIMUM, SPREAD = 5, 500_000, 0.5, 2, 4
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Hashes of the end of a text and of what precedes its first word; no word contains a space.
 END, START = WordHash().of([b" end", b" start"])
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, of 56 bits: they are most of what is sent, and each byte less counts."""
     h = (a * _C1 ^ b) * _C2
-    return h ^ (h >> np.uint64(31))
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(8)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as byte planes of their differences; the high planes are zeros and compress."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+def _squeeze(a: np.ndarray) -> bytes:
+    """An array as compressed byte planes: high bytes of small numbers are alike and take next to no room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def _expand(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys by their differences."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unplanes(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_expand(data, np.uint64), dtype=np.uint64)
 
 
-def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
+def _buckets(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
     """Ends of the runs of ascending keys that belong to each of n equal ranges of the key space."""
-    bounds = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+    bounds = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
@@ -81,7 +86,7 @@ def encode(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
             nonlocal keys, hashes, flags, total, made
             vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
             sizes = np.array([len(h) for h in hashes], np.uint32)
-            cells = [part << 24 | made, keys, np.packbits(flags).tobytes(), sizes.tobytes(), pack_keys(vocabulary), _planes(words.astype(np.uint32))]
+            cells = [part << 24 | made, keys, np.packbits(flags).tobytes(), sizes.tobytes(), pack_keys(vocabulary), _squeeze(words.astype(np.uint32))]
             made += 1
             keys, hashes, flags, total = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names=["p", "k", "train", "sizes", "vocabulary", "words"])
@@ -108,7 +113,7 @@ class Chunk:
         self.keys, n = row["k"], len(row["k"])
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=n).astype(bool)
         sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-        words = unpack_keys(row["vocabulary"])[_unplanes(row["words"], np.uint32)]
+        words = unpack_keys(row["vocabulary"])[_expand(row["words"], np.uint32)]
         self.sizes = sizes + 1
         ends = np.cumsum(self.sizes) - 1
         self.doc = np.repeat(np.arange(n), self.sizes)
@@ -135,10 +140,10 @@ def requests(encoded: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 for order, (keys, _, counts) in enumerate(Chunk(row).asked, 1):
-                    cut = _buckets(keys, buckets).tolist()
+                    cut = _buckets(keys, buckets, 64 if order == 1 else 56).tolist()
                     spans = [(i, s, e) for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([order * buckets + i for i, _, _ in spans], pa.int32()), pa.array([order] * len(spans), pa.int32()), pa.array([row["p"]] * len(spans), pa.int64()), pa.array([pack_keys(keys[s:e]) for _, s, e in spans], pa.binary()), pa.array([_planes(counts[s:e]) for _, s, e in spans], pa.binary())],
+                        [pa.array([order * buckets + i for i, _, _ in spans], pa.int32()), pa.array([order] * len(spans), pa.int32()), pa.array([row["p"]] * len(spans), pa.int64()), pa.array([pack_keys(keys[s:e]) for _, s, e in spans], pa.binary()), pa.array([_squeeze(counts[s:e]) for _, s, e in spans], pa.binary())],
                         names=["bucket", "ord", "p", "keys", "counts"],
                     )
 
@@ -158,19 +163,19 @@ def _count(minimum: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["p"])
         keys = [unpack_keys(r["keys"]) for r in rows]
-        counts = [_unplanes(r["counts"], np.uint32) for r in rows]
+        counts = [_expand(r["counts"], np.uint32) for r in rows]
         distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
         bucket, order = rows[0]["bucket"], rows[0]["ord"]
         stats = [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, CUT + 2))]
         kept = total >= (minimum if order > 1 else 1)
-        out = [("model", bucket, order, -1, pack_keys(distinct[kept]), _planes(total[kept]), b"", stats)]
+        out = [("model", bucket, order, -1, pack_keys(distinct[kept]), _squeeze(total[kept]), b"", stats)]
         answer, owner = np.where(kept, total, 0).astype(np.uint64), np.zeros(len(at), bool)
         owner[first] = kept
         place = 0
         for r, k in zip(rows, keys, strict=True):
             mine = slice(place, place + len(k))
-            out.append(("answer", bucket, order, r["p"], b"", _planes(answer[at[mine]]), np.packbits(owner[mine]).tobytes(), None))
+            out.append(("answer", bucket, order, r["p"], b"", _squeeze(answer[at[mine]]), np.packbits(owner[mine]).tobytes(), None))
             place += len(k)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ANSWER_TYPES, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
 
@@ -210,7 +215,7 @@ class Unigrams:
 SECOND = "kind string, p long, bucket int, keys binary, seen binary, lower binary, k array<{}>, held binary, tokens binary, known binary, base binary, partial binary, backs binary, contexts binary"
 
 
-def _evaluate(stats: dict[int, list[int]], texts: int, buckets: int):
+def _evaluate(stats: dict[int, list[int]], texts: int, buckets: int, minimum: int):
     """A chunk with its counts: what is known of each text's score, and the sums for the backoff weights.
 
     kind texts: the score but for the backoff weights, and the contexts whose weights are to be added. kind sums: for
@@ -227,7 +232,7 @@ def _evaluate(stats: dict[int, list[int]], texts: int, buckets: int):
             counts, own = [], []
             for order in (1, 2):
                 mine = [r for r in got if r["ord"] == order]
-                parts = [_unplanes(r["counts"], np.uint64) for r in mine]
+                parts = [_expand(r["counts"], np.uint64) for r in mine]
                 counts.append(np.concatenate(parts))
                 own.append(np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(x)) for r, x in zip(mine, parts, strict=True)]).astype(bool))
             (words, word_at, _), (grams, gram_at, _) = c.asked
@@ -250,13 +255,17 @@ def _evaluate(stats: dict[int, list[int]], texts: int, buckets: int):
             partial = np.where(direct, np.log10(np.where(direct, p2[gram_at], 1.0)), np.log10(p1[word_at]))
             n = len(c.keys)
             sums = [np.bincount(c.doc, weights=x, minlength=n) for x in (base, partial)]
-            back = ~direct
-            texts_row = ("texts", row["p"], -1, None, None, None, c.keys, np.packbits(~c.train).tobytes(), c.sizes.tobytes(), np.bincount(c.doc, weights=known > 0, minlength=n).astype(np.int64).tobytes(), sums[0].tobytes(), sums[1].tobytes(), np.bincount(c.doc[back], minlength=n).astype(np.uint32).tobytes(), _planes(c.context_at[back].astype(np.uint32)))
+            # a context seen less often than a bigram must be has no kept bigram: its weight is 1, and nothing is asked
+            ask = before >= minimum
+            place = np.cumsum(ask) - 1
+            back = ~direct & ask[c.context_at]
+            texts_row = ("texts", row["p"], -1, None, None, None, c.keys, np.packbits(~c.train).tobytes(), c.sizes.tobytes(), np.bincount(c.doc, weights=known > 0, minlength=n).astype(np.int64).tobytes(), sums[0].tobytes(), sums[1].tobytes(), np.bincount(c.doc[back], minlength=n).astype(np.uint32).tobytes(), _squeeze(place[c.context_at[back]].astype(np.uint32)))
             rows.append(texts_row)
-            cut = _buckets(c.context, buckets).tolist()
+            context, seen, lower = c.context[ask], seen[ask], lower[ask]
+            cut = _buckets(context, buckets).tolist()
             for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
                 if e > s:
-                    rows.append(("sums", row["p"], i, pack_keys(c.context[s:e]), seen[s:e].tobytes(), lower[s:e].tobytes(), *[None] * 8))
+                    rows.append(("sums", row["p"], i, pack_keys(context[s:e]), _squeeze(seen[s:e]), _squeeze(lower[s:e]), *[None] * 8))
         return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
@@ -275,13 +284,13 @@ def _weigh(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["p"])
     keys = [unpack_keys(r["keys"]) for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    seen, lower = (np.bincount(at, weights=np.concatenate([np.frombuffer(r[x]) for r in rows]), minlength=len(distinct)) for x in ("seen", "lower"))
+    seen, lower = (np.bincount(at, weights=np.concatenate([_expand(r[x], np.float64) for r in rows]), minlength=len(distinct)) for x in ("seen", "lower"))
     weight = np.log10((1 - seen) / (1 - lower))
     some = seen > 0
-    out = [("model", rows[0]["bucket"], -1, pack_keys(distinct[some]), weight[some].tobytes())]
+    out = [("model", rows[0]["bucket"], -1, pack_keys(distinct[some]), _squeeze(weight[some]))]
     place = 0
     for r, k in zip(rows, keys, strict=True):
-        out.append(("answer", r["bucket"], r["p"], None, weight[at[place : place + len(k)]].tobytes()))
+        out.append(("answer", r["bucket"], r["p"], None, _squeeze(weight[at[place : place + len(k)]])))
         place += len(k)
     return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=[x.split()[0] for x in WEIGHTS.split(", ")])
 
@@ -291,10 +300,10 @@ def _finish(total: int):
         given = sorted(weights.to_pylist(), key=lambda r: r["bucket"])
         tables = []
         for row in texts.to_pylist():
-            weight = np.concatenate([np.frombuffer(r["weights"]) for r in given if r["p"] == row["p"]])
+            weight = np.concatenate([np.zeros(0), *(_expand(r["weights"], np.float64) for r in given if r["p"] == row["p"])])
             n = len(row["k"])
             backs = np.frombuffer(row["backs"], np.uint32).astype(np.int64)
-            more = np.bincount(np.repeat(np.arange(n), backs), weights=weight[_unplanes(row["contexts"], np.uint32)], minlength=n)
+            more = np.bincount(np.repeat(np.arange(n), backs), weights=weight[_expand(row["contexts"], np.uint32)], minlength=n)
             held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=n).astype(bool)
             cols = [pa.array(row["k"], texts.schema.field("k").type.value_type), pa.array(held), pa.array(np.frombuffer(row["tokens"], np.int64)), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(np.frombuffer(row["base"])), pa.array(np.frombuffer(row["partial"]) + more)]
             tables.append(pa.Table.from_arrays(cols, names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
@@ -316,7 +325,7 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = scratch.save(encode(docs, key, text, train), "chunks")
     kind = chunks.schema["k"].dataType.elementType.simpleString()
     counted = scratch.save(requests(chunks, buckets).groupBy("bucket").applyInArrow(_count(minimum), ANSWERS), "counts", by=("kind",))
@@ -325,7 +334,7 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     stats = {o: stats.get(o, [0] * (CUT + 3)) for o in (1, 2)}
     texts = docs.filter(F.coalesce(train, F.lit(False))).count()
     answers = counted.filter("kind = 'answer'").select("p", "ord", "bucket", "counts", "own")
-    second = scratch.save(chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_evaluate(stats, texts, buckets), SECOND.format(kind)), "second", by=("kind",))
+    second = scratch.save(chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_evaluate(stats, texts, buckets, minimum), SECOND.format(kind)), "second", by=("kind",))
     scratch.drop("chunks")
     weights = second.filter("kind = 'sums'").select("bucket", "p", "keys", "seen", "lower").groupBy("bucket").applyInArrow(_weigh, WEIGHTS)
     weights = scratch.save(weights, "weights", by=("kind",)).filter("kind = 'answer'").select("p", "bucket", "weights")

@@ -37,7 +37,7 @@ def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
 class WordHash(dict):
     """Memo of 64-bit word hashes; it starts anew when large, so memory stays bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
