@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.files import eval_cases
+
 
 def case_metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """(case_id, recall_at_5, recall_at_10, mrr, hit) of each case (case_id, expected_chunk_ids).
@@ -25,3 +30,14 @@ def evaluate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     m = case_metrics(cases, hits)
     mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
     return m.agg(mean("recall_at_5", "recall_at_5"), mean("recall_at_10", "recall_at_10"), mean("mrr", "mrr"), mean("hit", "hit_rate"), F.count("*").alias("n_cases"))
+
+
+def run_benchmark(spark: SparkSession, path: str, retrieve: Callable[[DataFrame], DataFrame]) -> dict[str, float]:
+    """Metrics of the cases in a file by a function from cases to hits, and the mean latency of a case in milliseconds.
+
+    All cases are asked in one batch, so the latency is the batch's over the number of cases.
+    """
+    cases = eval_cases(spark, path)
+    began = time.perf_counter()
+    row = evaluate(cases, retrieve(cases)).first().asDict()
+    return row | {"latency_ms": 1000 * (time.perf_counter() - began) / max(row["n_cases"], 1)}

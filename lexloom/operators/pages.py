@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULT, EngineConfig
@@ -137,3 +137,9 @@ def document_language(pages: DataFrame, config: EngineConfig = DEFAULT) -> DataF
     share = lambda c: F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col(c) / F.col("n"))
     i, a = share("i") >= MIN_SHARE, share("a") >= MIN_SHARE
     return sums.select("doc_id", F.when(i & a, "mixed").when(i, "as").when(a, "en").otherwise(config.default_language).alias("language"))
+
+
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` cleaned the older way: lines are kept in all pages of a document of which one looks like questions."""
+    keep = F.max(X.looks_like_questions("text")).over(Window.partitionBy("doc_id"))
+    return pages.withColumn("_keep", keep).withColumn("text", X.clean_text_simple("text", lines=F.col("_keep"))).select(*pages.columns)

@@ -21,6 +21,28 @@ def raw_documents(spark: SparkSession, path: str, pattern: str = "*", most: int
     return files.filter(F.col("length").between(1, most)).select(F.sha2("path", 256).alias("doc_id"), "path", "length", "content")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def put_object(spark: SparkSession, path: str, content: bytes) -> str:
+    """Write one object in whatever store the path names; its path."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Remove one object; whether it was there."""
+    fs, p = _path(spark, path)
+    return fs.delete(p, False)
+
+
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """Text files as pages, parted by form feeds: (doc_id, page_number, text, confidence, engine, indic_ratio)."""
     files = raw_documents(spark, path, "*.txt")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import scalars as S
-from lexloom.operators import blocks, chunks, headers, pages, sections
+from lexloom.operators import blocks, chunks, headers, ocr, pages, sections
 from lexloom.plans.ingest import index_rows, ingest
 from lexloom.schema import PAGES
 from lexloom.sources.connectors import HashingEmbedder
-from lexloom.sources.files import IndexTable, eval_cases, pdf_pages, raw_documents, text_pages
+from lexloom.sources.files import IndexTable, delete_object, eval_cases, pdf_pages, put_object, raw_documents, text_pages
 from lexloom.streaming.ingest import ingest_stream, stream_pages
 
 
@@ -202,3 +202,32 @@ def test_classify(spark):
     p = make(spark, [("d", 1, "- item\nWhy?\nplain", None), ("d", 2, "", [block("heading", "1) looks like a list", 2)])])
     got = [(r.page_number, r.block_type) for r in blocks.explode_blocks(blocks.classify_blocks(p)).orderBy("page_number", "block_ord").collect()]
     assert got == [(1, "list"), (1, "qa"), (1, "paragraph"), (2, "list")]
+
+
+def test_recognize(spark):
+    class Engine:
+        def __init__(self, language, text, confidence):
+            self.said = (f"{text} {language}", confidence)
+
+        def read(self, image, page):
+            return self.said
+
+    rows = [("d", 1, "A text layer that is long enough to keep.", b""), ("d", 2, "", b""), ("e", 1, "", b"")]
+    images = spark.createDataFrame(rows, "doc_id string, page_number int, text string, image binary")
+    got = {(r.doc_id, r.page_number): (r.text, r.confidence, r.engine) for r in ocr.recognize(images, lambda k: Engine(k, "read", 0.9)).collect()}
+    assert got == {("d", 1): (rows[0][2], 0.98, "text_layer"), ("d", 2): ("read en", 0.9, "primary"), ("e", 1): ("read devanagari", 0.9, "primary")}
+    again = ocr.recognize(images, lambda k: Engine(k, "read", 0.1), lambda k: Engine(k, "better", 0.7)).filter("doc_id = 'e'").first()
+    assert (again.text, again.engine) == ("better devanagari", "fallback")
+    assert {r.doc_id: r.confidence for r in ocr.average_confidence(ocr.recognize(images, lambda k: Engine(k, "x", 0.9))).collect()}["e"] == 0.9
+
+
+def test_older_cleaning(spark):
+    p = spark.createDataFrame([("q", 1, "Why?\nHow?\nSo.\n"), ("q", 2, "a\nb"), ("p", 1, "a\nb")], "doc_id string, page_number int, text string")
+    got = {(r.doc_id, r.page_number): r.text for r in pages.clean_pages(p).collect()}
+    assert got == {("q", 1): "Why?\nHow?\nSo.", ("q", 2): "a\nb", ("p", 1): "a b"}
+
+
+def test_objects(spark, tmp_path):
+    path = put_object(spark, f"file://{tmp_path}/deep/a.bin", b"\x00\xff")
+    assert (tmp_path / "deep/a.bin").read_bytes() == b"\x00\xff"
+    assert delete_object(spark, path) and not delete_object(spark, path)

@@ -77,6 +77,12 @@ def test_evaluation(spark):
     assert evaluation.evaluate(cases.limit(0), h).first().mrr == 0.0
 
 
+def test_benchmark_file(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"query": "a", "expected_chunk_ids": ["x", "y"]}]')
+    got = evaluation.run_benchmark(spark, str(tmp_path / "c.json"), lambda c: c.select("case_id", F.lit("y").alias("chunk_id"), F.lit(2).alias("rank")))
+    assert (got["recall_at_5"], got["mrr"], got["hit_rate"]) == (0.5, 0.5, 1.0) and got["latency_ms"] > 0
+
+
 def test_plan(spark):
     c = chunk_table(spark)
     q = spark.createDataFrame([("q1", "capital  of the region", "u0"), ("q2", "tea hills", "u1"), ("q3", "???", "u9")], "query_id string, text string, user_id string")
