@@ -14,13 +14,13 @@ def register(spark: SparkSession, prefix: str = "lx_") -> list[str]:
     from lexloom.functions import text as X
 
     solid = f"length(regexp_replace(coalesce(t, ''), {_s(X.WHITE)}, ''))"
-    share = lambda p: f"CASE WHEN {solid} = 0 THEN 0.0D ELSE regexp_count(coalesce(t, ''), {_s(p)}) / {solid} END"
+    share = lambda p: f"CASE WHEN {solid} = 0 THEN 0.0D ELSE length(regexp_replace(coalesce(t, ''), {_s('[^' + p[1:-1] + ']+')}, '')) / {solid} END"
     n = prefix
     bodies = {
         "indic_ratio(t STRING) RETURNS DOUBLE": share(X.INDIC),
         "latin_ratio(t STRING) RETURNS DOUBLE": share(X.LATIN),
         "garbage_ratio(t STRING) RETURNS DOUBLE": f"CASE WHEN coalesce(t, '') = '' THEN 0.0D ELSE regexp_count(t, {_s(f'[{X.GARBAGE}]')}) / length(t) END",
-        "strip(t STRING) RETURNS STRING": f"regexp_replace(t, {_s(X.WHITE + '+' + chr(92) + 'z|' + chr(92) + 'A' + X.WHITE[4:] + '+')}, '')",
+        "strip(t STRING) RETURNS STRING": f"btrim(t, {_s(X.WHITE_CHARS)})",
         "language(t STRING) RETURNS STRING": f"CASE WHEN {n}indic_ratio(t) >= 0.15 AND {n}latin_ratio(t) >= 0.15 THEN 'mixed' WHEN {n}indic_ratio(t) >= 0.15 THEN 'as' WHEN {n}latin_ratio(t) >= 0.15 THEN 'en' ELSE 'as' END",
         "token_count(t STRING) RETURNS INT": f"CASE WHEN coalesce(t, '') = '' THEN 0 ELSE greatest(1, cast(floor(length(t) / CASE WHEN {n}indic_ratio(t) >= {n}latin_ratio(t) THEN 2.5D ELSE 4.0D END) AS int)) END",
         "quality(t STRING) RETURNS DOUBLE": f"CASE WHEN length({n}strip(coalesce(t, ''))) < 5 THEN 0.0D ELSE greatest(0.0D, least(1.0D, 0.5D * greatest({n}indic_ratio(t), {n}latin_ratio(t)) + 0.3D * (1.0D - {n}garbage_ratio(t) * 10) + 0.2D * least({n}latin_ratio(t) + {n}indic_ratio(t), 1.0D))) END",

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Character classes that results depend on.
-WHITE = r"(?U)[\s\x1c-\x1f]"
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INDIC = r"[\u0980-\u09ff]"
 LATIN = "[A-Za-z]"
 GARBAGE = r"\u0141-\u0142\u02a2\u02e4\u034b-\u034e\u0350-\u0361"
@@ -47,7 +48,7 @@ def text_of(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends; null stays null."""
-    return F.regexp_replace(_c(c), rf"{WHITE}+\z|\A{WHITE[4:]}+", "")
+    return F.btrim(_c(c), F.lit(WHITE_CHARS))
 
 
 def words(c: Column | str) -> Column:
@@ -55,38 +56,47 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(text_of(c), f"{WHITE}+"), lambda w: w != "")
 
 
-def _solid(c: Column | str) -> Column:
-    return F.length(F.regexp_replace(text_of(c), WHITE, ""))
+def count_of(c: Column | str, characters: str) -> Column:
+    """How many characters of a class ``[...]`` a text has: what is left without runs of others."""
+    return F.length(F.regexp_replace(text_of(c), f"[^{characters[1:-1]}]+", ""))
 
 
-def _share(c: Column | str, pattern: str) -> Column:
-    return let(_solid(c), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(text_of(c), F.lit(pattern)) / n))
+def shape(c: Column | str) -> Column:
+    """(n, solid, indic, latin): characters of a text, those that are not white space, and those of either script."""
+    t = text_of(c)
+    return F.struct(F.length(t).alias("n"), F.length(F.translate(t, WHITE_CHARS, "")).alias("solid"), count_of(t, INDIC).alias("indic"), count_of(t, LATIN).alias("latin"))
 
 
-def _scripts(c: Column | str, f: Callable[[Column, Column], Column]) -> Column:
-    """f of the Indic and the Latin share."""
-    return let(F.struct(indic_ratio(c).alias("i"), latin_ratio(c).alias("a")), lambda x: f(x["i"], x["a"]))
+def share_of(m: Column, script: str) -> Column:
+    """A script's share of the solid characters of a shape; 0 if there are none."""
+    return F.when(m["solid"] == 0, F.lit(0.0)).otherwise(m[script] / m["solid"])
 
 
 def indic_ratio(c: Column | str) -> Column:
     """Share of Bengali-Assamese characters among those that are not white space; 0 if there are none."""
-    return _share(c, INDIC)
+    return let(shape(c), lambda m: share_of(m, "indic"))
 
 
 def latin_ratio(c: Column | str) -> Column:
     """Share of unaccented Latin letters among characters that are not white space; 0 if there are none."""
-    return _share(c, LATIN)
+    return let(shape(c), lambda m: share_of(m, "latin"))
+
+
+def language_of(m: Column, default: Column | str = "as") -> Column:
+    """The language of a text by its shape, as ``detect_language``."""
+    other = F.lit(default) if isinstance(default, str) else default
+    i, a = share_of(m, "indic") >= 0.15, share_of(m, "latin") >= 0.15
+    return F.when(i & a, "mixed").when(i, "as").when(a, "en").otherwise(other)
 
 
 def detect_language(c: Column | str, default: Column | str = "as") -> Column:
     """mixed, as or en by script shares of at least 0.15; else ``default`` (a language, or a column of them)."""
-    other = F.lit(default) if isinstance(default, str) else default
-    return _scripts(c, lambda i, a: F.when((i >= 0.15) & (a >= 0.15), "mixed").when(i >= 0.15, "as").when(a >= 0.15, "en").otherwise(other))
+    return let(shape(c), lambda m: language_of(m, default))
 
 
 def detect_query_language(c: Column | str) -> Column:
     """en if Latin letters outweigh Indic ones, else as (so for empty texts and digits)."""
-    return F.when(latin_ratio(c) > indic_ratio(c), "en").otherwise("as")
+    return F.when(count_of(c, LATIN) > count_of(c, INDIC), "en").otherwise("as")
 
 
 def garbage_ratio(c: Column | str) -> Column:
@@ -95,10 +105,16 @@ def garbage_ratio(c: Column | str) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(text_of(c), F.lit(f"[{GARBAGE}]")) / n)
 
 
+def quality_of(m: Column, c: Column | str) -> Column:
+    """The quality of a text by its shape and itself, as ``quality_score``."""
+    i, a = share_of(m, "indic"), share_of(m, "latin")
+    score = F.lit(0.5) * F.greatest(i, a) + F.lit(0.3) * (F.lit(1.0) - garbage_ratio(c) * 10) + F.lit(0.2) * F.least(a + i, F.lit(1.0))
+    return F.when(F.length(strip(text_of(c))) < 5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
 def quality_score(c: Column | str) -> Column:
     """0 to 1: half for the main script's share, 0.3 for freedom from garbage, 0.2 for both scripts' share; 0 if short."""
-    score = lambda i, a: F.lit(0.5) * F.greatest(i, a) + F.lit(0.3) * (F.lit(1.0) - garbage_ratio(c) * 10) + F.lit(0.2) * F.least(a + i, F.lit(1.0))
-    return F.when(F.length(strip(text_of(c))) < 5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _scripts(c, score))))
+    return let(shape(c), lambda m: quality_of(m, c))
 
 
 @F.pandas_udf(T.StringType())
@@ -113,9 +129,9 @@ def compose(c: Column | str) -> Column:
 
 def _unwrap(c: Column, drop: str) -> Column:
     """Without the characters of class ``drop``, line ends as LF, words that a hyphen parts at a line end joined."""
-    c = F.regexp_replace(c, f"[{drop}]", "")
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    return F.regexp_replace(c, rf"({WORD})[-\xad]\n({WORD})", "$1$2")
+    c = F.regexp_replace(F.regexp_replace(c, f"[{drop}]", ""), r"\r\n?", "\n")
+    joined = lambda x: F.regexp_replace(x, rf"({WORD})[-\xad]\n({WORD})", "$1$2")
+    return let(c, lambda x: F.when(x.contains("-\n") | x.contains("\xad\n"), joined(x)).otherwise(x))
 
 
 def normalize(c: Column | str, composed: bool = False) -> Column:
@@ -189,11 +205,16 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(text_of(c), SENTENCE_GAP), strip), lambda x: x != "")
 
 
+def tokens_of(m: Column) -> Column:
+    """Tokens of a text by its shape, as ``token_count``; both scripts' shares have one denominator, so counts compare."""
+    size = F.when(m["indic"] >= m["latin"], F.lit(2.5)).otherwise(F.lit(4.0))
+    return F.when(m["n"] == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(m["n"] / size).cast("int")))
+
+
 def token_count(c: Column | str) -> Column:
     """Tokens, by length: 2.5 characters each where Indic letters are at least as many as Latin ones, else 4; 0 if empty."""
-    n = F.length(text_of(c))
-    size = _scripts(c, lambda i, a: F.when(i >= a, F.lit(2.5)).otherwise(F.lit(4.0)))
-    return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n / size).cast("int")))
+    t = text_of(c)
+    return let(F.struct(F.length(t).alias("n"), count_of(t, INDIC).alias("indic"), count_of(t, LATIN).alias("latin")), tokens_of)
 
 
 def content_hash(c: Column | str) -> Column:

@@ -171,7 +171,8 @@ def measure(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | No
     else:
         of = confidences.select(F.col("doc_id"), F.col("page_number").alias("page_start"), F.col("confidence").alias("ocr_confidence"))
         out = out.join(of, ["doc_id", "page_start"], "left")
-    return out.select(*drafts.columns, X.token_count("text").alias("token_count"), X.quality_score("text").alias("quality_score"), X.detect_language("text", F.col("_default")).alias("language"), X.content_hash("text").alias("text_hash"), "ocr_confidence")
+    measured = X.let(X.shape("text"), lambda m: F.struct(X.tokens_of(m).alias("token_count"), X.quality_of(m, "text").alias("quality_score"), X.language_of(m, F.col("_default")).alias("language")))
+    return out.select(*drafts.columns, measured.alias("_m"), X.content_hash("text").alias("text_hash"), "ocr_confidence").select(*drafts.columns, "_m.*", "text_hash", "ocr_confidence")
 
 
 def exact_dedup(chunks: DataFrame, order: list[str | Column], key: str = "doc_id", hash_column: str = "text_hash") -> DataFrame:

@@ -132,8 +132,8 @@ def merge_parsed_with_ocr(parsed: DataFrame, ocr: DataFrame, composed: bool = Fa
 
 def document_language(pages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(doc_id, language) by script shares of all pages together; counts are summed, texts never joined."""
-    solid = F.length(F.regexp_replace(X.text_of("text"), X.WHITE, ""))
-    sums = pages.groupBy("doc_id").agg(F.sum(F.regexp_count(X.text_of("text"), F.lit(X.INDIC))).alias("i"), F.sum(F.regexp_count(X.text_of("text"), F.lit(X.LATIN))).alias("a"), F.sum(solid).alias("n"))
+    shapes = pages.select("doc_id", X.shape("text").alias("m"))
+    sums = shapes.groupBy("doc_id").agg(F.sum("m.indic").alias("i"), F.sum("m.latin").alias("a"), F.sum("m.solid").alias("n"))
     share = lambda c: F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col(c) / F.col("n"))
     i, a = share("i") >= MIN_SHARE, share("a") >= MIN_SHARE
     return sums.select("doc_id", F.when(i & a, "mixed").when(i, "as").when(a, "en").otherwise(config.default_language).alias("language"))

@@ -52,7 +52,8 @@ def detect_sections(pages: DataFrame, strict: bool = True) -> DataFrame:
     texts = F.transform(F.array_sort(F.collect_list(F.when(X.strip(X.text_of("text")) != "", F.struct("page_number", "text")))), lambda x: x["text"])
     flat = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "blocks"))), lambda x: flat_text(x["blocks"])), lambda x: x != ""), "\n\n")
     span = pages.select("doc_id", "page_number", "text", F.transform(F.coalesce("blocks", F.array().cast(pages.schema["blocks"].dataType)), lambda b: b).alias("blocks"))
-    whole = span.join(made.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.coalesce(F.nullif(flat, F.lit("")), F.array_join(texts, "\n\n")).alias("text"), F.min("page_number").cast("int").alias("page_start"), F.max("page_number").cast("int").alias("page_end"))
-    whole = whole.select("doc_id", F.lit(0).alias("section_no"), F.lit(None).cast("string").alias("section_title"), F.array().cast("array<string>").alias("heading_path"), "text", "page_start", "page_end", F.array().cast(pages.schema["blocks"].dataType).alias("blocks"))
+    filled = F.max(F.exists(blocks, lambda b: X.strip(X.text_of(b["text"])) != ""))
+    whole = span.groupBy("doc_id").agg(filled.alias("filled"), F.coalesce(F.nullif(flat, F.lit("")), F.array_join(texts, "\n\n")).alias("text"), F.min("page_number").cast("int").alias("page_start"), F.max("page_number").cast("int").alias("page_end"))
+    whole = whole.filter("NOT filled").select("doc_id", F.lit(0).alias("section_no"), F.lit(None).cast("string").alias("section_title"), F.array().cast("array<string>").alias("heading_path"), "text", "page_start", "page_end", F.array().cast(pages.schema["blocks"].dataType).alias("blocks"))
     section_id = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":s:"), F.col("section_no").cast("string")), 256)
     return made.unionByName(whole).withColumn("section_id", section_id).select("doc_id", "section_no", "section_id", "section_title", "heading_path", "text", "page_start", "page_end", "blocks")

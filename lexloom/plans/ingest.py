@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +23,25 @@ class Ingested:
     languages: DataFrame
     statuses: DataFrame
 
+    def release(self) -> None:
+        """Free what is kept for the branches of the plan that share it."""
+        self.pages.unpersist()
+        self.sections.unpersist()
+
 
 def ingest(parsed: DataFrame, ocr: DataFrame | None = None, tables: DataFrame | None = None, bookmarks: DataFrame | None = None, config: EngineConfig = DEFAULT) -> Ingested:
     """Profile, tables, OCR merge, furniture, block types, sections and chunks of parsed pages.
 
     A document without chunks has the status failed and the error "No embeddable text extracted", others are ready.
+    Typed pages and sections are kept (in memory, else on disk) as several branches read them; ``release`` frees them.
     """
     profiles = pages.profile(parsed, tables, bookmarks)
     found = pages.route_tables(parsed, tables, profiles) if tables is not None else parsed
     if ocr is None:
         ocr = found.select("doc_id", "page_number", "text", "confidence").limit(0)
     merged = pages.merge_parsed_with_ocr(found, ocr)
-    typed = blocks.classify_blocks(headers.strip_headers(merged, strip_blocks=not config.strict))
-    split = sections.detect_sections(typed, config.strict)
+    typed = blocks.classify_blocks(headers.strip_headers(merged, strip_blocks=not config.strict)).persist(StorageLevel.MEMORY_AND_DISK)
+    split = sections.detect_sections(typed, config.strict).persist(StorageLevel.MEMORY_AND_DISK)
     languages = pages.document_language(typed, config)
     confidences = ocr.select("doc_id", "page_number", "confidence")
     made = chunks.chunk_sections(split, languages, confidences, config)

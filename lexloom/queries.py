@@ -30,8 +30,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: A table under this size is likely one row group, which one task would read and compute on alone.
+SMALL_BYTES = 256 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; the texts of a small one are dealt out to all cores, larger ones stay parted as their files are."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "embeddings") and size < SMALL_BYTES else rows
 
 
 #: Texts of documents, some made Indic, garbled, short or with questions, so that every rule decides both ways.

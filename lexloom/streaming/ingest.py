@@ -23,7 +23,8 @@ def ingest_stream(pages: DataFrame, index: IndexTable, user_id: str, make: Calla
     runs again after a failure leaves the same table. A document's pages must come in one batch."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = index_rows(ingest(batch, config=config).chunks, user_id, make, config)
-        index.replace_documents(rows)
+        made = ingest(batch, config=config)
+        index.replace_documents(index_rows(made.chunks, user_id, make, config))
+        made.release()
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
