@@ -286,7 +286,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = scratch.save(counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(earlier, F.lit(0)).alias("base")), "base")
     slots = spark.sparkContext.broadcast(_slots(plan_packing(histogram, capacity)))
-    ranked = pieces.join(base, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).select("k", "piece", "start", "length", "crc", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(base.hint("merge"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).select("k", "piece", "start", "length", "crc", (F.col("base") + F.col("nth")).alias("rank"))
     kind = ranked.schema["k"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
