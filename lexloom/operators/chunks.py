@@ -95,31 +95,24 @@ def force_split(unit: Unit, most: int) -> list[Unit]:
     return [*pieces, (kind, " ".join(held))] if held else pieces
 
 
-def pack_units(units: list[Unit], config: EngineConfig = DEFAULT) -> list[Unit]:
-    """Chunks (type of the first unit, text) of units in order, each begun with the tail of the one before.
+def fold_units(units: list[Unit], limit: int, config: EngineConfig = DEFAULT) -> Iterator[list[Unit]]:
+    """Runs of units within the target size, each begun with the tail of the one before; units of ``limit`` stand alone.
 
-    Strictly the tail is at least one unit, however large, and the sum is not checked again.
+    Strictly the tail is at least one unit, however large, and the sum is not checked again. Units of a tail take the
+    type of its last.
     """
-    chunks: list[Unit] = []
     held: list[tuple[str, str, int]] = []
     total = 0
-
-    def emit(parts: list[tuple[str, str, int]]) -> None:
-        gap = "\n\n" if any(k in S.KEEP_LINES for k, _, _ in parts) else " "
-        text = gap.join(t for _, t, _ in parts).strip()
-        if text:
-            chunks.append((parts[0][0], text))
-
     for kind, text in units:
         size = S.token_count(text)
-        if size >= config.chunk_max:
+        if size >= limit:
             if held:
-                emit(held)
+                yield [u[:2] for u in held]
                 held, total = [], 0
-            emit([(kind, text, size)])
+            yield [(kind, text)]
             continue
         if held and total + size > config.chunk_target:
-            emit(held)
+            yield [u[:2] for u in held]
             tail, carried = [], 0
             for unit in reversed(held):
                 if carried + unit[2] > config.chunk_overlap and (tail or not config.strict):
@@ -132,7 +125,16 @@ def pack_units(units: list[Unit], config: EngineConfig = DEFAULT) -> list[Unit]:
         held.append((kind, text, size))
         total += size
     if held:
-        emit(held)
+        yield [u[:2] for u in held]
+
+
+def pack_units(units: list[Unit], config: EngineConfig = DEFAULT) -> list[Unit]:
+    """Chunks (type of the first unit, text) of units in order; list, question and table units are set off by blank lines."""
+    chunks: list[Unit] = []
+    for run in fold_units(units, config.chunk_max, config):
+        gap = "\n\n" if any(k in S.KEEP_LINES for k, _ in run) else " "
+        if text := gap.join(t for _, t in run).strip():
+            chunks.append((run[0][0], text))
     return chunks
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import scalars as S
-from lexloom.operators import blocks, chunks, headers, ocr, pages, sections
+from lexloom.operators import blocks, chunks, headers, ocr, pages, sections, simple
 from lexloom.plans.ingest import index_rows, ingest
 from lexloom.schema import PAGES
 from lexloom.sources.connectors import HashingEmbedder
@@ -231,3 +231,14 @@ def test_objects(spark, tmp_path):
     path = put_object(spark, f"file://{tmp_path}/deep/a.bin", b"\x00\xff")
     assert (tmp_path / "deep/a.bin").read_bytes() == b"\x00\xff"
     assert delete_object(spark, path) and not delete_object(spark, path)
+
+
+def test_simple_variant(spark):
+    p = spark.createDataFrame([("d", 1, "Intro text here.\n\n1. Title\nbody line\n\nmore."), ("d", 2, "Next title\n"), ("e", 1, " \n")], "doc_id string, page_number int, text string")
+    made = simple.simple_sections(p)
+    got = [(r.doc_id, r.section_no, r.section_title, r.text, r.page_number) for r in made.orderBy("doc_id", "section_no").collect()]
+    assert got == [("d", 0, None, "Intro text here.", 1), ("d", 1, "1. Title", "body line\n\nmore.", 1), ("d", 2, "Next title", "", 2), ("e", 0, None, "", 1)]
+    rows = simple.simple_chunks(made).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.chunk_index, r.text) for r in rows] == [(0, "Intro text here."), (1, "1. Title\nbody line more."), (2, "Next title")]
+    assert simple.simple_units("q1?\nq2？\na2\nplain") == ["q1?", "q2？\na2", "plain"]
+    assert simple.simple_units("One. Two?\n\nThree") == ["One.", "Two?", "Three"]
