@@ -234,7 +234,8 @@ def token_set(c: Column | str) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    both = lambda x: F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"])))
+    return let(F.struct(a.alias("a"), b.alias("b")), both)
 
 
 def preview(c: Column | str, n: int = 180) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,12 @@ class LexicalIndex:
     pattern: str
 
 
-def build_index(chunks: DataFrame, pattern: str = UNICODE_WORDS) -> LexicalIndex:
+def build_index(chunks: DataFrame, pattern: str = UNICODE_WORDS, keep: bool = False) -> LexicalIndex:
+    """The index of chunks (chunk_id, text). ``keep`` holds the postings (in memory, else on disk) for several searches;
+    a large index is better written, by term, and read back."""
     words = chunks.select("chunk_id", analyze("text", pattern).alias("words")).withColumn("length", F.size("words").cast("long"))
-    postings = words.select("chunk_id", "length", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    postings = words.select("chunk_id", "length", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    postings = postings.persist(StorageLevel.MEMORY_AND_DISK) if keep else postings
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = words.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     return LexicalIndex(postings, terms, stats, pattern)
@@ -50,7 +54,7 @@ def bm25_search(queries: DataFrame, index: LexicalIndex, chunks: DataFrame | Non
     tf = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("average")))
     hits = rated.join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * tf).alias("score"))
     if chunks is not None and (seen := scope(queries, chunks)) is not None:
-        asked = [c for c in ("query_id", "user_id", "document_ids") if c in queries.columns]
+        who = [c for c in ("query_id", "user_id", "document_ids") if c in queries.columns]
         owned = [c for c in ("chunk_id", "user_id", "document_id") if c in chunks.columns]
-        hits = hits.join(queries.select(*asked).alias("q"), "query_id").join(chunks.select(*owned).alias("c"), "chunk_id").filter(seen).select("query_id", "chunk_id", "score")
+        hits = hits.join(queries.select(*who).alias("q"), "query_id").join(chunks.select(*owned).alias("c"), "chunk_id").filter(seen).select("query_id", "chunk_id", "score")
     return best_per_query(hits, k)

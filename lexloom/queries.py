@@ -404,7 +404,7 @@ _BM25 = """w AS (SELECT doc_id AS chunk_id, source, unnest(regexp_extract_all(lo
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.LexicalIndex:
     d = read(spark, sf_dir, "documents")
-    return bm25.build_index(d.select(F.col("doc_id").alias("chunk_id"), "text"), bm25.ASCII_WORDS)
+    return bm25.build_index(d.select(F.col("doc_id").alias("chunk_id"), "text"), bm25.ASCII_WORDS, keep=True)
 
 
 def _bm25(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
