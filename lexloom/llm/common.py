@@ -31,11 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written under the shared folder, to cut lineage; a lost executor only makes Spark read them again."""
+    """Tables written under the shared folder, to cut lineage; a lost executor only makes Spark read them again.
+
+    They last as long as the driver, since results may be read at any time; then they are removed.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lexloom-{label}-{uuid.uuid4().hex}"
+        fs, path = self._at()
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, *names: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *names]))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,7 +53,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         """Write a table and read it back. The shuffles behind it are removed at once: nothing reads them again."""
         conf, writer = self.spark.conf, df.write.mode("overwrite")
-        before = conf.get(CLEANUP)
+        before = conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
         try:
             (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
@@ -56,10 +66,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            fs, path = self._at(name)
+            fs.delete(path, True)
 
 
 def tune(spark: SparkSession) -> None:
