@@ -1,9 +1,11 @@
 """Line dedup: passages that a document shares with an earlier one are found by patience diff and deleted from it.
 
-Which documents to compare follows from hashes of lines: from each line on, lines are joined until they have
-``min_words`` words, and the hash of such a run is rare, while single short lines are not. Of the documents that share a
-run the earliest owns it, and every later one is paired with the owner: a run in n documents gives n - 1 pairs, and each
-document that has it later than another is compared with a document that has it. Pairs are aligned by themselves.
+Which documents to compare follows from hashes of lines: from each line on, and from each line back, lines are joined
+until they have ``min_words`` words, and the hash of such a run is rare, while single short lines are not. Of the
+documents that share a run the earliest owns it, and every later one is paired with the owner: a run in n documents gives
+n - 1 pairs. That is as good as all earlier documents: each line of a block of ``min_words`` words is in a run from it on
+or, at the block's end, in the run back from the last line; whoever has the block has the run, and so has its owner.
+Pairs are aligned by themselves.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ def line_hashes(text: bytes) -> tuple[list[int], list[int]]:
     return hashes, sizes
 
 
-def runs(hashes: list[int], sizes: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first line, end) of the shortest run of at least ``min_words`` words from each line that has words."""
+def _spans(sizes: list[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(first line, end) of the shortest run of at least ``min_words`` words from each line that has words."""
     end = total = 0
     for first, size in enumerate(sizes):
         while total < min_words and end < len(sizes):
@@ -43,10 +45,18 @@ def runs(hashes: list[int], sizes: list[int], min_words: int) -> Iterator[tuple[
         if total < min_words:
             return
         if size:
-            yield xxhash.xxh64_intdigest(np.array([h for h, n in zip(hashes[first:end], sizes[first:end], strict=True) if n], np.int64).tobytes(), 9) >> 1, first, end
+            yield first, end
         total -= size
 
 
+def runs(hashes: list[int], sizes: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """(hash, first line, end) of the shortest runs of at least ``min_words`` words from each line with words on and back."""
+    n = len(sizes)
+    spans = {*_spans(sizes, min_words), *((n - end, n - first) for first, end in _spans(sizes[::-1], min_words))}
+    for first, end in sorted(spans):
+        yield xxhash.xxh64_intdigest(np.array([h for h, n in zip(hashes[first:end], sizes[first:end], strict=True) if n], np.int64).tobytes(), 9) >> 1, first, end
+
+
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest increasing chain of (i, j) pairs given by ascending i: patience sorting."""
     tops: list[int] = []

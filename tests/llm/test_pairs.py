@@ -283,6 +283,28 @@ def test_line_dedup_within_bounds(spark):
         assert all(body[x] in left for x in range(len(body)) if x not in most)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_every_earlier_document(spark, seed):
+    rng = random.Random(seed)
+    words = vocabulary(rng, 200)
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(0, [line(82), line(10)]), (1, [line(30)])]  # a copy of 2 shares its long line with 0, the rest with 2 only
+    docs.append((2, [docs[0][1][0], *(line(n) for n in (10, 9, 1, 10))]))
+    docs += [(3, list(docs[2][1])), (4, [line(5), "", *docs[2][1][1:]]), (5, [line(40), *docs[2][1]])]
+    passages = [[line(rng.randint(1, 25)) for _ in range(rng.randint(2, 8))] for _ in range(5)]
+    for i in range(6, 50):
+        body = list(rng.choice(docs)[1])  # near copies of near copies: a run has many holders with other tails
+        at = rng.randint(0, len(body))
+        body[at : at + rng.randint(0, 2)] = rng.choice([[line(rng.randint(1, 30))], rng.choice(passages), []])
+        docs.append((i, body or [line(3)]))
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame([(i, "\n".join(b)) for i, b in docs], DOCS), min_words=50).collect()}
+    assert got[3].n_deleted == 5
+    for i, body in docs:
+        solid = [x for x, t in enumerate(body) if t]
+        gone = {solid[x] for _, earlier in docs[:i] for x in spans_in([body[x] for x in solid], [t for t in earlier if t], 50)[1]}
+        assert (got[i].n_deleted, got[i].text) == (len(gone), "\n".join(t for x, t in enumerate(body) if x not in gone))
+
+
 def test_patience_blocks_in_other_order():
     a, sizes = [1, 2, 3, 9, 4, 5, 6], [10] * 7
     b = [4, 5, 6, 8, 1, 2, 3]
