@@ -97,7 +97,10 @@ def _search(wave, k: int):
                     s = _scores(q, m, peak * shard["peak"])
                     if s.dtype != np.float64:
                         kth[i], best[i] = kth[i] if kth[i].dtype != np.float64 else np.where(np.isfinite(kth[i]), kth[i], -(2.0**63)).astype(np.int64), (best[i][0], best[i][1].astype(np.int64), best[i][2])
-                    r, c = _select(s, ids, kth[i], k + 1)  # one more: the query's own row may be among them
+                    place = np.minimum(np.searchsorted(qids, ids), len(qids) - 1)
+                    own = np.flatnonzero(qids[place] == ids)  # rows of a query's own key, however many, take no place
+                    s[place[own], own] = -np.inf if s.dtype == np.float64 else -(2**63)
+                    r, c = _select(s, ids, kth[i], k)
                     other = ids[c] != qids[r]
                     r, c = r[other], c[other]
                     r, v, x = (np.concatenate(p) for p in zip(best[i], (r, s[r, c], ids[c]), strict=True))

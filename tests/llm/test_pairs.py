@@ -223,6 +223,16 @@ def test_top_k_large_components(spark, scale):
         assert all(s == clip(s) for *_, s in got) and len(got) == 15
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e5])
+@pytest.mark.parametrize("copies", [2, 40])
+def test_top_k_repeated_query_rows(spark, copies, scale):
+    rows = [(i, [scale * (i % 50 + 1), scale]) for i in range(1, 60)]
+    own = [(0, [scale * 90, scale])] * copies
+    df = spark.createDataFrame(rows + own, "vec_id long, embedding array<double>").coalesce(1)  # one tile of over 24 rows
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect())
+    assert got == sorted(slow_top_k([(0, own[0][1]), *rows], 5, 100))
+
+
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [inf, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (50, []), (100, [1.0])]
