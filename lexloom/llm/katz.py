@@ -2,8 +2,8 @@
 
 P(w | h) = d(c(h w)) c(h w) / (c(h) + RESERVE) for a kept bigram, else alpha(h) P(w); P(w) = d(c(w)) c(w) / N for a word
 of the training texts, else the mass that the discounts of all words leave. d are Good-Turing discounts of counts up to
-CUT (counts above are reliable and stay). Bigrams seen fewer than ``minimum`` times count as unseen, as usual for Katz
-models, and their mass goes to backoff. alpha(h) is exact: the mass that the kept bigrams of h leave, over the unigram
+CUT (counts above are reliable and stay). Bigrams seen fewer than ``minimum`` times count as unseen and their mass goes
+to backoff; at 1 none are. alpha(h) is exact: the mass that the kept bigrams of h leave, over the unigram
 mass of all other words. RESERVE keeps half a count of each context for unseen words, so that mass is never nothing.
 
 No word or n-gram is ever a row by itself. Texts are encoded in chunks; a chunk sends each bucket of a hashed key space

@@ -26,7 +26,7 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of("doc_id", 7) != 2)
+    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of("doc_id", 7) != 2, minimum=1)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexloom.llm import attribution, katz, licenses, packing, rules, warc
+from lexloom.llm import attribution, katz, licenses, packing, queries, rules, warc
 from lexloom.llm.common import fold_of
 
 DOCS = "doc_id long, text string"
@@ -186,6 +186,19 @@ def test_katz_matches_brute_force(spark, monkeypatch, chunk):
         assert got[k][:4] == e[:4] and got[k][4:] == pytest.approx(e[4:])
 
 
+def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 40)))) for i in range(90)]
+    df = spark.createDataFrame(texts, DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    train = {r.doc_id: r.train for r in df.select("doc_id", (fold_of("doc_id", 7) != 2).alias("train")).collect()}
+    expected = slow_katz([(i, t, train[i]) for i, t in texts], minimum=1)
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op3_katz_backoff(spark, str(tmp_path)).collect()}
+    assert got.keys() == expected.keys()
+    for k, e in expected.items():
+        assert got[k][:4] == e[:4] and got[k][4:] == pytest.approx(e[4:])
+
+
 def test_katz_edges(spark):
     docs = edge_docs(spark)
     got = katz.katz_scores(docs, F.lit(True)).collect()
