@@ -125,11 +125,13 @@ def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 500) -> t
     return b, w
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
-    """A rule model of 0/1 labels y; with fewer than 20 rows or one class alone, the smoothed share of label 1."""
-    if len(y) < 20 or y.min() == y.max():
-        share = (float(y.sum()) + 1) / (len(y) + 2)
-        return RuleModel(float(np.log(share / (1 - share))), [])
+def _share(y: np.ndarray) -> RuleModel:
+    share = (float(y.sum()) + 1) / (len(y) + 2)
+    return RuleModel(float(np.log(share / (1 - share))), [])
+
+
+def grow_rules(x: np.ndarray, y: np.ndarray) -> list[tuple]:
+    """The distinct paths of boosted trees on 0/1 labels, but for those that hold for the same rows, or for nearly none or all."""
     cuts = []
     for j in range(x.shape[1]):
         q = np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS + 1)[1:-1]))
@@ -144,20 +146,38 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
         holds = _holds(x, p)
         if holds.tobytes() not in seen and 0.002 < holds.mean() < 0.998:
             seen.add(holds.tobytes())
-            rules.append((p, holds))
-    if not rules:
-        share = (float(y.sum()) + 1) / (len(y) + 2)
-        return RuleModel(float(np.log(share / (1 - share))), [])
-    r = np.stack([h for _, h in rules], axis=1).astype(np.float64)
+            rules.append(p)
+    return rules
+
+
+def _matrix(x: np.ndarray, rules: list[tuple]) -> np.ndarray:
+    return np.stack([_holds(x, p) for p in rules], axis=1).astype(np.float64)
+
+
+def choose_penalty(x: np.ndarray, y: np.ndarray) -> float:
+    """The largest penalty whose loss on a fifth of the rows, which neither trees nor weights have seen, is near the least."""
     test = np.arange(len(y)) % 5 == 0
-    tried = []
+    rules = grow_rules(x[~test], y[~test])
+    if not rules:
+        return PENALTIES[0]
+    seen, unseen = _matrix(x[~test], rules), _matrix(x[test], rules)
+    losses = []
     for penalty in PENALTIES:
-        b, w = _lasso(r[~test], y[~test], penalty)
-        p = np.clip(1 / (1 + np.exp(-(r[test] @ w + b))), 1e-6, 1 - 1e-6)
-        tried.append((-float(np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))), penalty))
-    least = min(t[0] for t in tried)
-    b, w = _lasso(r, y, next(p for loss, p in tried if loss <= least + TOLERANCE))
-    kept = [(tuple((names[j], s, v) for j, s, v in rules[i][0]), float(w[i])) for i in np.flatnonzero(np.abs(w) > 1e-3).tolist()]
+        b, w = _lasso(seen, y[~test], penalty)
+        p = np.clip(1 / (1 + np.exp(-(unseen @ w + b))), 1e-6, 1 - 1e-6)
+        losses.append(-float(np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))))
+    return next(p for loss, p in zip(losses, PENALTIES, strict=True) if loss <= min(losses) + TOLERANCE)
+
+
+def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
+    """A rule model of 0/1 labels y; with fewer than 20 rows or one class alone, the smoothed share of label 1."""
+    if len(y) < 20 or y.min() == y.max():
+        return _share(y)
+    rules = grow_rules(x, y)
+    if not rules:
+        return _share(y)
+    b, w = _lasso(_matrix(x, rules), y, choose_penalty(x, y))
+    kept = [(tuple((names[j], s, v) for j, s, v in rules[i]), float(w[i])) for i in np.flatnonzero(np.abs(w) > 1e-3).tolist()]
     return RuleModel(b, kept)
 
 
@@ -170,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if usable is not None:
         chosen = chosen.filter(usable)
     chosen = chosen.select(F.col(key).alias("k"), (F.col(label).cast("double") > 0.5).cast("double").alias("y")).orderBy(F.xxhash64("k"), "k", "y").limit(limit)
-    rows = statistics(docs.join(F.broadcast(chosen), F.col(key) == F.col("k")), text, F.col("k"), F.col("y")).collect()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    rows = statistics(texts.join(F.broadcast(chosen), F.col("id") == F.col("k")), "t", F.col("k"), F.col("y")).collect()
     data = np.array(sorted(tuple(r) for r in rows), dtype=np.float64).reshape(len(rows), 2 + len(STATISTICS))
     order = np.random.default_rng(0).permutation(len(data))  # ids may carry an order; the split must not
     data = data[order]

@@ -8,6 +8,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -73,12 +74,61 @@ def test_compiled_rules_say_what_rules_say(spark):
     assert got == pytest.approx([1 / (1 + math.exp(1.0)), 1 / (1 + math.exp(-1.0)), 1 / (1 + math.exp(-0.5))])
 
 
+def test_lasso_is_optimal():
+    """The subgradient conditions of the penalised logistic loss hold at the weights found."""
+    rng = np.random.default_rng(2)
+    r = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 3 * r[:, 1] + 0.5)))).astype(float)
+    for penalty in (0.05, 0.01, 0.002):
+        b, w = rules._lasso(r, y, penalty, rounds=3000)
+        e = 1 / (1 + np.exp(-(r @ w + b))) - y
+        slope = r.T @ e / len(y)
+        assert abs(e.mean()) < 1e-5
+        assert np.abs(slope[w != 0] + penalty * np.sign(w[w != 0])).max(initial=0) < 1e-5 and np.abs(slope[w == 0]).max(initial=0) <= penalty + 1e-6
+
+
+def slow_statistics(text):
+    words = [w for w in re.split("[ \t\n\r]+", text) if w]
+    share = lambda pattern: len(re.findall(pattern, text)) / max(len(text), 1)
+    lines = text.split("\n")
+    return {
+        "n_words": len(words), "mean_word": len(text) / max(len(words), 1), "distinct_words": len(set(words)) / max(len(words), 1),
+        "symbols": share(r"[#$%&*!@^~|<>{}\[\]=+_/]"), "capitals": share("[A-Z]"), "digits": share("[0-9]"), "stops": share("[.,;:?]"), "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_scores_match_a_slow_interpreter(spark):
+    """A trained ensemble gives each text the score that its rules, read one by one, give."""
+    docs, labels = labelled(spark)
+    model = rules.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.unionByName(edge_docs(spark).select("doc_id", "text").filter("doc_id IN (1, 2, 3, 6)").withColumn("doc_id", -F.col("doc_id"))).collect()}
+    got = rules.quality_scores(spark.createDataFrame(list(texts.items()), DOCS), model).collect()
+    for r in got:
+        s = slow_statistics(texts[r.doc_id])
+        total = model.intercept + sum(w for rule, w in model.rules if all(s[n] <= v if sign == "<=" else s[n] > v for n, sign, v in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total))), r.doc_id
+    assert model.rules and len(got) == len(texts)
+
+
+def test_penalty_is_chosen_on_unseen_rows(monkeypatch):
+    """Trees for the choice are grown without the rows that judge it."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((200, 3)), (rng.random(200) < 0.5).astype(float)
+    grown = []
+    monkeypatch.setattr(rules, "grow_rules", lambda x, y, f=rules.grow_rules: grown.append(len(y)) or f(x, y))
+    assert rules.choose_penalty(x, y) in rules.PENALTIES and grown == [160]
+
+
 def test_classifier_edges(spark):
     docs, labels = labelled(spark, 200)
     model = rules.train(docs, labels.unionByName(labels).unionByName(spark.createDataFrame([(1, None), (None, 1), (10**9, 0)], labels.schema)))
     got = rules.quality_scores(edge_docs(spark), model).collect()
     assert len(got) == len(EDGE) and all(r.score is not None for r in got)
     assert rules.train(docs, labels.limit(0)) == rules.RuleModel(0.0, [])
+    clash = docs
+    for name in ("k", "y", "row", "t", "id", "w", "l", "quality", "n_words"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    assert rules.train(clash, labels) == rules.train(docs, labels)
     assert rules.train(docs, labels.withColumn("quality", F.lit(1))).rules == []
     assert rules.quality_scores(docs.limit(0), model).count() == 0 and rules.keep_quality(edge_docs(spark), model).columns == edge_docs(spark).columns
 
