@@ -170,6 +170,12 @@ def near_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return dealt.repartition(parts, "key", "s", "t").sortWithinPartitions("key", "s", "t", "role").mapInArrow(_link_groups, "u long, v long")
 
 
+def _components(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, root) of each distinct fingerprint: the smallest fingerprint that links reach, in no order of documents."""
+    roots = connected_components(near_links(nodes, scratch), scratch)
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(key, fingerprint, component_id) for each row of ``docs``.
 
@@ -181,8 +187,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     scratch = Scratch(docs.sparkSession, "simhash")
     each = scratch.save(fingerprints(docs, key, text, width, seed).select(F.col(key).alias("k"), "fp"), "fp")
     nodes = scratch.save(each.groupBy("fp").agg(F.min("k").alias("least")), "nodes")
-    roots = connected_components(near_links(nodes, scratch), scratch)
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _components(nodes, scratch).select("fp", "least", "root")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     known = scratch.save(placed.join(ids, "root").select("fp", "component_id"), "known")
     out = each.join(known, "fp")
@@ -192,12 +197,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each near-duplicate component stays: that with the smallest key.
 
-    A key names one document: of repeated rows with that key one stays. Of rows with a null key one stays if a component
-    has no other key. Columns come out as they are.
+    Rows are documents, whatever their keys: two texts under one key, or under null keys, both stay unless their
+    fingerprints link. Null keys come last, equal keys are told apart by a hash of the text, and of rows equal in both
+    one stays. Columns come out as they are; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "simhash-drop")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))  # noqa: E731  a null key has a name of its own
-    found = near_duplicates(docs, key, text, width)
-    keep = scratch.save(found.select(name("component_id").alias("id")).distinct(), "keep")
-    kept = packed(docs, id=name(key)).join(keep.hint("merge"), "id", "left_semi").withColumn("turn", F.xxhash64("row"))
-    return unpacked(kept.groupBy("id").agg(F.min_by("row", "turn").alias("row")), docs.columns)
+    digest = F.xxhash64(F.col(text).cast("string"))
+    kind = docs.select(F.col(key).alias("k")).schema["k"].dataType
+    named = docs.select(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), digest.alias("u")).alias("who"), F.col(text).alias("t"))
+    each = fingerprints(named, "who", "t", width).select(F.col("who"), "fp")
+    nodes = scratch.save(each.groupBy("fp").agg(F.min("who").alias("who")), "nodes")
+    keep = _components(nodes, scratch).groupBy("root").agg(F.min("who").alias("who"))
+    keep = scratch.save(keep.select(F.col("who.k").cast(kind).alias("keep_k"), F.col("who.u").alias("keep_u")), "keep")
+    rows = packed(docs, k=F.col(key), u=digest)
+    kept = rows.join(keep.hint("merge"), F.col("k").eqNullSafe(F.col("keep_k")) & (F.col("u") == F.col("keep_u")), "left_semi")
+    return unpacked(kept.groupBy("k", "u").agg(F.min_by("row", F.xxhash64("row")).alias("row")), docs.columns)

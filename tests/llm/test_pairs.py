@@ -130,6 +130,21 @@ def test_simhash_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
 
 
+def test_near_dedup_keeps_rows_not_keys(spark):
+    """Different texts under null keys or under one key are different documents."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(vocabulary(rng)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (7, d, 4), (7, e, 5), (7, e, 6), (9, a, 7), (None, c, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, who int").withColumn("k", F.lit("x")).withColumn("u", F.lit(0)).withColumn("row", F.lit(None).cast("string"))
+    kept = simhash.drop_near_duplicates(docs)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == sorted([(False, 9, a), (True, 0, b), (True, 0, c), (False, 7, d), (False, 7, e)])
+    many = docs.limit(0).unionByName(docs.filter("who = 4").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n"))
+    assert simhash.drop_near_duplicates(many).count() == 1
+
+
 # ---- decontamination
 
 
