@@ -24,7 +24,7 @@ SEGMENTS, WIDTH, RADIUS = 4, 16, 3
 #: Budgets of the chain's first 1 to 4 segments.
 BUDGETS = tuple(l * RADIUS // SEGMENTS for l in range(1, SEGMENTS + 1))
 #: A key with more indexed fingerprints than this is dealt out in tiles; pairs compared at once.
-TILE, AT_ONCE = 2048, 1 << 21
+TILE, AT_ONCE = 2048, 1 << 18
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
