@@ -1,11 +1,14 @@
 """Line dedup: passages that a document shares with an earlier one are found by patience diff and deleted from it.
 
 Which documents to compare follows from hashes of lines: from each line on, and from each line back, lines are joined
-until they have ``min_words`` words, and the hash of such a run is rare, while single short lines are not. Of the
-documents that share a run the earliest owns it, and every later one is paired with the owner: a run in n documents gives
-n - 1 pairs. That is as good as all earlier documents: each line of a block of ``min_words`` words is in a run from it on
-or, at the block's end, in the run back from the last line; whoever has the block has the run, and so has its owner.
-Pairs are aligned by themselves.
+until they have ``min_words`` words, and the hash of such a run is rare, while single short lines are not. How many
+texts hold a run is counted; those that one text holds alone are left out. Of the texts that share a run the earliest
+owns it, and every later one is paired with the owner: a run in n texts gives n - 1 pairs. That is as good as all
+earlier texts: each line of a block of ``min_words`` words is in a run from it on or, at the block's end, in the run back
+from the last line; whoever has the block has the run, and so has its owner.
+
+All of it works on distinct texts: the earliest row stands for its exact copies, and a later copy is one block with it,
+so a text that very many rows share is hashed and aligned once.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch, packed, raw, tune, unpacked
@@ -99,7 +102,8 @@ def aligned_lines(a: list[int], sizes: list[int], b: list[int], b_sizes: list[in
     """Lines of ``a`` in blocks that align with ``b``, each block of at least ``min_words`` words.
 
     Lines without words are passed over: they neither break a block nor anchor one. Alignment is repeated without what
-    was deleted, so blocks that stand in another order are found too; last, runs that alignment left are looked up.
+    was deleted, so blocks that stand in another order are found too. Lines that occur often may have been aligned with
+    the wrong one of their places; so last, the runs that both texts hold are anchors, and blocks grow from them.
     """
     ia = [i for i, n in enumerate(sizes) if n]
     b = [h for h, n in zip(b, b_sizes, strict=True) if n]
@@ -125,36 +129,56 @@ def aligned_lines(a: list[int], sizes: list[int], b: list[int], b_sizes: list[in
                     left[x] = None
             else:
                 weak.update(block)
-    have = {h for h, _, _ in runs(b, [n for n in b_sizes if n], min_words)}
-    for h, first, end in runs(a, sizes, min_words):
-        if h in have:
-            gone.update(x for x in range(len(ia)) if first <= ia[x] < end)
+    kept_sizes = [n for n in b_sizes if n]
+    where: dict[int, int] = {}
+    for h, j, _ in runs(b, kept_sizes, min_words):
+        where.setdefault(h, j)
+    mine = [a[i] for i in ia]
+    for h, i, end in runs(mine, words, min_words):
+        if h in where and not gone.issuperset(range(i, end)):
+            lo, j = 0, where[h]
+            while i - lo and j - lo and mine[i - lo - 1] == b[j - lo - 1]:
+                lo += 1
+            hi = 0
+            while i + hi < len(mine) and j + hi < len(b) and mine[i + hi] == b[j + hi]:
+                hi += 1
+            if sum(words[i - lo : i + hi]) >= min_words:
+                gone.update(range(i - lo, i + hi))
     return [ia[x] for x in sorted(gone)]
 
 
-LINES = "k {}, u long, hashes array<long>, sizes array<int>"
+def _digest(text: str) -> Column:
+    """A text's name: 128 bits, so that no two texts of a corpus are taken for one."""
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(u, k, copied, hashes, sizes) of each distinct text but the empty one: its digest, the least key of its rows (null
+    first), whether rows of other keys have it too, and its lines."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("u"), F.col(text).cast("string").alias("t")).filter("t <> ''")
+    rows = docs.select(F.col(key).alias("k"), _digest(text).alias("u"), F.col(text).cast("string").alias("t")).filter("t <> ''")
+    kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [line_hashes(t) for t in raw(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.list_(pa.int32()))], names=["k", "u", "hashes", "sizes"])
 
-    return rows.mapInArrow(run, LINES.format(rows.schema["k"].dataType.simpleString()))
+    lines = rows.mapInArrow(run, f"k {kind}, u binary, hashes array<long>, sizes array<int>")
+    least, most = F.min(F.struct("k")), F.max(F.struct("k"))
+    by = lines.groupBy("u").agg(least.alias("least"), most.alias("most"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+    return by.select("u", F.col("least.k").alias("k"), (F.col("least") < F.col("most")).alias("copied"), "hashes", "sizes")
 
 
 def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(k, u, lines): of each document that shares passages with earlier ones, its lines in those passages, from 0.
+    """(u, k, lines, every_line) for each distinct text that shares passages with an earlier one, or has later copies.
 
-    A document is its key and the hash u of its text; that is also the order of documents, null keys first.
+    u is the text's digest and k the key of its earliest row; that is also the order of texts, null keys first. The rows
+    of that key lose ``lines`` (numbers from 0, or null), rows of other keys ``every_line`` that has words (or null).
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    kind = docs.select(F.col(key).alias("k")).schema["k"].dataType.simpleString()
-    lines = scratch.save(_lines(docs, key, text), "lines")
+    texts = scratch.save(distinct_texts(docs, key, text), "texts")
+    kind = texts.schema["k"].dataType.simpleString()
 
     def each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,32 +190,30 @@ def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column(0).take(take), b.column(1).take(take)], names=["h", "k", "u"])
 
-    every = scratch.save(lines.mapInArrow(each_run, f"h long, k {kind}, u long"), "runs")
-    shared = every.groupBy("h").agg(F.min(F.struct("k", "u")).alias("own"), F.max(F.struct("k", "u")).alias("last")).filter("own < last")
-    shared = scratch.save(shared.select("h", F.col("own.k").alias("ok"), F.col("own.u").alias("ou")), "shared")
-    pairs = every.join(shared, "h").filter("NOT (k <=> ok AND u = ou)").select("k", "u", "ok", "ou").distinct()
-    pairs = scratch.save(pairs, "pairs")
-    once = scratch.save(lines.dropDuplicates(["k", "u"]), "once")
-    mine = pairs.join(once.withColumnRenamed("k", "mk"), F.col("k").eqNullSafe(F.col("mk")) & (pairs.u == once.u)).select(pairs.k, pairs.u, "ok", "ou", "hashes", "sizes")
-    mine = scratch.save(mine, "mine")
-    theirs = once.select(F.col("k").alias("tk"), F.col("u").alias("tu"), F.col("hashes").alias("theirs"), F.col("sizes").alias("their_sizes"))
-    both = mine.join(theirs, F.col("ok").eqNullSafe(F.col("tk")) & (F.col("ou") == F.col("tu"))).select("k", "u", "hashes", "sizes", "theirs", "their_sizes")
+    every = scratch.save(texts.select("k", "u", "hashes", "sizes").mapInArrow(each_run, f"h long, k {kind}, u binary"), "runs")
+    shared = every.groupBy("h").agg(F.min(F.struct("k", "u")).alias("own"), F.count("*").alias("holders")).filter("holders > 1")
+    pairs = every.join(shared.select("h", F.col("own.u").alias("ou")), "h").filter("u <> ou").select("u", "ou").distinct()
+    theirs = texts.select(F.col("u").alias("ou"), F.col("hashes").alias("theirs"), F.col("sizes").alias("their_sizes"))
+    both = pairs.join(theirs, "ou").join(texts.select("u", "hashes", "sizes"), "u").select("u", "hashes", "sizes", "theirs", "their_sizes")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [aligned_lines(*(c for c in r), min_words) for r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "u", "lines"])
+            found = [aligned_lines(*(c for c in r), min_words) for r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["u", "lines"])
 
-    found = both.mapInArrow(align, f"k {kind}, u long, lines array<int>").filter("size(lines) > 0")
-    return scratch.save(found.groupBy("k", "u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")), "found")
+    found = both.mapInArrow(align, "u binary, lines array<int>").filter("size(lines) > 0")
+    found = found.groupBy("u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    whole = F.expr(f"if(copied AND aggregate(sizes, 0L, (n, x) -> n + x) >= {min_words}, filter(sequence(0, size(sizes) - 1), i -> sizes[i] > 0), NULL)")
+    marked = texts.select("u", "k", whole.alias("every_line")).join(found, "u", "left").filter("lines IS NOT NULL OR every_line IS NOT NULL")
+    return scratch.save(marked.select("u", "k", "lines", "every_line"), "found")
 
 
 def _deduped(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Each row of ``docs`` packed in ``row``, with t (text), lines (to delete, or null) and kept (the text without them)."""
-    found = shared_lines(docs, key, text, min_words).select(F.col("k").alias("fk"), F.col("u").alias("fu"), "lines").hint("merge")
-    rows = packed(docs, k=F.col(key), t=F.col(text).cast("string"), u=F.xxhash64(F.col(text).cast("string")))
-    rows = rows.join(found, F.col("k").eqNullSafe(F.col("fk")) & (F.col("u") == F.col("fu")), "left")
-    split = rows.select("row", "k", "t", "lines", F.split("t", "\n").alias("every"))
+    found = shared_lines(docs, key, text, min_words).select(F.col("u").alias("fu"), F.col("k").alias("fk"), F.col("lines").alias("own"), "every_line").hint("merge")
+    rows = packed(docs, k=F.col(key), t=F.col(text).cast("string"), u=_digest(text)).join(found, F.col("u") == F.col("fu"), "left")
+    lines = F.when(F.col("k").eqNullSafe(F.col("fk")), F.col("own")).otherwise(F.col("every_line"))
+    split = rows.select("row", "k", "t", lines.alias("lines"), F.split("t", "\n").alias("every"))
     places = split.select("*", F.expr("array_except(sequence(0, size(every) - 1), lines)").alias("places"))
     return places.select("row", "k", "t", "lines", F.expr("if(lines IS NULL, t, array_join(transform(places, i -> every[i]), '\\n'))").alias("kept"))
 

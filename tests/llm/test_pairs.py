@@ -262,26 +262,22 @@ def test_top_k_edges(spark):
 
 
 def spans_in(a, b, least):
-    """Lines of ``a`` in common runs of ``least`` words with ``b``: those of the shortest such runs, and all."""
-    must, most = set(), set()
+    """Lines of ``a`` in common blocks of at least ``least`` words with ``b``."""
+    found = set()
     for i in range(len(a)):
         for j in range(len(b)):
             n = 0
             while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
                 n += 1
             if sum(len(x.split()) for x in a[i : i + n]) >= least:
-                most.update(range(i, i + n))
-                size = 0
-                for e in range(i, i + n):
-                    size += len(a[e].split())
-                    if size >= least:
-                        must.update(range(i, e + 1))
-                        break
-    return must, most
-
-
-def test_line_dedup_within_bounds(spark):
-    rng = random.Random(9)
+                found.update(range(i, i + n))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_matches_brute_force(spark, seed):
+    """Passages in any order, and lines that occur again and again: the very lines that common blocks hold go."""
+    rng = random.Random(9 + seed)
     words = vocabulary(rng, 200)
     line = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passages = [[line(rng.randint(1, 25)) for _ in range(rng.randint(1, 5))] for _ in range(12)]
@@ -295,17 +291,19 @@ def test_line_dedup_within_bounds(spark):
         docs.append((i, body))
     got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame([(i, "\n".join(b)) for i, b in docs], DOCS), min_words=20).collect()}
     for i, body in docs:
-        must, most = set(), set()
-        for _, earlier in docs[:i]:
-            x, y = spans_in(body, earlier, 20)
-            must |= x
-            most |= y
-        left = got[i].text.split("\n") if got[i].n_deleted < len(body) else []
-        assert len(left) == len(body) - got[i].n_deleted == got[i].n_lines - got[i].n_deleted
-        assert len(must) <= got[i].n_deleted <= len(most)
-        at = iter(body)
-        assert all(any(x == y for y in at) for x in left)
-        assert all(body[x] in left for x in range(len(body)) if x not in most)
+        gone = {x for _, earlier in docs[:i] for x in spans_in(body, earlier, 20)}
+        assert (got[i].n_deleted, got[i].text) == (len(gone), "\n".join(t for x, t in enumerate(body) if x not in gone))
+
+
+def test_line_dedup_hot_groups(spark):
+    """A run in thousands of texts, a text in thousands of rows, and a very long text of one line again and again."""
+    long = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    rows = [(i, f"head {i}\n" + "\n".join(long) + f"\ntail {i}") for i in range(3000)] + [(3000 + i, "x\n" + "\n".join(long)) for i in range(2000)]
+    rows += [(9000, "\n".join([long[0]] * 4000)), (9001, "\n".join([long[0]] * 3000 + ["other"]))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0].n_deleted == 0 and all(got[i].text == f"head {i}\ntail {i}" for i in range(1, 3000))
+    assert got[3000].text == "x" and all(got[i].text == "" and got[i].n_deleted == 3 for i in range(3001, 5000))
+    assert got[9000].n_deleted == 0 and got[9001].text == "other"
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -326,7 +324,7 @@ def test_line_dedup_against_every_earlier_document(spark, seed):
     assert got[3].n_deleted == 5
     for i, body in docs:
         solid = [x for x, t in enumerate(body) if t]
-        gone = {solid[x] for _, earlier in docs[:i] for x in spans_in([body[x] for x in solid], [t for t in earlier if t], 50)[1]}
+        gone = {solid[x] for _, earlier in docs[:i] for x in spans_in([body[x] for x in solid], [t for t in earlier if t], 50)}
         assert (got[i].n_deleted, got[i].text) == (len(gone), "\n".join(t for x, t in enumerate(body) if x not in gone))
 
 
