@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch
 
+#: Edges in one file of a round.
+ROWS = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each node's larger (large star) or smaller (small star) neighbours on the smallest node beside it."""
@@ -28,7 +31,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
     """(node, root) for every node of ``edges`` (u, v; longs): root is the smallest node that can be reached.
 
     Null ends and loops are ignored. The edges are written after each round, so the plan stays short and a lost
-    executor costs one round at most; the rounds needed are logarithmic in the longest path.
+    executor costs one round at most; the rounds needed are logarithmic in the longest path. A round writes files of
+    about ROWS edges, by the count of the round before.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = scratch.save(edges, f"{label}-0")
@@ -38,7 +42,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
         if now == mark or now[0] == 0:
             break
         mark, i = now, i + 1
-        current = scratch.save(_star(_star(current, True), False), f"{label}-{i}")
+        stars = _star(_star(current, True), False)
+        current = scratch.save(stars.coalesce(1 + int(now[0]) // ROWS), f"{label}-{i}")
         scratch.drop(f"{label}-{i - 1}")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
