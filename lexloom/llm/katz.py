@@ -1,15 +1,26 @@
-"""Katz backoff language model over a corpus, and the scores of all its texts.
-
-P(w | h) = d(c(h w)) c(h w) / (c(h) + RESERVE) for a kept bigram, else alpha(h) P(w); P(w) = d(c(w)) c(w) / N for a word
-of the training texts, else the mass that the discounts of all words leave. d are Good-Turing discounts of counts up to
-CUT (counts above are reliable and stay). Bigrams seen fewer than ``minimum`` times count as unseen and their mass goes
-to backoff; at 1 none are. alpha(h) is exact: the mass that the kept bigrams of h leave, over the unigram
-mass of all other words. RESERVE keeps half a count of each context for unseen words, so that mass is never nothing.
-
-No word or n-gram is ever a row by itself. Texts are encoded in chunks; a chunk sends each bucket of a hashed key space
-one packed row of sorted keys and training counts, and gets back one packed row of corpus counts. A key that is hot in
-the corpus is one key in each chunk, so buckets stay even. The model's tables (counts by order and bucket, backoff
-weights by bucket) are written under the shared folder.
+"""Katz backoff language model of a corpus, and the scores of all its texts, evaluated recursively per token.
+
+For a context h of n - 1 words and h' without its first word, from training counts c:
+
+    P(w | h) = d(c(h w)) c(h w) / c(h)    if h w was seen
+             = alpha(h) P(w | h')         if only h was seen
+             = P(w | h')                  if h was not
+
+d are Good-Turing discounts of the order's counts up to CUT (counts above are reliable and stay); every n-gram seen in
+training counts, those seen once too. alpha(h) is exact: the mass that the discounts leave of h, over what P(. | h')
+leaves of the words not seen after h, so that each context sums to 1. Where the discounts leave nothing of h, that is
+where all words after it were seen more than CUT times, half a count is set aside: the divisor is c(h) + RESERVE. At
+order 1 P(w) = d(c(w)) c(w) / N, and the mass left is that of the one unknown word.
+
+No word or n-gram is ever a row by itself. Texts are encoded in chunks. Order by order, a chunk sends each bucket one
+packed row of the n-grams in it (as the number of the context, an n-gram one shorter, and the number of the word) with
+their counts in training, and gets back one row of corpus counts and of numbers for the n-grams that were seen. Thus
+n-grams are told apart exactly; only words are hashes, of 64 bits. An n-gram that is hot in the corpus is one key in
+each chunk, and a context that is hot is dealt out to many buckets by its words, so buckets stay even. Chunks and buckets
+have a fixed number of tokens, whatever the corpus.
+
+The tables of the model are written under the shared folder, parted by order and kind: counts of n-grams by bucket, and
+what the weight of each context that a text backs off from is made of; no other weights would be read.
 """
 
 from __future__ import annotations
@@ -26,17 +37,17 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, raw, tune
 from lexloom.llm.words import WordHash, space_words
 
-#: Good-Turing applies up to this count; tokens in a chunk; buckets of keys for each shuffle partition.
-CUT, CHUNK, RESERVE, MINIMUM, SPREAD = 5, 500_000, 0.5, 2, 4
+#: Order of the model; Good-Turing applies up to this count; tokens of a chunk, and of a bucket on average.
+ORDER, CUT, CHUNK, RESERVE = 3, 5, 1 << 20, 0.5
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Hashes of the end of a text and of what precedes its first word; no word contains a space.
-END, START = WordHash().of([b" end", b" start"])
+#: Hash of the end of a text; no word contains a space.
+END = WordHash().of([b" end"])[0]
+_LEVELS = np.arange(1, CUT + 1)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs, of 56 bits: they are most of what is sent, and each byte less counts."""
-    h = (a * _C1 ^ b) * _C2
-    return (h ^ (h >> np.uint64(31))) >> np.uint64(8)
+    h = (a.astype(np.uint64) * _C1 ^ b.astype(np.uint64)) * _C2
+    return h ^ (h >> np.uint64(31))
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -44,7 +55,7 @@ def _squeeze(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
-def _expand(data: bytes, kind: type) -> np.ndarray:
+def _expand(data: bytes | None, kind: type) -> np.ndarray:
     if not data:
         return np.zeros(0, kind)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
@@ -53,24 +64,39 @@ def _expand(data: bytes, kind: type) -> np.ndarray:
 
 def pack_keys(keys: np.ndarray) -> bytes:
     """Ascending 64-bit keys by their differences."""
-    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
+    return _squeeze(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unpack_keys(data: bytes | None, kind: type = np.uint64) -> np.ndarray:
+    return np.cumsum(_expand(data, kind), dtype=kind)
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
 
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_expand(data, np.uint64), dtype=np.uint64)
 
+def _table(rows: list[tuple], schema: str, first: pa.DataType | None = None) -> pa.Table:
+    """Rows by the columns of a schema in words; ``first`` is the type of its column k."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    names = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.Table.from_arrays([pa.array(list(c), first if n == "k" else types[t]) for c, (n, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
-def _buckets(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
-    """Ends of the runs of ascending keys that belong to each of n equal ranges of the key space."""
-    bounds = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
+# ---- texts
 
-ENCODED = "p long, k array<{}>, train binary, sizes binary, vocabulary binary, words binary"
+ENCODED = "kind string, p long, n long, k array<{}>, train binary, sizes binary, times binary, words binary, vocabulary binary, tally binary"
 
 
 def encode(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
-    """Chunks of whole texts: a vocabulary of word hashes, ascending, and the words as places in it; ends are implied."""
+    """Chunks of whole texts in two rows each: kind words has the distinct word hashes, the end's included, ascending,
+    with their counts in training texts; kind text has the words of each text, numbered from the most frequent in the
+    chunk on (of equals, from the least hash on), and by ``times`` how often each occurs; ends are implied.
+    """
     tune(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["k"].dataType
@@ -82,104 +108,45 @@ def encode(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
         flags: list[bool] = []
         total = 0
 
-        def close() -> pa.RecordBatch:
+        def close(kind: pa.DataType) -> list[pa.RecordBatch]:
             nonlocal keys, hashes, flags, total, made
-            vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            sizes = np.array([len(h) for h in hashes], np.uint32)
-            cells = [part << 24 | made, keys, np.packbits(flags).tobytes(), sizes.tobytes(), pack_keys(vocabulary), _squeeze(words.astype(np.uint32))]
+            sizes, train = np.array([len(h) + 1 for h in hashes]), np.array(flags)
+            tokens = np.concatenate([x for h in hashes for x in (h, END[None])])
+            vocabulary, words, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            place = np.empty(len(vocabulary), np.uint32)
+            place[_by_times(times)] = np.arange(len(vocabulary), dtype=np.uint32)
+            inner = np.ones(len(tokens), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            tally = np.bincount(words, weights=np.repeat(train, sizes), minlength=len(vocabulary)).astype(np.uint32)
+            name = part << 24 | made
+            out = [
+                ("text", name, total, keys, _bits(train), _squeeze(sizes.astype(np.uint32)), _squeeze(times.astype(np.uint32)), _squeeze(place[words[inner]]), None, None),
+                ("words", name, 0, None, None, None, None, None, vocabulary.tobytes(), _squeeze(tally)),
+            ]
             made += 1
             keys, hashes, flags, total = [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names=["p", "k", "train", "sizes", "vocabulary", "words"])
+            return _table(out, ENCODED.replace("array<{}>", "x"), pa.list_(kind)).to_batches()
 
         for b in batches:
-            types = [pa.int64(), pa.list_(b.schema.field(0).type), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            own = b.schema.field(0).type
             for k, t, f in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), strict=True):
                 keys.append(k)
                 flags.append(f)
                 hashes.append(memo.of(space_words(t)))
                 total += len(hashes[-1]) + 1
                 if total >= CHUNK:
-                    yield close()
+                    yield from close(own)
         if keys:
-            yield close()
+            yield from close(own)
 
     return rows.mapInArrow(run, ENCODED.format(kind.simpleString()))
 
 
-class Chunk:
-    """An encoded chunk with its distinct keys of both orders, the texts' ends included."""
-
-    def __init__(self, row: dict):
-        self.keys, n = row["k"], len(row["k"])
-        self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=n).astype(bool)
-        sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-        words = unpack_keys(row["vocabulary"])[_expand(row["words"], np.uint32)]
-        self.sizes = sizes + 1
-        ends = np.cumsum(self.sizes) - 1
-        self.doc = np.repeat(np.arange(n), self.sizes)
-        token = np.empty(int(self.sizes.sum()), np.uint64)
-        inner = np.ones(len(token), bool)
-        inner[ends] = False
-        token[inner], token[ends] = words, END
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[ends - sizes] = START
-        self.context, self.context_at = np.unique(before, return_inverse=True)
-        self.asked = []
-        weight = self.train[self.doc]
-        for keys in (token, _mix(before, token)):
-            distinct, at = np.unique(keys, return_inverse=True)
-            self.asked.append((distinct, at, np.bincount(at, weights=weight, minlength=len(distinct)).astype(np.uint32)))
-
-
-REQUESTS = "bucket int, ord int, p long, keys binary, counts binary"
+def _by_times(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times.astype(np.int64), kind="stable")
 
 
-def requests(encoded: DataFrame, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                for order, (keys, _, counts) in enumerate(Chunk(row).asked, 1):
-                    cut = _buckets(keys, buckets, 64 if order == 1 else 56).tolist()
-                    spans = [(i, s, e) for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([order * buckets + i for i, _, _ in spans], pa.int32()), pa.array([order] * len(spans), pa.int32()), pa.array([row["p"]] * len(spans), pa.int64()), pa.array([pack_keys(keys[s:e]) for _, s, e in spans], pa.binary()), pa.array([_squeeze(counts[s:e]) for _, s, e in spans], pa.binary())],
-                        names=["bucket", "ord", "p", "keys", "counts"],
-                    )
-
-    return encoded.mapInArrow(run, REQUESTS)
-
-
-ANSWERS = "kind string, bucket int, ord int, p long, keys binary, counts binary, own binary, stats array<long>"
-_ANSWER_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-
-
-def _count(minimum: int):
-    """Corpus counts of one bucket's keys: the model's part (kind model) and an answer to each chunk (kind answer).
-
-    A kept key is owned by the first chunk that has it. stats: distinct keys, their counts' sum, keys of count 1 to CUT + 1.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["p"])
-        keys = [unpack_keys(r["keys"]) for r in rows]
-        counts = [_expand(r["counts"], np.uint32) for r in rows]
-        distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
-        bucket, order = rows[0]["bucket"], rows[0]["ord"]
-        stats = [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, CUT + 2))]
-        kept = total >= (minimum if order > 1 else 1)
-        out = [("model", bucket, order, -1, pack_keys(distinct[kept]), _squeeze(total[kept]), b"", stats)]
-        answer, owner = np.where(kept, total, 0).astype(np.uint64), np.zeros(len(at), bool)
-        owner[first] = kept
-        place = 0
-        for r, k in zip(rows, keys, strict=True):
-            mine = slice(place, place + len(k))
-            out.append(("answer", bucket, order, r["p"], b"", _squeeze(answer[at[mine]]), np.packbits(owner[mine]).tobytes(), None))
-            place += len(k)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ANSWER_TYPES, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
-
-    return run
+# ---- the model
 
 
 def discounts(stats: list[int]) -> np.ndarray:
@@ -208,116 +175,318 @@ class Unigrams:
         self.scale, self.unknown = (1.0, left / self.total) if left > 0 else (self.total / (self.total + 1), 1 / (self.total + 1))
 
     def p(self, counts: np.ndarray) -> np.ndarray:
-        c = counts.astype(np.float64)
-        return np.where(counts > 0, self.scale * self.d[np.minimum(counts, CUT + 1).astype(np.int64)] * c / max(self.total, 1), self.unknown)
-
+        return np.where(counts > 0, self.scale * _discounted(self.d, counts) / max(self.total, 1), self.unknown)
 
-SECOND = "kind string, p long, bucket int, keys binary, seen binary, lower binary, k array<{}>, held binary, tokens binary, known binary, base binary, partial binary, backs binary, contexts binary"
 
+def _discounted(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return d[np.minimum(counts, CUT + 1).astype(np.int64)] * counts
 
-def _evaluate(stats: dict[int, list[int]], texts: int, buckets: int, minimum: int):
-    """A chunk with its counts: what is known of each text's score, and the sums for the backoff weights.
-
-    kind texts: the score but for the backoff weights, and the contexts whose weights are to be added. kind sums: for
-    each context of the chunk the discounted mass of its kept bigrams and their unigram mass, over bigrams it owns.
-    """
-    first, d2 = Unigrams(stats[1]), discounts(stats[2])
 
-    def run(encoded: pa.Table, answers: pa.Table) -> pa.Table:
-        names, types = _second_schema(encoded.schema.field("k").type)
-        rows: list[tuple] = []
-        for row in encoded.to_pylist():
-            c = Chunk(row)
-            got = sorted((r for r in answers.to_pylist() if r["p"] == row["p"]), key=lambda r: r["bucket"])
-            counts, own = [], []
-            for order in (1, 2):
-                mine = [r for r in got if r["ord"] == order]
-                parts = [_expand(r["counts"], np.uint64) for r in mine]
-                counts.append(np.concatenate(parts))
-                own.append(np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(x)) for r, x in zip(mine, parts, strict=True)]).astype(bool))
-            (words, word_at, _), (grams, gram_at, _) = c.asked
-            p1 = first.p(counts[0])
-            known = counts[0][word_at]
-            base = np.log10((known + np.float64(1)) / (stats[1][1] + stats[1][0] + 1.0))
-            place = np.minimum(np.searchsorted(words, c.context), len(words) - 1)
-            before = np.where(words[place] == c.context, counts[0][place], 0)
-            before = np.where(c.context == START, texts, before)
-            example = np.zeros(len(grams), np.int64)
-            example[gram_at] = np.arange(len(gram_at))  # some token of each distinct bigram
-            context = c.context_at[example]
-            count = counts[1]
-            kept = count > 0
-            p2 = np.where(kept, d2[np.minimum(count, CUT + 1).astype(np.int64)] * count / (np.maximum(before[context], 1) + RESERVE), 0.0)
-            mine = own[1] & kept
-            seen = np.bincount(context[mine], weights=p2[mine], minlength=len(c.context))
-            lower = np.bincount(context[mine], weights=p1[word_at[example]][mine], minlength=len(c.context))
-            direct = kept[gram_at]
-            partial = np.where(direct, np.log10(np.where(direct, p2[gram_at], 1.0)), np.log10(p1[word_at]))
-            n = len(c.keys)
-            sums = [np.bincount(c.doc, weights=x, minlength=n) for x in (base, partial)]
-            # a context seen less often than a bigram must be has no kept bigram: its weight is 1, and nothing is asked
-            ask = before >= minimum
-            place = np.cumsum(ask) - 1
-            back = ~direct & ask[c.context_at]
-            texts_row = ("texts", row["p"], -1, None, None, None, c.keys, np.packbits(~c.train).tobytes(), c.sizes.tobytes(), np.bincount(c.doc, weights=known > 0, minlength=n).astype(np.int64).tobytes(), sums[0].tobytes(), sums[1].tobytes(), np.bincount(c.doc[back], minlength=n).astype(np.uint32).tobytes(), _squeeze(place[c.context_at[back]].astype(np.uint32)))
-            rows.append(texts_row)
-            context, seen, lower = c.context[ask], seen[ask], lower[ask]
-            cut = _buckets(context, buckets).tolist()
-            for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
-                if e > s:
-                    rows.append(("sums", row["p"], i, pack_keys(context[s:e]), _squeeze(seen[s:e]), _squeeze(lower[s:e]), *[None] * 8))
-        return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+class Model:
+    """What is known of the orders counted so far. stats: by order, as ``discounts`` takes them; texts: training texts."""
 
-    return run
+    def __init__(self, stats: list[list[int]], texts: int, buckets: int, split: int):
+        self.stats, self.texts, self.buckets, self.split = stats, texts, buckets, split
+        self.first = Unigrams(stats[0]) if stats else None
+        self.d = [discounts(s) for s in stats]
 
+    def lower(self, order: int, num: np.ndarray, den: np.ndarray) -> np.ndarray:
+        """P of n-grams of ``order`` that were seen ``num`` times; ``den`` is twice the divisor."""
+        return self.first.p(num) if order == 1 else _discounted(self.d[order - 1], num) * 2 / den
 
-def _second_schema(key_type: pa.DataType) -> tuple[list[str], list[pa.DataType]]:
-    b = pa.binary()
-    return [x.split()[0] for x in SECOND.format("x").split(", ")], [pa.string(), pa.int64(), pa.int32(), b, b, b, key_type, b, b, b, b, b, b, b]
 
+REQUESTS = "bucket int, ord int, p long, contexts binary, asked binary, fan binary, words binary, counts binary, num binary, den binary"
+COUNTED = "kind string, bucket int, ord int, p long, contexts binary, fan binary, words binary, counts binary, numbers binary, masks binary, weighed binary, levels binary, lower binary, stats array<long>"
 
-WEIGHTS = "kind string, bucket int, p long, keys binary, weights binary"
 
+class Chunk:
+    """An encoded chunk; for each of its tokens what the orders counted so far say of the n-gram that ends there."""
 
-def _weigh(table: pa.Table) -> pa.Table:
-    """log10 of the backoff weights of one bucket's contexts: the model's part and an answer to each chunk."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["p"])
-    keys = [unpack_keys(r["keys"]) for r in rows]
+    def __init__(self, row: dict):
+        self.keys, n = row["k"], len(row["k"])
+        self.train = _flags(row["train"], n)
+        self.sizes = _expand(row["sizes"], np.uint32).astype(np.int64)
+        ends = np.cumsum(self.sizes) - 1
+        self.doc = np.repeat(np.arange(n), self.sizes)
+        self.first = np.zeros(len(self.doc), bool)
+        self.first[ends - self.sizes + 1] = True
+        times = _expand(row["times"], np.uint32)
+        # the one word that no text holds as often as the chunk has it is the end
+        self.word = np.full(len(self.doc), -1, np.int64)
+        inner = np.ones(len(self.doc), bool)
+        inner[ends] = False
+        self.word[inner] = _by_times(times)[_expand(row["words"], np.uint32)]
+        held = np.bincount(self.word[inner], minlength=len(times))
+        self.word[ends] = int(np.flatnonzero(held != times)[0])
+        self.n_words = len(times)
+
+    def hear_words(self, answers: list[dict], model: Model) -> None:
+        counts, numbers = np.zeros(self.n_words, np.int64), np.full(self.n_words, -1, np.int64)
+        s = 0
+        for r in answers:
+            told = _expand(r["counts"], np.uint64)
+            counts[s : s + len(told)] = told
+            numbers[s + np.flatnonzero(told)] = _expand(r["numbers"], np.uint32).astype(np.int64) * model.buckets + r["bucket"]
+            s += len(told)
+        self.count, self.word_count = (counts[self.word],) * 2
+        self.den = np.ones(len(self.doc), np.int64)  # not read at order 1
+        self.log_p = np.log10(model.first.p(self.count))
+        order = np.argsort(numbers, kind="stable")[np.count_nonzero(numbers < 0) :]
+        place = np.full(self.n_words, -1, np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.word_at = numbers[order], place[self.word]  # seen words by their numbers, ascending
+        self.grams, self.gram_at = self.words, self.word_at
+
+    def arrange(self, model: Model) -> None:
+        """The distinct n-grams of the next order, dealt out: entries (bucket, context) and under each its words.
+
+        grams are the seen n-grams of the order below by their numbers, ascending, and gram_at is the place among them of
+        that which ends at a token, or -1. A context's number is that of such an n-gram plus 1; 0 is the start of a text.
+        """
+        place = np.where(self.first, 0, np.roll(self.gram_at, 1) + 1)
+        self.has_context = self.first | (place > 0)
+        place = place[self.has_context]
+        used = np.bincount(place, minlength=len(self.grams) + 1) > 0
+        self.contexts = np.append(0, self.grams + 1)[used]
+        self.context_at = (np.cumsum(used) - 1)[place]
+        self.context_count = np.where(self.first, model.texts, np.roll(self.count, 1))
+        at = np.flatnonzero(self.has_context)
+        example = np.zeros(len(self.contexts), np.int64)
+        example[self.context_at] = at
+        size = self.context_count[example]
+        parts = np.where(size > model.split, np.minimum(1 + size // model.split, model.buckets), 1)
+        self.context_den = self.den[example]
+        known = self.word_at[at] >= 0
+        self.asked_context = parts > 1
+        self.asked_context[self.context_at[~known]] = True
+        # distinct (context, word), by both
+        self.pair_token = at[known]
+        n = np.int64(max(len(self.words), 1))
+        code, pair_at = np.unique(self.context_at[known] * n + self.word_at[self.pair_token], return_inverse=True)
+        context = code // n
+        word = self.words[code - context * n]
+        # entries: a context's buckets, one unless it is hot
+        base = np.cumsum(parts) - parts
+        every = np.repeat(np.arange(len(self.contexts)), parts)
+        home = (_mix(self.contexts[every], np.arange(len(every)) - base[every]) % np.uint64(model.buckets)).astype(np.int64)
+        m = np.int64(max(len(self.contexts), 1))
+        entries, entry_of = np.unique(home * m + every, return_inverse=True)
+        entry = entry_of[base[context]]
+        hot = np.flatnonzero(parts[context] > 1)
+        turn = (_mix(word[hot], np.zeros(1)) % parts[context[hot]].astype(np.uint64)).astype(np.int64)
+        entry[hot] = entry_of[base[context[hot]] + turn]
+        self.fan = np.bincount(entry, minlength=len(entries)).astype(np.uint32)
+        ends = np.cumsum(self.fan, dtype=np.int64)
+        # where a pair stands in the order sent: pairs of a context that is not hot stand together already
+        begin = np.cumsum(np.bincount(context, minlength=len(self.contexts)))
+        begin = np.append(0, begin)[context]
+        sent = (ends - self.fan)[entry] + np.arange(len(code)) - begin
+        order = hot[np.argsort(entry[hot], kind="stable")]
+        group = entry[order]
+        start = np.searchsorted(group, group)
+        sent[order] = (ends - self.fan)[group] + np.arange(len(order)) - start
+        self.pair_at = sent[pair_at]
+        self.pair_word, self.entry_of = np.empty_like(word), np.empty_like(entry)
+        self.pair_word[sent], self.entry_of[sent] = word, entry
+        self.entry_context = entries % m
+        buckets, starts = np.unique(entries // m, return_index=True)
+        stops = np.append(starts[1:], len(entries))
+        self.spans = [(b, s, e, int(ends[s - 1]) if s else 0, int(ends[e - 1])) for b, s, e in zip(buckets.tolist(), starts.tolist(), stops.tolist(), strict=True)]
+
+    def ask(self, order: int) -> Iterator[tuple]:
+        """Rows of REQUESTS without p. num: for pairs seen in training here, the count of the n-gram without its first word."""
+        counts = np.bincount(self.pair_at, weights=self.train[self.doc[self.pair_token]], minlength=len(self.pair_word)).astype(np.uint32)
+        num = np.zeros(len(self.pair_word), np.uint64)
+        num[self.pair_at] = self.count[self.pair_token]
+        num[counts == 0] = 0
+        for b, s, e, i, j in self.spans:
+            c = self.entry_context[s:e]
+            yield b, order, pack_keys(self.contexts[c]), _bits(self.asked_context[c]), _squeeze(self.fan[s:e]), _squeeze(self.pair_word[i:j]), _squeeze(counts[i:j]), _squeeze(num[i:j]), _squeeze(self.context_den[c])
+
+    def hear(self, answers: list[dict], order: int, model: Model) -> None:
+        """Take in the counts of ``order`` and its probabilities: the recursion's step from the order below."""
+        d = model.d[order - 1]
+        counts, numbers = np.zeros(len(self.pair_word), np.int64), np.full(len(self.pair_word), -1, np.int64)
+        masks = np.zeros(len(self.contexts), np.uint8)
+        levels, lower = np.zeros((CUT, len(self.contexts))), np.zeros(len(self.contexts))
+        for (b, s, e, i, j), r in zip(self.spans, answers, strict=True):
+            c = self.entry_context[s:e]
+            counts[i:j] = _expand(r["counts"], np.uint64)
+            seen = i + np.flatnonzero(counts[i:j])
+            if r["numbers"] is not None:
+                numbers[seen] = np.cumsum(_expand(r["numbers"], np.int64)) | b << 32
+            masks[c] |= _expand(r["masks"], np.uint8)
+            told = c[_told(self.asked_context[c], self.entry_of[i:j] - s, counts[i:j])]
+            levels[:, told] += _expand(r["levels"], np.uint64).reshape(CUT, -1)
+            lower[told] += _expand(r["lower"], np.float64)
+        # a context of which the discounts leave nothing sets half a count aside
+        leaving = np.uint8(sum(1 << int(r) for r in _LEVELS if d[r] < 1))
+        spare = np.zeros(len(self.doc), bool)
+        spare[self.has_context] = (masks & leaving == 0)[self.context_at]
+        self.den = 2 * self.context_count + spare
+        self.count = np.zeros(len(self.doc), np.int64)
+        self.count[self.pair_token] = counts[self.pair_at]
+        seen = counts > 0
+        self.grams = numbers[seen]  # ascending: by bucket, and in a bucket by context and word
+        self.gram_at = np.full(len(self.doc), -1, np.int64)
+        self.gram_at[self.pair_token] = np.where(seen, np.cumsum(seen) - 1, -1)[self.pair_at]
+        direct = self.count > 0
+        back = np.zeros(len(self.doc))
+        left = ((1 - d[_LEVELS]) * _LEVELS) @ levels
+        left = np.where(masks & leaving == 0, RESERVE, left)
+        at = np.flatnonzero(self.has_context & ~direct)
+        c = self.context_at[~direct[self.has_context]]
+        back[at] = np.log10(left[c] * 2 / self.den[at] / (1 - lower[c]))
+        self.log_p = back + self.log_p
+        self.log_p[direct] = np.log10(model.lower(order, self.count[direct], self.den[direct]) if order > 1 else 1.0)
+
+    def learn(self, answers: list[dict], model: Model, orders: int) -> None:
+        """Take in the answers of all orders up to ``orders``."""
+        by: list[list[dict]] = [[] for _ in range(orders)]
+        for r in answers:
+            by[r["ord"] - 1].append(r)
+        for order, rows in enumerate(by, 1):
+            rows.sort(key=lambda r: r["bucket"])
+            if order == 1:
+                self.hear_words(rows, model)
+            else:
+                self.arrange(model)
+                self.hear(rows, order, model)
+
+
+def _told(asked: np.ndarray, entry: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of which entries a bucket tells the mass left: those asked for, and those with a pair that was never seen."""
+    told = asked.copy()
+    told[entry[counts == 0]] = True
+    return told
+
+
+def _count_words(bucket: int, rows: list[dict]) -> list[tuple]:
+    keys = [unpack_keys(r["contexts"]) for r in rows]
+    counts = [_expand(r["counts"], np.uint32) for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    seen, lower = (np.bincount(at, weights=np.concatenate([_expand(r[x], np.float64) for r in rows]), minlength=len(distinct)) for x in ("seen", "lower"))
-    weight = np.log10((1 - seen) / (1 - lower))
-    some = seen > 0
-    out = [("model", rows[0]["bucket"], -1, pack_keys(distinct[some]), _squeeze(weight[some]))]
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
+    seen = total > 0
+    rank = np.empty(len(distinct), np.uint32)  # frequent words get small numbers
+    rank[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(distinct), dtype=np.uint32)
+    out = [("model", bucket, 1, -1, pack_keys(distinct[seen]), None, None, _squeeze(total[seen]), _squeeze(rank[seen]), None, None, None, None, _stats(total))]
     place = 0
     for r, k in zip(rows, keys, strict=True):
-        out.append(("answer", r["bucket"], r["p"], None, _squeeze(weight[at[place : place + len(k)]])))
+        mine = at[place : place + len(k)]
         place += len(k)
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=[x.split()[0] for x in WEIGHTS.split(", ")])
+        out.append(("answer", bucket, 1, r["p"], None, None, None, _squeeze(total[mine]), _squeeze(rank[mine][seen[mine]]), None, None, None, None, None))
+    return out
+
+
+def _stats(total: np.ndarray) -> list[int]:
+    return [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, CUT + 2))]
+
+
+def _count(model: Model, last: bool):
+    """Corpus counts of one bucket's n-grams: the model's part (kind model) and an answer to each chunk (kind answer)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["p"])
+        bucket, order = rows[0]["bucket"], rows[0]["ord"]
+        if order == 1:
+            return _table(_count_words(bucket, rows), COUNTED)
+        read = lambda name, kind: [_expand(r[name], kind) for r in rows]
+        mine = [unpack_keys(r["contexts"], np.int64) for r in rows]
+        contexts, context_at = np.unique(np.concatenate(mine), return_inverse=True)
+        fans = read("fan", np.uint32)
+        ends = np.cumsum([len(c) for c in mine])
+        context_at = np.split(context_at, ends[:-1])
+        den = np.zeros(len(contexts), np.int64)
+        for c, x in zip(context_at, read("den", np.int64), strict=True):
+            den[c] = x
+        pair_context = [np.repeat(c, f) for c, f in zip(context_at, fans, strict=True)]
+        words, counts, num = (read(*x) for x in (("words", np.int64), ("counts", np.uint32), ("num", np.uint64)))
+        key = np.concatenate(pair_context).astype(np.uint64) << np.uint64(40) | np.concatenate(words).astype(np.uint64)
+        distinct, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
+        lower_num = np.zeros(len(distinct), np.uint64)
+        np.maximum.at(lower_num, at, np.concatenate(num))
+        seen = total > 0
+        local = np.cumsum(seen)
+        context = (distinct >> np.uint64(40)).astype(np.int64)
+        n = np.zeros((CUT, len(contexts)), np.uint64)
+        for r in _LEVELS:
+            n[r - 1] = np.bincount(context[total == r], minlength=len(contexts))
+        masks = ((n > 0) << _LEVELS[:, None]).sum(axis=0).astype(np.uint8)
+        p = model.lower(order - 1, lower_num[seen], den[context[seen]])
+        lower = np.bincount(context[seen], weights=p, minlength=len(contexts))
+        out, place, every_told = [], 0, np.zeros(len(contexts), bool)
+        for r, c, f in zip(rows, context_at, fans, strict=True):
+            size = int(f.sum())
+            pairs = at[place : place + size]
+            place += size
+            got = total[pairs]
+            told = c[_told(_flags(r["asked"], len(c)), np.repeat(np.arange(len(c)), f), got)]
+            every_told[told] = True
+            numbers = None if last else _squeeze(np.diff(local[pairs][got > 0].astype(np.int64), prepend=np.int64(0)))
+            out.append(("answer", bucket, order, r["p"], None, None, None, _squeeze(got), numbers, _squeeze(masks[c]), None, _squeeze(n[:, told].ravel()), _squeeze(lower[told]), None))
+        some = np.unique(context[seen])
+        fan = np.bincount(context[seen], minlength=len(contexts))[some].astype(np.uint32)
+        kept = (pack_keys(contexts[some]), _squeeze(fan), _squeeze(distinct[seen] & np.uint64((1 << 40) - 1)), _squeeze(total[seen]))
+        weights = (pack_keys(contexts[every_told]), _squeeze(n[:, every_told].ravel()), _squeeze(lower[every_told]))
+        out.append(("model", bucket, order, -1, *kept, None, None, *weights, _stats(total)))
+        return _table(out, COUNTED)
+
+    return run
+
+
+def _ask_words(buckets: int):
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                hashes, tally = np.frombuffer(row["vocabulary"], np.uint64), _expand(row["tally"], np.uint32)
+                cut = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+                spans = [(i, s, e) for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+                yield from _table([(i, 1, row["p"], pack_keys(hashes[s:e]), None, None, None, _squeeze(tally[s:e]), None, None) for i, s, e in spans], REQUESTS).to_batches()
+
+    return run
+
 
+def _ask(model: Model, order: int):
+    def run(encoded: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for row in encoded.to_pylist():
+            c = Chunk(row)
+            c.learn(answers.to_pylist(), model, order - 1)
+            c.arrange(model)
+            rows += [(b, o, row["p"], *rest) for b, o, *rest in c.ask(order)]
+        return _table(rows, REQUESTS)
+
+    return run
 
-def _finish(total: int):
-    def run(texts: pa.Table, weights: pa.Table) -> pa.Table:
-        given = sorted(weights.to_pylist(), key=lambda r: r["bucket"])
+
+SCORES = "k {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _finish(model: Model, order: int):
+    def run(encoded: pa.Table, answers: pa.Table) -> pa.Table:
         tables = []
-        for row in texts.to_pylist():
-            weight = np.concatenate([np.zeros(0), *(_expand(r["weights"], np.float64) for r in given if r["p"] == row["p"])])
-            n = len(row["k"])
-            backs = np.frombuffer(row["backs"], np.uint32).astype(np.int64)
-            more = np.bincount(np.repeat(np.arange(n), backs), weights=weight[_expand(row["contexts"], np.uint32)], minlength=n)
-            held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=n).astype(bool)
-            cols = [pa.array(row["k"], texts.schema.field("k").type.value_type), pa.array(held), pa.array(np.frombuffer(row["tokens"], np.int64)), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(np.frombuffer(row["base"])), pa.array(np.frombuffer(row["partial"]) + more)]
-            tables.append(pa.Table.from_arrays(cols, names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        for row in encoded.to_pylist():
+            c, n = Chunk(row), len(row["k"])
+            c.learn(answers.to_pylist(), model, order)
+            base = np.log10((c.word_count + 1.0) / (model.stats[0][1] + model.stats[0][0] + 1.0))
+            base, score = (np.bincount(c.doc, weights=x, minlength=n) for x in (base, c.log_p))
+            known = np.bincount(c.doc, weights=c.word_count > 0, minlength=n).astype(np.int64)
+            columns = [pa.array(row["k"], encoded.schema.field("k").type.value_type), pa.array(~c.train), pa.array(c.sizes), pa.array(known), pa.array(np.full(n, model.stats[0][1], np.int64)), pa.array(base), pa.array(score)]
+            tables.append(pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")]))
         return pa.concat_tables(tables)
 
     return run
 
 
-def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", minimum: int = MINIMUM) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, by a model of the ``train`` rows.
 
     Tokens: words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one end. n_known counts tokens that occur in
     training texts, train_tokens is N; base_score sums log10((c + 1) / (N + V + 1)); score sums the model's log10
-    probabilities, the first token's context being the start of a text.
+    probabilities, the contexts of the first tokens reaching back before the start of the text.
 
     A null or empty text is one end token. A null ``train`` means held out. Without training rows every token is
     unknown: P is 1 for the one unknown type, so both scores are 0. Repeated rows and null keys are scored like any
@@ -325,19 +494,28 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = scratch.save(encode(docs, key, text, train), "chunks")
+    encoded = scratch.save(encode(docs, key, text, train), "chunks", by=("kind",))
+    vocabulary = encoded.filter("kind = 'words'").select("p", "vocabulary", "tally")
+    chunks = encoded.filter("kind = 'text'").select("p", "n", "k", "train", "sizes", "times", "words")
     kind = chunks.schema["k"].dataType.elementType.simpleString()
-    counted = scratch.save(requests(chunks, buckets).groupBy("bucket").applyInArrow(_count(minimum), ANSWERS), "counts", by=("kind",))
-    sums = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(CUT + 3)]
-    stats = {r["ord"]: [r[f"s{i}"] for i in range(CUT + 3)] for r in counted.filter("kind = 'model'").groupBy("ord").agg(*sums).collect()}
-    stats = {o: stats.get(o, [0] * (CUT + 3)) for o in (1, 2)}
+    tokens = chunks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // CHUNK))
     texts = docs.filter(F.coalesce(train, F.lit(False))).count()
-    answers = counted.filter("kind = 'answer'").select("p", "ord", "bucket", "counts", "own")
-    second = scratch.save(chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_evaluate(stats, texts, buckets, minimum), SECOND.format(kind)), "second", by=("kind",))
-    scratch.drop("chunks")
-    weights = second.filter("kind = 'sums'").select("bucket", "p", "keys", "seen", "lower").groupBy("bucket").applyInArrow(_weigh, WEIGHTS)
-    weights = scratch.save(weights, "weights", by=("kind",)).filter("kind = 'answer'").select("p", "bucket", "weights")
-    texts_rows = second.filter("kind = 'texts'").select("p", "k", "held", "tokens", "known", "base", "partial", "backs", "contexts")
-    out = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts_rows.groupBy("p").cogroup(weights.groupBy("p")).applyInArrow(_finish(stats[1][1]), out).withColumnRenamed("k", key)
+    stats: list[list[int]] = []
+    answers = None
+    for n in range(1, order + 1):
+        model = Model(stats, texts, buckets, CHUNK)
+        if n == 1:
+            asked = vocabulary.mapInArrow(_ask_words(buckets), REQUESTS)
+        else:
+            asked = chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_ask(model, n), REQUESTS)
+        counted = scratch.save(asked.groupBy("bucket").applyInArrow(_count(model, n == order), COUNTED), f"order{n}", by=("kind",))
+        if n == 1:
+            scratch.drop("chunks/kind=words")
+        sums = counted.filter("kind = 'model'").agg(*[F.sum(F.col("stats")[i]) for i in range(CUT + 3)]).first()
+        stats = [*stats, [x or 0 for x in sums]]
+        told = counted.filter("kind = 'answer'").select("p", "ord", "bucket", "counts", "numbers", "masks", "levels", "lower")
+        answers = told if answers is None else answers.unionByName(told)
+    model = Model(stats, texts, buckets, CHUNK)
+    scored = chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_finish(model, order), SCORES.format(kind))
+    return scored.withColumnRenamed("k", key)

@@ -185,13 +185,20 @@ def test_truncated_archive():
 # ---- language model
 
 
-def slow_katz(docs, minimum=2, cut=5, reserve=0.5):
+def slow_katz(docs, order=3, cut=5, reserve=0.5):
+    """Scores by dictionaries, word for word from the formulas; checks that contexts sum to 1."""
     end, start = "\0e", "\0s"
     tokens = [[w.decode() for w in (t or "").encode().lower().split()] + [end] for _, t, _ in docs]
     train = [t for t, (_, _, f) in zip(tokens, docs, strict=True) if f]
-    one = collections.Counter(w for t in train for w in t)
-    two = collections.Counter(p for t in train for p in zip([start, *t], t, strict=False))
-    n = sum(one.values())
+    counts = [collections.Counter() for _ in range(order)]
+    context = [collections.Counter() for _ in range(order)]
+    for t in train:
+        padded = [start] * (order - 1) + t
+        for i in range(order - 1, len(padded)):
+            for n in range(order):
+                counts[n][tuple(padded[i - n : i + 1])] += 1
+                context[n][tuple(padded[i - n : i])] += 1
+    total = sum(counts[0].values())
 
     def discount(counts):
         of = collections.Counter(counts.values())
@@ -202,47 +209,68 @@ def slow_katz(docs, minimum=2, cut=5, reserve=0.5):
             d[r] = x if 0 < x <= 1 else 1
         return d
 
-    d1, d2 = discount(one), discount(two)
-    left = sum(c * (1 - d1.get(c, 1)) for c in one.values())
-    scale, unknown = (1, left / n) if left > 0 else (n / (n + 1), 1 / (n + 1))
-    p1 = lambda w: scale * d1.get(one[w], 1) * one[w] / n if w in one else unknown
-    context = collections.Counter({**one, start: len(train)})
-    p2 = {k: d2.get(c, 1) * c / (context[k[0]] + reserve) for k, c in two.items() if c >= minimum}
-    seen, lower = collections.Counter(), collections.Counter()
-    for (h, w), p in p2.items():
-        seen[h] += p
-        lower[h] += p1(w)
-    alpha = {h: (1 - seen[h]) / (1 - lower[h]) for h in seen}
-    for h in [*list(alpha)[:5], start]:
-        assert sum(p2.get((h, w)) or alpha.get(h, 1) * p1(w) for w in one) + alpha.get(h, 1) * unknown == pytest.approx(1)
+    d = [discount(c) for c in counts]
+    left = sum(c * (1 - d[0].get(c, 1)) for c in counts[0].values())
+    scale, unknown = (1, left / total) if left > 0 else (total / (total + 1), 1 / (total + 1))
+    after = [collections.defaultdict(list) for _ in range(order)]
+    for n in range(1, order):
+        for g in counts[n]:
+            after[n][g[:-1]].append(g[-1])
+    memo = {}
+
+    def divisor(n, h):
+        spare = all(d[n].get(counts[n][(*h, w)], 1) == 1 for w in after[n][h])
+        return context[n][h] + (reserve if spare else 0)
+
+    def alpha(n, h):
+        if (n, h) not in memo:
+            seen = sum(p(n, h, w) for w in after[n][h])
+            memo[n, h] = (1 - seen) / (1 - sum(p(n - 1, h[1:], w) for w in after[n][h]))
+        return memo[n, h]
+
+    def p(n, h, w):
+        c = counts[n][(*h, w)]
+        if n == 0:
+            return scale * d[0].get(c, 1) * c / total if c else unknown
+        if c:
+            return d[n].get(c, 1) * c / divisor(n, h)
+        return (alpha(n, h) if context[n][h] else 1) * p(n - 1, h[1:], w)
+
+    for n in range(1, order):
+        for h in [*list(after[n])[:4], *list(after[n])[-4:]]:
+            assert sum(p(n, h, w) for (w,) in counts[0]) + p(n, h, "never seen") == pytest.approx(1)
     out = {}
     for t, (key, _, f) in zip(tokens, docs, strict=True):
-        score = sum(math.log10(p2[h, w] if (h, w) in p2 else alpha.get(h, 1) * p1(w)) for h, w in zip([start, *t], t, strict=False))
-        out[key] = (not f, len(t), sum(w in one for w in t), n, sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t), score)
+        padded = [start] * (order - 1) + t
+        score = sum(math.log10(p(order - 1, tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded)))
+        base = sum(math.log10((counts[0][(w,)] + 1) / (total + len(counts[0]) + 1)) for w in t)
+        out[key] = (not f, len(t), sum((w,) in counts[0] for w in t), total, base, score)
     return out
 
 
-@pytest.mark.parametrize("chunk", [100, 10**6])
-def test_katz_matches_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("order", "chunk"), [(1, 100), (2, 100), (3, 60), (3, 10**6), (4, 100)])
+def test_katz_matches_brute_force(spark, monkeypatch, order, chunk):
+    """With small chunks contexts that occur more often than a chunk has tokens are dealt out to many buckets."""
     monkeypatch.setattr(katz, "CHUNK", chunk)
     rng = random.Random(3)
-    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)] + ["É", "A", "</s>", "<s>"]
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)] + ["É", "A", "</s>", "<s>"] + ["the"] * 300
     docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) if i % 11 else None, i % 4 != 1) for i in range(90)]
+    docs += [(90 + i, "the same words again and again", True) for i in range(8)] + [(99, "the same words never", False)]
     df = spark.createDataFrame(docs, DOCS + ", train boolean").repartition(3)
-    got = {r.doc_id: tuple(r)[1:] for r in katz.katz_scores(df, F.col("train")).collect()}
-    expected = slow_katz(docs)
+    got = {r.doc_id: tuple(r)[1:] for r in katz.katz_scores(df, F.col("train"), order=order).collect()}
+    expected = slow_katz(docs, order)
     assert got.keys() == expected.keys()
     for k, e in expected.items():
-        assert got[k][:4] == e[:4] and got[k][4:] == pytest.approx(e[4:])
+        assert got[k][:4] == e[:4] and got[k][4:] == pytest.approx(e[4:]), k
 
 
-def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
+def test_katz_query_keeps_all_counts(spark, tmp_path):
     rng = random.Random(4)
     texts = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 40)))) for i in range(90)]
     df = spark.createDataFrame(texts, DOCS)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     train = {r.doc_id: r.train for r in df.select("doc_id", (fold_of("doc_id", 7) != 2).alias("train")).collect()}
-    expected = slow_katz([(i, t, train[i]) for i, t in texts], minimum=1)
+    expected = slow_katz([(i, t, train[i]) for i, t in texts])
     got = {r.doc_id: tuple(r)[1:] for r in queries.op3_katz_backoff(spark, str(tmp_path)).collect()}
     assert got.keys() == expected.keys()
     for k, e in expected.items():
