@@ -25,6 +25,7 @@ what the weight of each context that a text backs off from is made of; no other
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, raw, tune
 from lexloom.llm.words import WordHash, space_words
 
-#: Order of the model; Good-Turing applies up to this count; tokens of a chunk, and of a bucket on average.
-ORDER, CUT, CHUNK, RESERVE = 3, 5, 1 << 20, 0.5
+#: Order of the model; Good-Turing applies up to this count; tokens of a chunk; of a bucket, at most on average.
+ORDER, CUT, CHUNK, BUCKET, RESERVE = 3, 5, 1 << 20, 3 << 20, 0.5
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Hash of the end of a text; no word contains a space.
 END = WordHash().of([b" end"])[0]
@@ -51,15 +52,30 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _squeeze(a: np.ndarray) -> bytes:
-    """An array as compressed byte planes: high bytes of small numbers are alike and take next to no room."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+    """An array by its byte planes, each compressed by itself if that helps; planes of zeros, as of the high bytes of
+    small numbers, are left out. Starts with the length and a bit for each plane that is there."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+    some = planes.any(axis=1)
+    out = [struct.pack("<IB", len(a), np.packbits(some, bitorder="little")[0])]
+    for plane in planes[some]:
+        data = plane.tobytes()
+        packed = zstandard.ZstdCompressor(level=1, write_content_size=False).compress(data)
+        out += [struct.pack("<I", min(len(packed), len(data))), packed if len(packed) < len(data) else data]
+    return b"".join(out)
 
 
 def _expand(data: bytes | None, kind: type) -> np.ndarray:
     if not data:
         return np.zeros(0, kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    (n, some), at = struct.unpack_from("<IB", data), 5
+    planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
+    for i in range(len(planes)):
+        if some >> i & 1:
+            (size,) = struct.unpack_from("<I", data, at)
+            part = data[at + 4 : at + 4 + size]
+            planes[i] = np.frombuffer(part if size == n else zstandard.ZstdDecompressor().decompress(part, max_output_size=n), np.uint8)
+            at += 4 + size
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -190,13 +206,15 @@ class Model:
         self.first = Unigrams(stats[0]) if stats else None
         self.d = [discounts(s) for s in stats]
 
-    def lower(self, order: int, num: np.ndarray, den: np.ndarray) -> np.ndarray:
-        """P of n-grams of ``order`` that were seen ``num`` times; ``den`` is twice the divisor."""
-        return self.first.p(num) if order == 1 else _discounted(self.d[order - 1], num) * 2 / den
+    def covered(self, order: int, spread: np.ndarray, den: np.ndarray) -> np.ndarray:
+        """Sums of P over n-grams of ``order`` in one context each: spread has how many were seen 1 to CUT times and the
+        sum of the counts above, den twice the divisor."""
+        sums = (self.d[order - 1][_LEVELS] * _LEVELS) @ spread[:CUT] + spread[CUT]
+        return sums * self.first.scale / max(self.first.total, 1) if order == 1 else sums * 2 / den
 
 
-REQUESTS = "bucket int, ord int, p long, contexts binary, asked binary, fan binary, words binary, counts binary, num binary, den binary"
-COUNTED = "kind string, bucket int, ord int, p long, contexts binary, fan binary, words binary, counts binary, numbers binary, masks binary, weighed binary, levels binary, lower binary, stats array<long>"
+REQUESTS = "bucket int, ord int, p long, contexts binary, asked binary, fan binary, words binary, counts binary, num binary"
+COUNTED = "kind string, bucket int, ord int, p long, contexts binary, fan binary, words binary, counts binary, numbers binary, masks binary, weighed binary, levels binary, spread binary, stats array<long>"
 
 
 class Chunk:
@@ -207,12 +225,12 @@ class Chunk:
         self.train = _flags(row["train"], n)
         self.sizes = _expand(row["sizes"], np.uint32).astype(np.int64)
         ends = np.cumsum(self.sizes) - 1
-        self.doc = np.repeat(np.arange(n), self.sizes)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         self.first = np.zeros(len(self.doc), bool)
         self.first[ends - self.sizes + 1] = True
         times = _expand(row["times"], np.uint32)
         # the one word that no text holds as often as the chunk has it is the end
-        self.word = np.full(len(self.doc), -1, np.int64)
+        self.word = np.full(len(self.doc), -1, np.int32)
         inner = np.ones(len(self.doc), bool)
         inner[ends] = False
         self.word[inner] = _by_times(times)[_expand(row["words"], np.uint32)]
@@ -232,8 +250,8 @@ class Chunk:
         self.den = np.ones(len(self.doc), np.int64)  # not read at order 1
         self.log_p = np.log10(model.first.p(self.count))
         order = np.argsort(numbers, kind="stable")[np.count_nonzero(numbers < 0) :]
-        place = np.full(self.n_words, -1, np.int64)
-        place[order] = np.arange(len(order))
+        place = np.full(self.n_words, -1, np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.words, self.word_at = numbers[order], place[self.word]  # seen words by their numbers, ascending
         self.grams, self.gram_at = self.words, self.word_at
 
@@ -248,7 +266,7 @@ class Chunk:
         place = place[self.has_context]
         used = np.bincount(place, minlength=len(self.grams) + 1) > 0
         self.contexts = np.append(0, self.grams + 1)[used]
-        self.context_at = (np.cumsum(used) - 1)[place]
+        self.context_at = (np.cumsum(used, dtype=np.int32) - 1)[place]
         self.context_count = np.where(self.first, model.texts, np.roll(self.count, 1))
         at = np.flatnonzero(self.has_context)
         example = np.zeros(len(self.contexts), np.int64)
@@ -260,9 +278,9 @@ class Chunk:
         self.asked_context = parts > 1
         self.asked_context[self.context_at[~known]] = True
         # distinct (context, word), by both
-        self.pair_token = at[known]
+        self.pair_token = at[known].astype(np.int32)
         n = np.int64(max(len(self.words), 1))
-        code, pair_at = np.unique(self.context_at[known] * n + self.word_at[self.pair_token], return_inverse=True)
+        code, pair_at = np.unique(self.context_at[known].astype(np.int64) * n + self.word_at[self.pair_token], return_inverse=True)
         context = code // n
         word = self.words[code - context * n]
         # entries: a context's buckets, one unless it is hot
@@ -285,7 +303,7 @@ class Chunk:
         group = entry[order]
         start = np.searchsorted(group, group)
         sent[order] = (ends - self.fan)[group] + np.arange(len(order)) - start
-        self.pair_at = sent[pair_at]
+        self.pair_at = sent.astype(np.int32)[pair_at]
         self.pair_word, self.entry_of = np.empty_like(word), np.empty_like(entry)
         self.pair_word[sent], self.entry_of[sent] = word, entry
         self.entry_context = entries % m
@@ -294,21 +312,21 @@ class Chunk:
         self.spans = [(b, s, e, int(ends[s - 1]) if s else 0, int(ends[e - 1])) for b, s, e in zip(buckets.tolist(), starts.tolist(), stops.tolist(), strict=True)]
 
     def ask(self, order: int) -> Iterator[tuple]:
-        """Rows of REQUESTS without p. num: for pairs seen in training here, the count of the n-gram without its first word."""
+        """Rows of REQUESTS without p. num: for pairs in training texts, the count of the n-gram without its first word."""
         counts = np.bincount(self.pair_at, weights=self.train[self.doc[self.pair_token]], minlength=len(self.pair_word)).astype(np.uint32)
         num = np.zeros(len(self.pair_word), np.uint64)
         num[self.pair_at] = self.count[self.pair_token]
         num[counts == 0] = 0
         for b, s, e, i, j in self.spans:
             c = self.entry_context[s:e]
-            yield b, order, pack_keys(self.contexts[c]), _bits(self.asked_context[c]), _squeeze(self.fan[s:e]), _squeeze(self.pair_word[i:j]), _squeeze(counts[i:j]), _squeeze(num[i:j]), _squeeze(self.context_den[c])
+            yield b, order, pack_keys(self.contexts[c]), _bits(self.asked_context[c]), _squeeze(self.fan[s:e]), _squeeze(self.pair_word[i:j]), _squeeze(counts[i:j]), _squeeze(num[i:j])
 
     def hear(self, answers: list[dict], order: int, model: Model) -> None:
         """Take in the counts of ``order`` and its probabilities: the recursion's step from the order below."""
         d = model.d[order - 1]
         counts, numbers = np.zeros(len(self.pair_word), np.int64), np.full(len(self.pair_word), -1, np.int64)
         masks = np.zeros(len(self.contexts), np.uint8)
-        levels, lower = np.zeros((CUT, len(self.contexts))), np.zeros(len(self.contexts))
+        levels, spread = np.zeros((CUT, len(self.contexts))), np.zeros((CUT + 1, len(self.contexts)))
         for (b, s, e, i, j), r in zip(self.spans, answers, strict=True):
             c = self.entry_context[s:e]
             counts[i:j] = _expand(r["counts"], np.uint64)
@@ -318,7 +336,7 @@ class Chunk:
             masks[c] |= _expand(r["masks"], np.uint8)
             told = c[_told(self.asked_context[c], self.entry_of[i:j] - s, counts[i:j])]
             levels[:, told] += _expand(r["levels"], np.uint64).reshape(CUT, -1)
-            lower[told] += _expand(r["lower"], np.float64)
+            spread[:, told] += _expand(r["spread"], np.uint64).reshape(CUT + 1, -1)
         # a context of which the discounts leave nothing sets half a count aside
         leaving = np.uint8(sum(1 << int(r) for r in _LEVELS if d[r] < 1))
         spare = np.zeros(len(self.doc), bool)
@@ -328,17 +346,17 @@ class Chunk:
         self.count[self.pair_token] = counts[self.pair_at]
         seen = counts > 0
         self.grams = numbers[seen]  # ascending: by bucket, and in a bucket by context and word
-        self.gram_at = np.full(len(self.doc), -1, np.int64)
-        self.gram_at[self.pair_token] = np.where(seen, np.cumsum(seen) - 1, -1)[self.pair_at]
+        self.gram_at = np.full(len(self.doc), -1, np.int32)
+        self.gram_at[self.pair_token] = np.where(seen, np.cumsum(seen) - 1, -1).astype(np.int32)[self.pair_at]
         direct = self.count > 0
         back = np.zeros(len(self.doc))
         left = ((1 - d[_LEVELS]) * _LEVELS) @ levels
         left = np.where(masks & leaving == 0, RESERVE, left)
         at = np.flatnonzero(self.has_context & ~direct)
         c = self.context_at[~direct[self.has_context]]
-        back[at] = np.log10(left[c] * 2 / self.den[at] / (1 - lower[c]))
+        back[at] = np.log10(left[c] * 2 / self.den[at] / (1 - model.covered(order - 1, spread, self.context_den)[c]))
         self.log_p = back + self.log_p
-        self.log_p[direct] = np.log10(model.lower(order, self.count[direct], self.den[direct]) if order > 1 else 1.0)
+        self.log_p[direct] = np.log10(_discounted(d, self.count[direct]) * 2 / self.den[direct])
 
     def learn(self, answers: list[dict], model: Model, orders: int) -> None:
         """Take in the answers of all orders up to ``orders``."""
@@ -382,7 +400,7 @@ def _stats(total: np.ndarray) -> list[int]:
     return [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, CUT + 2))]
 
 
-def _count(model: Model, last: bool):
+def _count(last: bool):
     """Corpus counts of one bucket's n-grams: the model's part (kind model) and an answer to each chunk (kind answer)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -396,9 +414,6 @@ def _count(model: Model, last: bool):
         fans = read("fan", np.uint32)
         ends = np.cumsum([len(c) for c in mine])
         context_at = np.split(context_at, ends[:-1])
-        den = np.zeros(len(contexts), np.int64)
-        for c, x in zip(context_at, read("den", np.int64), strict=True):
-            den[c] = x
         pair_context = [np.repeat(c, f) for c, f in zip(context_at, fans, strict=True)]
         words, counts, num = (read(*x) for x in (("words", np.int64), ("counts", np.uint32), ("num", np.uint64)))
         key = np.concatenate(pair_context).astype(np.uint64) << np.uint64(40) | np.concatenate(words).astype(np.uint64)
@@ -413,8 +428,11 @@ def _count(model: Model, last: bool):
         for r in _LEVELS:
             n[r - 1] = np.bincount(context[total == r], minlength=len(contexts))
         masks = ((n > 0) << _LEVELS[:, None]).sum(axis=0).astype(np.uint8)
-        p = model.lower(order - 1, lower_num[seen], den[context[seen]])
-        lower = np.bincount(context[seen], weights=p, minlength=len(contexts))
+        low, home = lower_num[seen], context[seen]
+        spread = np.zeros((CUT + 1, len(contexts)), np.uint64)
+        for r in _LEVELS:
+            spread[r - 1] = np.bincount(home[low == r], minlength=len(contexts))
+        spread[CUT] = np.bincount(home[low > CUT], weights=low[low > CUT], minlength=len(contexts))
         out, place, every_told = [], 0, np.zeros(len(contexts), bool)
         for r, c, f in zip(rows, context_at, fans, strict=True):
             size = int(f.sum())
@@ -424,11 +442,11 @@ def _count(model: Model, last: bool):
             told = c[_told(_flags(r["asked"], len(c)), np.repeat(np.arange(len(c)), f), got)]
             every_told[told] = True
             numbers = None if last else _squeeze(np.diff(local[pairs][got > 0].astype(np.int64), prepend=np.int64(0)))
-            out.append(("answer", bucket, order, r["p"], None, None, None, _squeeze(got), numbers, _squeeze(masks[c]), None, _squeeze(n[:, told].ravel()), _squeeze(lower[told]), None))
-        some = np.unique(context[seen])
-        fan = np.bincount(context[seen], minlength=len(contexts))[some].astype(np.uint32)
+            out.append(("answer", bucket, order, r["p"], None, None, None, _squeeze(got), numbers, _squeeze(masks[c]), None, _squeeze(n[:, told].ravel()), _squeeze(spread[:, told].ravel()), None))
+        some = np.unique(home)
+        fan = np.bincount(home, minlength=len(contexts))[some].astype(np.uint32)
         kept = (pack_keys(contexts[some]), _squeeze(fan), _squeeze(distinct[seen] & np.uint64((1 << 40) - 1)), _squeeze(total[seen]))
-        weights = (pack_keys(contexts[every_told]), _squeeze(n[:, every_told].ravel()), _squeeze(lower[every_told]))
+        weights = (pack_keys(contexts[every_told]), _squeeze(n[:, every_told].ravel()), _squeeze(spread[:, every_told].ravel()))
         out.append(("model", bucket, order, -1, *kept, None, None, *weights, _stats(total)))
         return _table(out, COUNTED)
 
@@ -444,7 +462,7 @@ def _ask_words(buckets: int):
                 hashes, tally = np.frombuffer(row["vocabulary"], np.uint64), _expand(row["tally"], np.uint32)
                 cut = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
                 spans = [(i, s, e) for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-                yield from _table([(i, 1, row["p"], pack_keys(hashes[s:e]), None, None, None, _squeeze(tally[s:e]), None, None) for i, s, e in spans], REQUESTS).to_batches()
+                yield from _table([(i, 1, row["p"], pack_keys(hashes[s:e]), None, None, None, _squeeze(tally[s:e]), None) for i, s, e in spans], REQUESTS).to_batches()
 
     return run
 
@@ -499,7 +517,7 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     chunks = encoded.filter("kind = 'text'").select("p", "n", "k", "train", "sizes", "times", "words")
     kind = chunks.schema["k"].dataType.elementType.simpleString()
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // CHUNK))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET))
     texts = docs.filter(F.coalesce(train, F.lit(False))).count()
     stats: list[list[int]] = []
     answers = None
@@ -509,12 +527,12 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
             asked = vocabulary.mapInArrow(_ask_words(buckets), REQUESTS)
         else:
             asked = chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_ask(model, n), REQUESTS)
-        counted = scratch.save(asked.groupBy("bucket").applyInArrow(_count(model, n == order), COUNTED), f"order{n}", by=("kind",))
+        counted = scratch.save(asked.groupBy("bucket").applyInArrow(_count(n == order), COUNTED), f"order{n}", by=("kind",))
         if n == 1:
             scratch.drop("chunks/kind=words")
         sums = counted.filter("kind = 'model'").agg(*[F.sum(F.col("stats")[i]) for i in range(CUT + 3)]).first()
         stats = [*stats, [x or 0 for x in sums]]
-        told = counted.filter("kind = 'answer'").select("p", "ord", "bucket", "counts", "numbers", "masks", "levels", "lower")
+        told = counted.filter("kind = 'answer'").select("p", "ord", "bucket", "counts", "numbers", "masks", "levels", "spread")
         answers = told if answers is None else answers.unionByName(told)
     model = Model(stats, texts, buckets, CHUNK)
     scored = chunks.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_finish(model, order), SCORES.format(kind))
