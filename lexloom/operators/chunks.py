@@ -2,167 +2,47 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULT, EngineConfig
-from lexloom.functions import scalars as S
 from lexloom.functions import text as X
-
-_NARROW_LIST = re.compile(r"^\s*(?:[-•*]|\d+[.)])\s+")
-_SENTENCE = re.compile(r"(?<=[।.?!])\s+")
-Unit = tuple[str, str]  # block type, text
+from lexloom.operators import units as U
 
 
-def question_units(lines: list[str]) -> list[Unit]:
-    """A question with the line below it, unless that is a question by its ASCII mark; other lines by themselves."""
-    units, at = [], 0
-    while at < len(lines):
-        line, below = lines[at], lines[at + 1 : at + 2]
-        at += 1
-        if not line.endswith(("?", "？")):
-            units.append(("paragraph", line))
-        elif below and not below[0].endswith("?"):
-            units.append(("qa", f"{line}\n{below[0]}".strip()))
-            at += 1
-        else:
-            units.append(("qa", line.strip()))
-    return units
+def clean_units(units: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Units cleaned by their types, without those that are not worth a vector; long ones in pieces, with their tokens."""
+    rows = units.withColumn("text", X.compose("text"))
+    lines = F.col("kind").isin(*U.KEEP_LINES)
+    rows = rows.withColumn("text", F.when(lines, X.clean_text("text", lines=True, composed=True)).otherwise(X.clean_text("text", composed=True)))
+    rows = rows.filter(X.is_embeddable("text", config.min_quality, composed=True))
+    rows = rows.select(*U.SECTION, "unit_no", "kind", F.posexplode(U.split_long(F.col("text"), config.chunk_max)).alias("piece_no", "text"))
+    return rows.withColumn("size", X.token_count("text"))
 
 
-def section_units(title: str | None, text: str, blocks: list[Unit], strict: bool = True) -> list[Unit]:
-    """Units of a section: tables and questions each alone, runs of list items and of other blocks joined by lines.
+def pack_units(units: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(doc_id, section_no, draft_no, block_type, text): units of each section packed in order.
 
-    Strictly a paragraph after a list stays in the list's unit. Marked headings are left out. A section without blocks
-    is split into question units, paragraphs, list items and sentences.
+    Units that a chunk carries over take the type of the last. A chunk's type is that of its first unit; blank lines part
+    its units if any of them is a list, a question or a table.
     """
-    if blocks:
-        units: list[Unit] = []
-        held: list[str] = []
-        kind = "paragraph"
-
-        def flush() -> None:
-            if held:
-                units.append((kind, "\n".join(held)))
-                held.clear()
-
-        for block, body in blocks:
-            if block in ("table", "qa"):
-                flush()
-                units.append((block, body))
-                kind = "paragraph" if block == "qa" or not strict else kind
-            elif block == "list":
-                if kind != "list":
-                    flush()
-                kind = "list"
-                held.append(body)
-            elif block != "heading":
-                if not strict and kind == "list":
-                    flush()
-                    kind = "paragraph"
-                held.append(body)
-        flush()
-        return units
-    body = f"{title}\n{text}".strip() if title else text
-    lines = [x.strip() for x in body.split("\n") if x.strip()]
-    if sum(x.endswith("?") for x in lines) >= 2:
-        return question_units(lines)
-    units = []
-    for part in filter(None, (p.strip() for p in re.split(r"\n{2,}", body))):
-        units += [("list", part)] if _NARROW_LIST.match(part) else [("paragraph", s.strip()) for s in _SENTENCE.split(part) if s.strip()]
-    return units
-
-
-def force_split(unit: Unit, most: int) -> list[Unit]:
-    """A unit over ``most`` tokens in pieces of words, each cut where it reaches that many; lengths are kept as sums."""
-    kind, text = unit
-    if S.token_count(text) <= most:
-        return [unit]
-    pieces: list[Unit] = []
-    held: list[str] = []
-    n = indic = latin = 0
-    for word in text.split():
-        a, b, c = S.shape(word)
-        n, indic, latin = n + a + bool(held), indic + b, latin + c
-        held.append(word)
-        if S.tokens_of(n, indic, latin) >= most:
-            pieces.append((kind, " ".join(held)))
-            held, n, indic, latin = [], 0, 0, 0
-    return [*pieces, (kind, " ".join(held))] if held else pieces
-
-
-def fold_units(units: list[Unit], limit: int, config: EngineConfig = DEFAULT) -> Iterator[list[Unit]]:
-    """Runs of units within the target size, each begun with the tail of the one before; units of ``limit`` stand alone.
-
-    Strictly the tail is at least one unit, however large, and the sum is not checked again. Units of a tail take the
-    type of its last.
-    """
-    held: list[tuple[str, str, int]] = []
-    total = 0
-    for kind, text in units:
-        size = S.token_count(text)
-        if size >= limit:
-            if held:
-                yield [u[:2] for u in held]
-                held, total = [], 0
-            yield [(kind, text)]
-            continue
-        if held and total + size > config.chunk_target:
-            yield [u[:2] for u in held]
-            tail, carried = [], 0
-            for unit in reversed(held):
-                if carried + unit[2] > config.chunk_overlap and (tail or not config.strict):
-                    break
-                tail.insert(0, (held[-1][0], *unit[1:]))
-                carried += unit[2]
-            if not config.strict and carried + size > config.chunk_max:
-                tail, carried = [], 0
-            held, total = tail, carried
-        held.append((kind, text, size))
-        total += size
-    if held:
-        yield [u[:2] for u in held]
-
-
-def pack_units(units: list[Unit], config: EngineConfig = DEFAULT) -> list[Unit]:
-    """Chunks (type of the first unit, text) of units in order; list, question and table units are set off by blank lines."""
-    chunks: list[Unit] = []
-    for run in fold_units(units, config.chunk_max, config):
-        gap = "\n\n" if any(k in S.KEEP_LINES for k, _ in run) else " "
-        if text := gap.join(t for _, t in run).strip():
-            chunks.append((run[0][0], text))
-    return chunks
+    by = units.groupBy(*U.SECTION).agg(F.array_sort(F.collect_list(F.struct("unit_no", "piece_no", "kind", "text", "size"))).alias("units"))
+    sizes = F.transform("units", lambda u: u["size"])
+    ranges = U.pack_ranges(F.col("sizes"), config.chunk_max, config.chunk_target, config.chunk_overlap, config.chunk_max, config.strict)
+    rows = by.withColumn("sizes", sizes).select(*U.SECTION, "units", F.posexplode(ranges).alias("draft_no", "r"))
+    kind = lambda place: F.get("units", place)["kind"]
+    carried = F.when(F.col("r.own") > F.col("r.first"), kind(F.col("r.own") - 1))
+    own = F.slice("units", F.col("r.own") + 1, F.col("r.end") - F.col("r.own"))
+    gap = F.when(F.coalesce(carried.isin(*U.KEEP_LINES), F.lit(False)) | F.exists(own, lambda u: u["kind"].isin(*U.KEEP_LINES)), "\n\n").otherwise(" ")
+    texts = F.transform(F.slice("units", F.col("r.first") + 1, F.col("r.end") - F.col("r.first")), lambda u: u["text"])
+    return rows.select(*U.SECTION, "draft_no", F.coalesce(carried, kind(F.col("r.first"))).alias("block_type"), X.strip(F.call_function("array_join", texts, gap)).alias("text"))
 
 
 def draft_chunks(sections: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chunk drafts of each section: (doc_id, section_no, draft_no, block_type, text, and the section's columns).
-
-    Sections are folded row by row where they are; nothing is shuffled, and no document need fit in memory.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in sections.schema}
-    keep = ["doc_id", "section_no", "section_id", "section_title", "heading_path", "page_start", "page_end"]
-    rows = sections.select(*keep, "text", F.transform("blocks", lambda b: F.struct(b["block_type"], b["text"])).alias("blocks"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                blocks = [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in r.blocks] if r.blocks is not None else []
-                units: list[Unit] = []
-                for kind, text in section_units(r.section_title, r.text or "", [(k, t or "") for k, t in blocks], config.strict):
-                    clean = S.clean(text, kind in S.KEEP_LINES)
-                    if S.embeddable(clean, config.min_quality):
-                        units += force_split((kind, clean), config.chunk_max)
-                for n, (kind, text) in enumerate(pack_units(units, config)):
-                    out.append((r.doc_id, r.section_no, r.section_id, r.section_title, r.heading_path, r.page_start, r.page_end, n, kind, text))
-            yield pd.DataFrame(out, columns=[*keep, "draft_no", "block_type", "text"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", draft_no int, block_type string, text string"
-    return rows.mapInPandas(run, schema)
+    """Chunk drafts of each section: (doc_id, section_no, draft_no, block_type, text, and the section's columns)."""
+    keep = ["section_id", "section_title", "heading_path", "page_start", "page_end"]
+    made = pack_units(clean_units(U.section_units(sections, config.strict), config), config)
+    return made.join(sections.select(*U.SECTION, *keep), U.SECTION).select(*U.SECTION, *keep, "draft_no", "block_type", "text")
 
 
 def measure(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
@@ -184,24 +64,33 @@ def exact_dedup(chunks: DataFrame, order: list[str | Column], key: str = "doc_id
 
 
 def merge_tiny(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chunks under the least size joined to the one before in their section, as long as the sum is within the most."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["section_no", "draft_no"], kind="stable")
-        out: list[dict] = []
-        for r in rows.to_dict("records"):
-            last = out[-1] if out else None
-            if last and r["token_count"] < config.chunk_min and last["token_count"] + r["token_count"] <= config.chunk_max:
-                last["text"] += "\n\n" + r["text"]
-                last["token_count"] += r["token_count"]
-                last["quality_score"] = min(last["quality_score"], r["quality_score"])
-                last["page_end"] = max(0 if pd.isna(last["page_end"]) else last["page_end"], 0 if pd.isna(r["page_end"]) else r["page_end"])
-            else:
-                out.append(r)
-        return pd.DataFrame(out, columns=rows.columns)
-
-    merged = chunks.groupBy("doc_id", "section_no").applyInPandas(fold, chunks.schema)
-    return merged.withColumn("text_hash", X.content_hash("text"))
+    """Chunks under the least size joined to the one before in their section, as long as the sum is within the most.
+
+    Which chunks join is a fold over their token counts. The first of those joined gives all other columns; quality is
+    the least of theirs and page_end the greatest, a missing one counting as 0.
+    """
+    columns = chunks.columns
+    by = chunks.groupBy(*U.SECTION).agg(F.array_sort(F.collect_list(F.struct("draft_no", F.struct(*columns).alias("c")))).alias("held"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("total"), F.array().cast("array<int>").alias("heads"))
+
+    def step(s: Column, size: Column) -> Column:
+        joins = (F.size(s["heads"]) > 0) & (size < config.chunk_min) & (s["total"] + size <= config.chunk_max)
+        return F.struct((s["at"] + 1).alias("at"), F.when(joins, s["total"] + size).otherwise(size).alias("total"), F.when(joins, s["heads"]).otherwise(F.concat(s["heads"], F.array(s["at"]))).alias("heads"))
+
+    heads = F.aggregate(F.transform("held", lambda x: x["c"]["token_count"]), start, step, lambda s: s["heads"])
+    rows = by.select("held", heads.alias("heads")).select("held", "heads", F.posexplode("heads").alias("n", "at"))
+    end = F.coalesce(F.get("heads", F.col("n") + 1), F.size("held"))
+    rows = rows.select(F.transform(F.slice("held", F.col("at") + 1, end - F.col("at")), lambda x: x["c"]).alias("g"))
+    each = lambda name: F.transform("g", lambda c: c[name])
+    first = F.element_at("g", 1)
+    merged = {
+        "text": F.array_join(each("text"), "\n\n"),
+        "token_count": F.aggregate(each("token_count"), F.lit(0), lambda s, x: s + x),
+        "quality_score": F.array_min(each("quality_score")),
+        "page_end": F.when(F.size("g") == 1, first["page_end"]).otherwise(F.array_max(F.transform("g", lambda c: F.coalesce(c["page_end"], F.lit(0))))),
+    }
+    out = rows.select(*[merged.get(c, first[c]).alias(c) for c in columns])
+    return out.withColumn("text_hash", X.content_hash("text"))
 
 
 def noise_filter(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

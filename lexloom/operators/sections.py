@@ -42,7 +42,8 @@ def detect_sections(pages: DataFrame, strict: bool = True) -> DataFrame:
     head = F.element_at("items", 1)
     titled = by.withColumn("title", F.when(head["heading"], head["line"])).withColumn("level", F.when(head["heading"], head["b"]["heading_level"]))
     body = F.filter("items", lambda x: ~x["heading"])
-    join = F.aggregate(body, F.lit(""), lambda s, x: F.when(s == "", x["line"]).otherwise(F.concat(s, F.when(x["b"]["block_type"] == "table", F.lit("\n\n")).otherwise(F.lit("\n")), x["line"])))
+    gap = lambda x, i: F.when(i == 0, "").when(x["b"]["block_type"] == "table", "\n\n").otherwise("\n")
+    join = F.array_join(F.transform(body, lambda x, i: F.concat(gap(x, i), x["line"])), "")
     before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
     titles = F.collect_list(F.when(F.col("title").isNotNull(), F.struct("title", "level"))).over(before)
     made = titled.select(

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULT, EngineConfig
-from lexloom.functions import scalars as S
 from lexloom.functions import text as X
-from lexloom.operators.chunks import fold_units
+from lexloom.operators import units as U
 
-_QUESTION_ENDS = ("?", "？")
-_BREAK = re.compile(r"(?<=[।.?!])\s+|\n{2,}")
+#: Where a text without questions parts: after a sentence, and at blank lines.
+_BREAK = X.SENTENCE_GAP + r"|\n{2,}"
 #: A heading: a line of at most 90 characters and 12 words that does not end a sentence.
 HEADING_CHARS, HEADING_WORDS, HEADING_LINE = 90, 12, r"^(?:\p{Nd}+[.)] +)?[^\n]{1,81}$"
 
@@ -37,54 +32,32 @@ def simple_sections(pages: DataFrame) -> DataFrame:
     part = F.when(F.col("heading"), rest).otherwise(F.col("para"))
     by = rows.groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("page_number", "n", "heading", "first", part.alias("part")))).alias("items"))
     head = F.element_at("items", 1)
-    text = F.aggregate("items", F.lit(""), lambda s, x: X.strip(F.concat(s, F.lit("\n\n"), x["part"])))
+    parts = F.filter(F.transform("items", lambda x: F.rtrim(x["part"], F.lit(X.WHITE_CHARS))), lambda x: x != "")
+    text = X.strip(F.array_join(parts, "\n\n"))
     made = by.select("doc_id", "section_no", F.when(head["heading"], head["first"]).alias("section_title"), text.alias("text"), head["page_number"].alias("page_number"))
     blank = pages.groupBy("doc_id").agg(F.max(X.strip(X.text_of("text")) != "").alias("some"), F.min("page_number").alias("page_number")).filter("NOT some")
     blank = blank.select("doc_id", F.lit(0).alias("section_no"), F.lit(None).cast("string").alias("section_title"), F.lit("").alias("text"), "page_number")
     return made.unionByName(blank).withColumn("section_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":s:"), F.col("section_no").cast("string")), 256))
 
 
-def _asks(lines: list[str]) -> bool:
-    return sum(x.endswith(_QUESTION_ENDS) for x in lines) >= 2
-
-
-def simple_units(text: str) -> list[str]:
+def simple_units(text: Column) -> Column:
     """Questions with the line below that is no question, where at least two lines ask; else sentences and paragraphs."""
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if not _asks(lines):
-        return [x.strip() for x in _BREAK.split(text) if x and x.strip()]
-    units: list[str] = []
-    open_question = False
-    for line in lines:
-        asks = line.endswith(_QUESTION_ENDS)
-        if open_question and not asks:
-            units[-1] += "\n" + line
-        else:
-            units.append(line)
-        open_question = asks
-    return units
+    lines = U.lines_of(text)
+    plain = F.filter(F.transform(F.split(text, _BREAK), X.strip), lambda x: x != "")
+    return F.when(U.asking(lines) >= 2, F.transform(U.question_units(lines), lambda u: u["text"])).otherwise(plain)
 
 
 def simple_chunks(sections: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(doc_id, chunk_index, section_id, section_title, page_number, text, token_count) of sections, titles put before
     their texts. A unit of the target size stands alone; every chunk stays."""
     keep = ["doc_id", "section_no", "section_id", "section_title", "page_number"]
-    kinds = {f.name: f.dataType.simpleString() for f in sections.schema}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                body = f"{r.section_title}\n{r.text}".strip() if r.section_title else r.text or ""
-                runs = fold_units([("paragraph", u) for u in simple_units(body)], config.chunk_target, config)
-                for n, units in enumerate(runs):
-                    texts = [t for _, t in units]
-                    gap = "\n\n" if _asks([x.strip() for t in texts for x in t.split("\n")]) else " "
-                    text = gap.join(texts).strip()
-                    out.append((r.doc_id, r.section_no, r.section_id, r.section_title, r.page_number, n, text, S.token_count(text)))
-            yield pd.DataFrame(out, columns=[*keep, "n", "text", "token_count"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", n int, text string, token_count int"
-    drafts = sections.select(*keep, "text").mapInPandas(run, schema)
+    body = F.when(X.text_of("section_title") != "", X.strip(F.concat("section_title", F.lit("\n"), X.text_of("text")))).otherwise(X.text_of("text"))
+    rows = sections.select(*keep, simple_units(body).alias("units"))
+    rows = rows.withColumn("sizes", F.transform("units", X.token_count))
+    ranges = U.pack_ranges(F.col("sizes"), config.chunk_target, config.chunk_target, config.chunk_overlap, config.chunk_max, config.strict)
+    rows = rows.select(*keep, "units", F.posexplode(ranges).alias("n", "r"))
+    rows = rows.select(*keep, "n", F.slice("units", F.col("r.first") + 1, F.col("r.end") - F.col("r.first")).alias("texts"))
+    gap = F.when(U.asking(F.flatten(F.transform("texts", U.lines_of))) >= 2, "\n\n").otherwise(" ")
+    rows = rows.withColumn("text", X.strip(F.call_function("array_join", F.col("texts"), gap)))
     index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "n")) - 1).cast("int")
-    return drafts.withColumn("chunk_index", index).select("doc_id", "chunk_index", "section_id", "section_title", "page_number", "text", "token_count")
+    return rows.select("doc_id", index.alias("chunk_index"), "section_id", "section_title", "page_number", "text", X.token_count("text").alias("token_count"))

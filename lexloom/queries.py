@@ -30,27 +30,26 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-#: A table under this size is likely one row group, which one task would read and compute on alone.
-SMALL_BYTES = 256 << 20
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; the texts of a small one are dealt out to all cores, larger ones stay parted as their files are."""
+    """A table. Texts and vectors that come in fewer parts than there are cores are dealt out, others stay as files are."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "embeddings") and size < SMALL_BYTES else rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "embeddings") and rows.rdd.getNumPartitions() < cores else rows
 
 
-#: Texts of documents, some made Indic, garbled, short or with questions, so that every rule decides both ways.
-VARIED = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN concat(text, ' ŁłʢˤŁł ', translate(text, 'aeioun', 'ŁłŁłŁł')) WHEN 2 THEN translate(text, 'aeiounst', 'অআইঈউকখগ')
-WHEN 3 THEN concat('  ', lang, '  ') WHEN 4 THEN concat(translate(text, 'aeiour', 'অআইঈউঋ'), '  \t ?') ELSE concat('- ', text, '?') END"""
+#: Another script's text beside each document's own (variant 0), so that rules for scripts, garbage, lists and questions
+#: decide both ways.
+INDIC = "concat('- ', translate(text, 'aeiounst', 'অআইঈউকখগ'), ' ŁłʢˤŁł ?')"
 
 
 def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.expr(VARIED).alias("t"))
+    """Every document's whole text t, and beside it the variant."""
+    forms = F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("t")), F.struct(F.lit(1).alias("variant"), F.expr(INDIC).alias("t")))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(forms).alias("form"))
+    return d.select("doc_id", "source", "lang", "form.variant", "form.t")
 
 
-_T = f"WITH v AS (SELECT doc_id, source, lang, {VARIED} AS t FROM documents)"
+_T = f"WITH v AS (SELECT doc_id, source, lang, 0 AS variant, text AS t FROM documents UNION ALL SELECT doc_id, source, lang, 1, {INDIC} FROM documents)"
 # White space, as one RE2 class.
 _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _GARBAGE = r"[\x{141}\x{142}\x{2a2}\x{2e4}\x{34b}-\x{34e}\x{350}-\x{361}]"
@@ -124,64 +123,64 @@ def _words(t: str) -> str:
 # ---- text functions
 
 
-@query(f"{_T} SELECT doc_id, {_indic('t')} AS indic, {_latin('t')} AS latin, {_garbage('t')} AS garbage FROM v")
+@query(f"{_T} SELECT doc_id, variant, {_indic('t')} AS indic, {_latin('t')} AS latin, {_garbage('t')} AS garbage FROM v")
 def script_ratios(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.indic_ratio("t").alias("indic"), X.latin_ratio("t").alias("latin"), X.garbage_ratio("t").alias("garbage"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.indic_ratio("t").alias("indic"), X.latin_ratio("t").alias("latin"), X.garbage_ratio("t").alias("garbage"))
 
 
-@query(f"{_T} SELECT doc_id, {_language('t')} AS language, CASE WHEN ({_latin('t')}) > ({_indic('t')}) THEN 'en' ELSE 'as' END AS query_language FROM v")
+@query(f"{_T} SELECT doc_id, variant, {_language('t')} AS language, CASE WHEN ({_latin('t')}) > ({_indic('t')}) THEN 'en' ELSE 'as' END AS query_language FROM v")
 def detect_language(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.detect_language("t").alias("language"), X.detect_query_language("t").alias("query_language"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.detect_language("t").alias("language"), X.detect_query_language("t").alias("query_language"))
 
 
-@query(f"{_T} SELECT doc_id, round({_quality('t')}, 9) AS quality FROM v")
+@query(f"{_T} SELECT doc_id, variant, round({_quality('t')}, 9) AS quality FROM v")
 def quality_score(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", F.round(X.quality_score("t"), 9).alias("quality"))
+    return varied(spark, sf_dir).select("doc_id", "variant", F.round(X.quality_score("t"), 9).alias("quality"))
 
 
-@query(f"{_T} SELECT doc_id, {_normal('t')} AS normal FROM v")
+@query(f"{_T} SELECT doc_id, variant, {_normal('t')} AS normal FROM v")
 def normalize_text(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.normalize("t").alias("normal"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.normalize("t").alias("normal"))
 
 
-@query(f"{_T} SELECT doc_id, {_flat('t')} AS cleaned FROM v")
+@query(f"{_T} SELECT doc_id, variant, {_flat('t')} AS cleaned FROM v")
 def clean_text_flat(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.clean_text("t").alias("cleaned"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.clean_text("t").alias("cleaned"))
 
 
-@query(f"{_T} SELECT doc_id, {_lines('t')} AS cleaned FROM v")
+@query(f"{_T} SELECT doc_id, variant, {_lines('t')} AS cleaned FROM v")
 def clean_text_lines(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.clean_text("t", lines=True).alias("cleaned"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.clean_text("t", lines=True).alias("cleaned"))
 
 
-@query(f"{_T}, c AS (SELECT doc_id, t, {_flat('t')} AS c FROM v) SELECT doc_id, length({_strip('t')}) >= 10 AND ({_quality('c')}) >= 0.45 AS embeddable FROM c")
+@query(f"{_T}, c AS (SELECT doc_id, variant, t, {_flat('t')} AS c FROM v) SELECT doc_id, variant, length({_strip('t')}) >= 10 AND ({_quality('c')}) >= 0.45 AS embeddable FROM c")
 def embeddable(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.is_embeddable("t", DEFAULT.min_quality).alias("embeddable"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.is_embeddable("t", DEFAULT.min_quality).alias("embeddable"))
 
 
-@query(f"{_T} SELECT doc_id, {_tokens('t')} AS tokens FROM v")
+@query(f"{_T} SELECT doc_id, variant, {_tokens('t')} AS tokens FROM v")
 def token_count(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.token_count("t").alias("tokens"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.token_count("t").alias("tokens"))
 
 
-@query(f"{_T} SELECT doc_id, sha256(t) AS text_hash, length(t)::INTEGER AS len, substr(sha1(t), 1, 12) AS sha1, substr(t, 1, 120) AS preview FROM v")
+@query(f"{_T} SELECT doc_id, variant, sha256(t) AS text_hash, length(t)::INTEGER AS len, substr(sha1(t), 1, 12) AS sha1, substr(t, 1, 120) AS preview FROM v")
 def content_digest(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.content_hash("t").alias("text_hash"), X.summary("t").alias("s")).select("doc_id", "text_hash", "s.*")
+    return varied(spark, sf_dir).select("doc_id", "variant", X.content_hash("t").alias("text_hash"), X.summary("t").alias("s")).select("doc_id", "variant", "text_hash", "s.*")
 
 
-@query(f"""{_T}, s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([।.?!]){_W}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda y: y <> '') AS s FROM v)
-        SELECT doc_id, len(s)::INTEGER AS n_sentences, sha256(array_to_string(s, chr(10))) AS sentences FROM s""")
+@query(f"""{_T}, s AS (SELECT doc_id, variant, list_filter(list_transform(string_split(regexp_replace(t, '([।.?!]){_W}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda y: y <> '') AS s FROM v)
+        SELECT doc_id, variant, len(s)::INTEGER AS n_sentences, sha256(array_to_string(s, chr(10))) AS sentences FROM s""")
 def sentence_split(spark, sf_dir):
-    return varied(spark, sf_dir).select("doc_id", X.sentences("t").alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.sha2(F.array_join("s", "\n"), 256).alias("sentences"))
+    return varied(spark, sf_dir).select("doc_id", "variant", X.sentences("t").alias("s")).select("doc_id", "variant", F.size("s").alias("n_sentences"), F.sha2(F.array_join("s", "\n"), 256).alias("sentences"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, posn, line FROM (SELECT doc_id, string_split({VARIED}, chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(ls) AS line, unnest(range(len(ls))) AS posn)),
-        s AS (SELECT doc_id, posn::INTEGER AS line_no, {_strip('line')} AS line FROM l)
-        SELECT doc_id, line_no, regexp_matches(line, '^(?:[-•*]|\\p{{Nd}}+[.)]|[(][a-zA-Z০-৯][)]|\\([ivx]+\\)){_W}+') AS is_list, regexp_matches(line, '^[^\\n]*\\?{_W}*$') AS is_question,
+@query(f"""{_T}, l AS (SELECT doc_id, variant, posn, line FROM (SELECT doc_id, variant, string_split(t, chr(10)) AS ls FROM v), LATERAL (SELECT unnest(ls) AS line, unnest(range(len(ls))) AS posn)),
+        s AS (SELECT doc_id, variant, posn::INTEGER AS line_no, {_strip('line')} AS line FROM l)
+        SELECT doc_id, variant, line_no, regexp_matches(line, '^(?:[-•*]|\\p{{Nd}}+[.)]|[(][a-zA-Z০-৯][)]|\\([ivx]+\\)){_W}+') AS is_list, regexp_matches(line, '^[^\\n]*\\?{_W}*$') AS is_question,
                regexp_matches(line, '(?i)^(?:পৃষ্ঠা|পৃ\\.|Page|P\\.?){_W}*\\p{{Nd}}+(?:{_W}|[./-])*$') OR regexp_matches(line, '^(?:[\\p{{Nd}}./-]|{_W}){{1,12}}$') AS is_page FROM s""")
 def line_tests(spark, sf_dir):
-    rows = varied(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).withColumn("line", X.strip("line"))
-    return rows.select("doc_id", "line_no", X.is_list_item("line").alias("is_list"), X.is_question("line").alias("is_question"), X.is_page_number("line").alias("is_page"))
+    rows = varied(spark, sf_dir).select("doc_id", "variant", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).withColumn("line", X.strip("line"))
+    return rows.select("doc_id", "variant", "line_no", X.is_list_item("line").alias("is_list"), X.is_question("line").alias("is_question"), X.is_page_number("line").alias("is_page"))
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct({_words('lower(text)')}) AS s FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.s AS x, b.s AS y FROM b a JOIN b ON a.item_id < b.item_id)
@@ -201,11 +200,11 @@ def vector_norms(spark, sf_dir):
 # ---- pages
 
 #: Sources as documents, documents as their pages.
-PAGED = f"SELECT source AS doc_id, doc_id::INTEGER AS page_number, {VARIED} AS text FROM documents"
+PAGED = "SELECT source AS doc_id, doc_id::INTEGER AS page_number, text FROM documents"
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = varied(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_number"), F.col("t").alias("text"))
+    p = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_number"), "text")
     p = p.withColumn("confidence", F.lit(0.98)).withColumn("engine", F.lit("text_layer")).withColumn("indic_ratio", X.indic_ratio("text"))
     return p.withColumn("blocks", F.lit(None).cast(PAGES["blocks"].dataType))
 
@@ -264,12 +263,18 @@ def doc_language(spark, sf_dir):
 _GATE = f"length({_strip('t')}) >= 20 AND (({_indic(_strip('t'))}) >= 0.2 OR ({_latin(_strip('t'))}) >= 0.2)"
 
 
-@query(f"""{_T}, c AS (SELECT doc_id, t, (doc_id % 10) / 10.0::DOUBLE AS conf FROM v)
-        SELECT doc_id, {_GATE} AS text_layer, conf < 0.6 OR (length({_strip('t')}) > 40 AND ({_indic('t')}) < 0.15 AND ({_latin('t')}) < 0.15) AS fallback,
-               CASE WHEN length({_strip('t')}) < 20 THEN 'devanagari' WHEN ({_latin(_strip('t'))}) >= 0.2 AND ({_latin(_strip('t'))}) >= ({_indic(_strip('t'))}) THEN 'en' ELSE 'devanagari' END AS ocr_language FROM c""")
+def _ocr_pick(t: str, other: str) -> str:
+    x = _strip(t)
+    return f"CASE WHEN length({x}) < 20 THEN {other} WHEN ({_latin(x)}) >= 0.2 AND ({_latin(x)}) >= ({_indic(x)}) THEN 'en' WHEN ({_indic(x)}) >= 0.15 THEN 'devanagari' ELSE {other} END"
+
+
+@query(f"""{_T}, c AS (SELECT doc_id, variant, t, concat(source, ' ', lang, ' ', source, ' ', lang, ' page') AS hint, (doc_id % 10) / 10.0::DOUBLE AS conf FROM v)
+        SELECT doc_id, variant, {_GATE} AS text_layer, conf < 0.6 OR (length({_strip('t')}) > 40 AND ({_indic('t')}) < 0.15 AND ({_latin('t')}) < 0.15) AS fallback,
+               {_ocr_pick('t', "'devanagari'")} AS by_text, {_ocr_pick("''", _ocr_pick('hint', "'devanagari'"))} AS by_hint FROM c""")
 def ocr_gates(spark, sf_dir):
-    v = varied(spark, sf_dir).withColumn("conf", F.col("doc_id") % 10 / 10.0)
-    return v.select("doc_id", pages.use_text_layer("t").alias("text_layer"), pages.needs_fallback(F.col("conf"), F.col("t")).alias("fallback"), pages.ocr_language(F.col("t"), F.lit(None).cast("string")).alias("ocr_language"))
+    v = varied(spark, sf_dir).withColumn("conf", F.col("doc_id") % 10 / 10.0).withColumn("hint", F.concat_ws(" ", "source", "lang", "source", "lang", F.lit("page")))
+    by_text, by_hint = pages.ocr_language(F.col("t"), F.lit(None).cast("string")), pages.ocr_language(F.lit(""), F.col("hint"))
+    return v.select("doc_id", "variant", pages.use_text_layer("t").alias("text_layer"), pages.needs_fallback(F.col("conf"), F.col("t")).alias("fallback"), by_text.alias("by_text"), by_hint.alias("by_hint"))
 
 
 @query("""SELECT o_custkey AS doc_id, string_agg('| ' || o_orderkey::VARCHAR || ' | ' || o_orderstatus || ' | ' || replace(o_orderpriority, chr(10), ' ') || ' |', chr(10) ORDER BY o_orderkey) AS markdown FROM orders GROUP BY o_custkey""")
@@ -336,19 +341,19 @@ def ingest_status(spark, sf_dir):
     return ingest(paged(spark, sf_dir)).statuses
 
 
-_CHUNKS = f"""c AS (SELECT source AS doc_id, doc_id AS n, {VARIED} AS text FROM documents)"""
+_CHUNKS = "c AS (SELECT source AS doc_id, doc_id AS n, text FROM documents)"
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, min(n) AS n, sha256(text) AS text_hash FROM c GROUP BY doc_id, text")
 def exact_dedup(spark, sf_dir):
-    c = varied(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("n"), X.content_hash("t").alias("text_hash"))
+    c = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("n"), X.content_hash("text").alias("text_hash"))
     return chunks.exact_dedup(c, ["n"]).select("doc_id", "n", "text_hash")
 
 
-@query(f"{_T} SELECT doc_id FROM v WHERE length({_strip('t')}) >= 10 AND ({_quality('t')}) >= 0.45 AND ({_tokens('t')}) <= 512")
+@query(f"{_T} SELECT doc_id, variant FROM v WHERE length({_strip('t')}) >= 10 AND ({_quality('t')}) >= 0.45 AND ({_tokens('t')}) <= 512")
 def noise_filter(spark, sf_dir):
-    c = varied(spark, sf_dir).select("doc_id", F.col("t").alias("text"), X.quality_score("t").alias("quality_score"), X.token_count("t").alias("token_count"))
-    return chunks.noise_filter(c).select("doc_id")
+    c = varied(spark, sf_dir).select("doc_id", "variant", F.col("t").alias("text"), X.quality_score("t").alias("quality_score"), X.token_count("t").alias("token_count"))
+    return chunks.noise_filter(c).select("doc_id", "variant")
 
 
 @query("SELECT source AS doc_id, doc_id AS chunk_id, lag(doc_id) OVER w AS prev_chunk_id, lead(doc_id) OVER w AS next_chunk_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
@@ -503,11 +508,11 @@ def context_block(spark, sf_dir):
     return context.context_block(_contexts(spark, sf_dir))
 
 
-@query(f"""{_T} SELECT doc_id, CASE WHEN ({_latin('t')}) > ({_indic('t')}) THEN '{prompts.TURN['en'][0]}' || lang || '{prompts.TURN['en'][1]}' || t || '{prompts.TURN['en'][2]}'
+@query(f"""{_T} SELECT doc_id, variant, CASE WHEN ({_latin('t')}) > ({_indic('t')}) THEN '{prompts.TURN['en'][0]}' || lang || '{prompts.TURN['en'][1]}' || t || '{prompts.TURN['en'][2]}'
         ELSE '{prompts.TURN['as'][0]}' || lang || '{prompts.TURN['as'][1]}' || t || '{prompts.TURN['as'][2]}' END AS content FROM v""")
 def prompt_messages(spark, sf_dir):
     m = prompts.messages(F.col("t"), F.col("lang"))
-    return varied(spark, sf_dir).select("doc_id", F.element_at(m, -1)["content"].alias("content"))
+    return varied(spark, sf_dir).select("doc_id", "variant", F.element_at(m, -1)["content"].alias("content"))
 
 
 # ---- evaluation: items look for documents that hold their first word

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
-from lexloom.functions import scalars as S
-from lexloom.operators import blocks, chunks, headers, ocr, pages, sections, simple
+from lexloom.functions import text as X
+from lexloom.operators import blocks, chunks, headers, ocr, pages, sections, simple, units
 from lexloom.plans.ingest import index_rows, ingest
 from lexloom.schema import PAGES
 from lexloom.sources.connectors import HashingEmbedder
@@ -59,40 +59,81 @@ def test_sections(spark):
     assert rows["e", 0].page_start == 3 and not rows["e", 0].blocks
 
 
-def test_units():
-    assert chunks.section_units(None, "", [("list", "a"), ("paragraph", "b")]) == [("list", "a\nb")]
-    assert chunks.section_units(None, "", [("list", "a"), ("paragraph", "b")], strict=False) == [("list", "a"), ("paragraph", "b")]
-    assert chunks.section_units(None, "", [("heading", "h")]) == []
-    assert chunks.question_units(["q1?", "q2?", "a2"]) == [("qa", "q1?"), ("qa", "q2?\na2")]
-    assert chunks.section_units("T", "One. Two.\n\n- item", []) == [("paragraph", "T\nOne."), ("paragraph", "Two."), ("list", "- item")]
+def units_of(spark, title, text, parts, strict=True):
+    from lexloom.schema import SECTIONS
 
+    row = ("d", 0, "s", title, [], text, 1, 1, [block(k, t) for k, t in parts])
+    rows = units.section_units(spark.createDataFrame([row], SECTIONS), strict).orderBy("unit_no").collect()
+    return [(r.kind, r.text) for r in rows]
 
-def test_packing():
+
+def test_units(spark):
+    two = [("list", "a"), ("paragraph", "b")]
+    assert units_of(spark, None, "", two) == [("list", "a\nb")]
+    assert units_of(spark, None, "", two, strict=False) == [("list", "a"), ("paragraph", "b")]
+    assert units_of(spark, None, "", [("heading", "h")]) == []
+    assert units_of(spark, "T", "One. Two.\n\n- item", []) == [("paragraph", "T\nOne."), ("paragraph", "Two."), ("list", "- item")]
+    mixed = [("paragraph", "a"), ("heading", "h"), ("paragraph", "b"), ("list", "1"), ("paragraph", "c"), ("table", "t"), ("paragraph", "d"), ("qa", "q"), ("paragraph", "e"), ("list", "2"), ("list", "3")]
+    assert units_of(spark, None, "", mixed) == [("paragraph", "a\nb"), ("list", "1\nc"), ("table", "t"), ("list", "d"), ("qa", "q"), ("paragraph", "e"), ("list", "2\n3")]
+    assert units_of(spark, None, "", mixed, strict=False) == [("paragraph", "a\nb"), ("list", "1"), ("paragraph", "c"), ("table", "t"), ("paragraph", "d"), ("qa", "q"), ("paragraph", "e"), ("list", "2\n3")]
+    assert units_of(spark, None, "q1?\nq2?\na2\nq3？\na3？\nb", []) == [("qa", "q1?"), ("qa", "q2?\na2"), ("qa", "q3？\na3？"), ("paragraph", "b")]
+
+
+def packed(spark, parts, config=EngineConfig()):
+    rows = spark.createDataFrame([("d", 0, i, 0, k, t) for i, (k, t) in enumerate(parts)], "doc_id string, section_no int, unit_no int, piece_no int, kind string, text string")
+    made = chunks.pack_units(rows.withColumn("size", X.token_count("text")), config).withColumn("n", X.token_count("text"))
+    return [(r.block_type, r.text, r.n) for r in made.orderBy("draft_no").collect()]
+
+
+def test_packing(spark):
     text = lambda n, c="a": c * (4 * n)  # noqa: E731  Latin letters: four to a token
-    two = chunks.pack_units([("paragraph", text(300)), ("paragraph", text(300, "b"))])
-    assert [S.token_count(t) for _, t in two] == [300, 600]
-    mended = chunks.pack_units([("paragraph", text(300)), ("paragraph", text(300, "b"))], EngineConfig(strict=False))
-    assert [S.token_count(t) for _, t in mended] == [300, 300]
-    pieces = chunks.force_split(("paragraph", " ".join(["abcdefg"] * 650)), 512)
-    assert " ".join(t for _, t in pieces) == " ".join(["abcdefg"] * 650) and all(S.token_count(t) >= 512 for _, t in pieces[:-1])
-    assert chunks.pack_units([("qa", "q"), ("paragraph", "p")]) == [("qa", "q\n\np")]
-
-
-def _slow_split(text, most):
-    out, cur = [], []
-    for w in text.split():
-        cur.append(w)
-        if S.token_count(" ".join(cur)) >= most:
-            out.append(" ".join(cur))
-            cur = []
-    return [*out, " ".join(cur)] if cur else out
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_force_split_by_sums(seed):
+    two = [("paragraph", text(300)), ("paragraph", text(300, "b"))]
+    assert [n for _, _, n in packed(spark, two)] == [300, 600]
+    assert [n for _, _, n in packed(spark, two, EngineConfig(strict=False))] == [300, 300]
+    assert packed(spark, [("qa", "q"), ("paragraph", "p")]) == [("qa", "q\n\np", 1)]
+    carried = packed(spark, [("paragraph", text(350)), ("list", text(40, "b")), ("paragraph", text(100, "c"))])
+    assert [(k, n) for k, _, n in carried] == [("paragraph", 390), ("list", 140)]
+    alone = packed(spark, [("paragraph", text(10)), ("paragraph", text(512, "b")), ("paragraph", text(20, "c"))])
+    assert [n for _, _, n in alone] == [10, 512, 20]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_ranges_tell_what_the_rules_say(spark, strict):
+    """Each chunk is maximal, begins where the last ended but for a tail that fits, and large units stand alone."""
+    rng = random.Random(7)
+    cases = [[rng.choice((1, 5, 30, 60, 120, 399, 400, 511, 512, 700)) for _ in range(rng.randint(0, 40))] for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, sizes array<int>")
+    for r in rows.withColumn("got", units.pack_ranges(F.col("sizes"), 512, 400, 50, 512, strict)).collect():
+        sizes, at = r.sizes, 0
+        for first, own, end in r.got:
+            assert own == at and first <= own < end
+            at = end
+            if sizes[own] >= 512:
+                assert (first, end) == (own, own + 1)
+                continue
+            assert all(x < 512 for x in sizes[first:end])
+            total = lambda i, j: sum(sizes[i:j])  # noqa: B023, E731
+            assert end == own + 1 or total(first, end) <= 400
+            assert end == len(sizes) or sizes[end] >= 512 or total(first, end) + sizes[end] > 400
+            if own and sizes[own - 1] < 512:  # the chunk before was closed by this one's first unit
+                begin = next(f for f, _, e in r.got if e == own)
+                tail = max((n for n in range(own - begin + 1) if total(own - n, own) <= 50), default=0)
+                expected = max(tail, 1) if strict else 0 if total(own - tail, own) + sizes[own] > 512 else tail
+                assert own - first == expected
+            else:
+                assert first == own
+        assert at == len(sizes)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_split_long_by_sums(spark, seed):
+    """Pieces hold all words in order; each but the last reaches the most tokens, and would not without its last word."""
     rng = random.Random(seed)
-    text = " ".join("".join(rng.choice("abঅকZ1") for _ in range(rng.randint(1, 9))) for _ in range(400))
-    assert [t for _, t in chunks.force_split(("paragraph", text), 64)] == _slow_split(text, 64)
+    texts = [" ".join("".join(rng.choice("abঅকZ1") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (1, 10, 400, 1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.token_count("t").alias("n"), units.split_long(F.col("t"), 64).alias("p"))
+    for r in rows.select("t", "n", "p", F.transform("p", X.token_count).alias("sizes"), F.transform("p", lambda p: X.token_count(F.regexp_replace(p, " ?[^ ]+$", ""))).alias("less")).collect():
+        assert " ".join(r.p) == r.t and (len(r.p) > 1 or r.n <= 64 or r.sizes[0] >= 64)
+        assert all(n >= 64 for n in r.sizes[:-1]) and all(n < 64 for n in r.less)
 
 
 def drafts(spark, rows):
@@ -240,5 +281,5 @@ def test_simple_variant(spark):
     assert got == [("d", 0, None, "Intro text here.", 1), ("d", 1, "1. Title", "body line\n\nmore.", 1), ("d", 2, "Next title", "", 2), ("e", 0, None, "", 1)]
     rows = simple.simple_chunks(made).orderBy("doc_id", "chunk_index").collect()
     assert [(r.chunk_index, r.text) for r in rows] == [(0, "Intro text here."), (1, "1. Title\nbody line more."), (2, "Next title")]
-    assert simple.simple_units("q1?\nq2？\na2\nplain") == ["q1?", "q2？\na2", "plain"]
-    assert simple.simple_units("One. Two?\n\nThree") == ["One.", "Two?", "Three"]
+    rows = spark.createDataFrame([("q1?\nq2？\na2\nplain",), ("One. Two?\n\nThree",)], "t string").select(simple.simple_units(F.col("t")).alias("u"))
+    assert [r.u for r in rows.collect()] == [["q1?", "q2？\na2", "plain"], ["One.", "Two?", "Three"]]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.functions import scalars as S
+from lexloom import queries as Q
 from lexloom.functions import text as X
 from lexloom.functions.register import register
 
@@ -79,17 +81,19 @@ def test_sentences(spark):
     assert one(spark, "One. Two?  Three। চাৰি!", X.sentences("t"))[0] == ["One.", "Two?", "Three।", "চাৰি!"]
 
 
-def test_agrees_with_python(spark):
+def test_agrees_with_sql(spark):
+    """The same rules as SQL of another engine, on texts of characters that rules care about."""
     rng = random.Random(7)
-    letters = "abcXYZ অআকখ12\t\n\r -­​́éŁł͋ 　?.।-\x1c\x0b"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.clean_text("t").alias("flat"), X.clean_text("t", lines=True).alias("lines"), X.quality_score("t").alias("q"), X.token_count("t").alias("n"), X.is_embeddable("t", 0.45).alias("e")).collect()
-    for r in rows:
-        assert r.flat == S.clean(r.t, False)
-        assert r.lines == S.clean(r.t, True)
-        assert r.q == pytest.approx(S.quality(r.t))
-        assert r.n == S.token_count(r.t)
-        assert r.e == S.embeddable(r.t, 0.45)
+    letters = "abcXYZ অআকখ12\t\n\r -\u00ad\u200b\u0301éŁł\u034b \u3000?.।-\x1c\x0b"
+    texts = pd.DataFrame({"n": range(1500), "t": ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]})
+    quality = Q._quality("c")
+    sql = f"""WITH v AS (SELECT n, t, {Q._flat("t")} AS c FROM texts)
+        SELECT n, c AS flat, {Q._lines("t")} AS lines, {Q._quality("t")} AS q, {Q._tokens("t")} AS tokens, length({Q._strip("t")}) >= 10 AND ({quality}) >= 0.45 AS e FROM v ORDER BY n"""
+    expected = duckdb.sql(sql).fetchall()
+    rows = spark.createDataFrame(texts).select("n", X.clean_text("t").alias("flat"), X.clean_text("t", lines=True).alias("lines"), X.quality_score("t").alias("q"), X.token_count("t").alias("tokens"), X.is_embeddable("t", 0.45).alias("e"))
+    for r, (n, flat, lines, q, tokens, e) in zip(rows.orderBy("n").collect(), expected, strict=True):
+        assert (r.n, r.flat, r.lines, r.tokens, r.e) == (n, flat, lines, tokens, e), texts.t[n]
+        assert r.q == pytest.approx(q)
 
 
 def test_sql_functions(spark):
