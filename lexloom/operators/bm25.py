@@ -41,18 +41,20 @@ def build_index(chunks: DataFrame, pattern: str = UNICODE_WORDS, keep: bool = Fa
     return LexicalIndex(postings, terms, stats, pattern)
 
 
-def bm25_search(queries: DataFrame, index: LexicalIndex, chunks: DataFrame | None = None, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_search(queries: DataFrame, index: LexicalIndex, chunks: DataFrame | None = None, k: int = 20, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query (query_id, text) that share a word with it.
 
     A word counts as often as the query has it. With ``chunks`` (chunk_id, user_id, document_id) a query sees only its
-    scope; counts stay those of the whole index.
+    scope; counts stay those of the whole index. With ``digits`` scores are rounded before ranks are given, so that equal
+    texts tie whatever the order in which their scores were summed.
     """
     wanted = queries.select("query_id", F.explode(analyze("text", index.pattern)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     rated = wanted.join(index.terms, "term").crossJoin(F.broadcast(index.stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = rated.select("query_id", "term", (idf * F.col("times")).alias("weight"), "average")
     tf = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("average")))
-    hits = rated.join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * tf).alias("score"))
+    score = F.sum(F.col("weight") * tf)
+    hits = rated.join(index.postings, "term").groupBy("query_id", "chunk_id").agg((score if digits is None else F.round(score, digits)).alias("score"))
     if chunks is not None and (seen := scope(queries, chunks)) is not None:
         who = [c for c in ("query_id", "user_id", "document_ids") if c in queries.columns]
         owned = [c for c in ("chunk_id", "user_id", "document_id") if c in chunks.columns]

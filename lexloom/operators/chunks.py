@@ -14,35 +14,41 @@ def clean_units(units: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Units cleaned by their types, without those that are not worth a vector; long ones in pieces, with their tokens."""
     rows = units.withColumn("text", X.compose("text"))
     lines = F.col("kind").isin(*U.KEEP_LINES)
-    rows = rows.withColumn("text", F.when(lines, X.clean_text("text", lines=True, composed=True)).otherwise(X.clean_text("text", composed=True)))
-    rows = rows.filter(X.is_embeddable("text", config.min_quality, composed=True))
-    rows = rows.select(*U.SECTION, "unit_no", "kind", F.posexplode(U.split_long(F.col("text"), config.chunk_max)).alias("piece_no", "text"))
+    cleaned = F.when(lines, X.clean_text("text", lines=True, composed=True)).otherwise(X.clean_text("text", composed=True))
+    kept = X.let(cleaned, lambda t: F.when(X.is_embeddable(t, config.min_quality, composed=True), t))  # once, not for a filter too
+    rows = rows.select(*U.SECTION, "of", "unit_no", "kind", F.explode(F.filter(F.array(kept), lambda t: t.isNotNull())).alias("text"))
+    rows = rows.select(*U.SECTION, "of", "unit_no", "kind", F.posexplode(U.split_long(F.col("text"), config.chunk_max)).alias("piece_no", "text"))
     return rows.withColumn("size", X.token_count("text"))
 
 
 def pack_units(units: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(doc_id, section_no, draft_no, block_type, text): units of each section packed in order.
+    """(doc_id, section_no, of, draft_no, block_type, text): units of each section packed in order.
 
     Units that a chunk carries over take the type of the last. A chunk's type is that of its first unit; blank lines part
     its units if any of them is a list, a question or a table.
     """
-    by = units.groupBy(*U.SECTION).agg(F.array_sort(F.collect_list(F.struct("unit_no", "piece_no", "kind", "text", "size"))).alias("units"))
+    by = units.groupBy(*U.SECTION).agg(F.first("of").alias("of"), F.array_sort(F.collect_list(F.struct("unit_no", "piece_no", "kind", "text", "size"))).alias("units"))
     sizes = F.transform("units", lambda u: u["size"])
     ranges = U.pack_ranges(F.col("sizes"), config.chunk_max, config.chunk_target, config.chunk_overlap, config.chunk_max, config.strict)
-    rows = by.withColumn("sizes", sizes).select(*U.SECTION, "units", F.posexplode(ranges).alias("draft_no", "r"))
-    kind = lambda place: F.get("units", place)["kind"]
-    carried = F.when(F.col("r.own") > F.col("r.first"), kind(F.col("r.own") - 1))
-    own = F.slice("units", F.col("r.own") + 1, F.col("r.end") - F.col("r.own"))
-    gap = F.when(F.coalesce(carried.isin(*U.KEEP_LINES), F.lit(False)) | F.exists(own, lambda u: u["kind"].isin(*U.KEEP_LINES)), "\n\n").otherwise(" ")
-    texts = F.transform(F.slice("units", F.col("r.first") + 1, F.col("r.end") - F.col("r.first")), lambda u: u["text"])
-    return rows.select(*U.SECTION, "draft_no", F.coalesce(carried, kind(F.col("r.first"))).alias("block_type"), X.strip(F.call_function("array_join", texts, gap)).alias("text"))
+
+    def chunk(r: Column) -> Column:
+        kind = lambda place: F.get("units", place)["kind"]
+        carried = F.when(r["own"] > r["first"], kind(r["own"] - 1))
+        own = F.slice("units", r["own"] + 1, r["end"] - r["own"])
+        apart = F.coalesce(carried.isin(*U.KEEP_LINES), F.lit(False)) | F.exists(own, lambda u: u["kind"].isin(*U.KEEP_LINES))
+        texts = F.transform(F.slice("units", r["first"] + 1, r["end"] - r["first"]), lambda u: u["text"])
+        text = F.when(apart, F.array_join(texts, "\n\n")).otherwise(F.array_join(texts, " "))
+        return F.struct(F.coalesce(carried, kind(r["first"])).alias("block_type"), X.strip(text).alias("text"))
+
+    # chunks are made before they are dealt out, so that no row carries its section's units along
+    rows = by.withColumn("sizes", sizes).withColumn("ranges", ranges)
+    return rows.select(*U.SECTION, "of", F.posexplode(F.transform("ranges", chunk)).alias("draft_no", "c")).select(*U.SECTION, "of", "draft_no", "c.*")
 
 
 def draft_chunks(sections: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Chunk drafts of each section: (doc_id, section_no, draft_no, block_type, text, and the section's columns)."""
-    keep = ["section_id", "section_title", "heading_path", "page_start", "page_end"]
     made = pack_units(clean_units(U.section_units(sections, config.strict), config), config)
-    return made.join(sections.select(*U.SECTION, *keep), U.SECTION).select(*U.SECTION, *keep, "draft_no", "block_type", "text")
+    return made.select(*U.SECTION, "of.*", "draft_no", "block_type", "text")
 
 
 def measure(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
@@ -78,18 +84,23 @@ def merge_tiny(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
         return F.struct((s["at"] + 1).alias("at"), F.when(joins, s["total"] + size).otherwise(size).alias("total"), F.when(joins, s["heads"]).otherwise(F.concat(s["heads"], F.array(s["at"]))).alias("heads"))
 
     heads = F.aggregate(F.transform("held", lambda x: x["c"]["token_count"]), start, step, lambda s: s["heads"])
-    rows = by.select("held", heads.alias("heads")).select("held", "heads", F.posexplode("heads").alias("n", "at"))
-    end = F.coalesce(F.get("heads", F.col("n") + 1), F.size("held"))
-    rows = rows.select(F.transform(F.slice("held", F.col("at") + 1, end - F.col("at")), lambda x: x["c"]).alias("g"))
-    each = lambda name: F.transform("g", lambda c: c[name])
-    first = F.element_at("g", 1)
-    merged = {
-        "text": F.array_join(each("text"), "\n\n"),
-        "token_count": F.aggregate(each("token_count"), F.lit(0), lambda s, x: s + x),
-        "quality_score": F.array_min(each("quality_score")),
-        "page_end": F.when(F.size("g") == 1, first["page_end"]).otherwise(F.array_max(F.transform("g", lambda c: F.coalesce(c["page_end"], F.lit(0))))),
-    }
-    out = rows.select(*[merged.get(c, first[c]).alias(c) for c in columns])
+
+    def join(at: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("heads", n + 1), F.size("held"))
+        return X.let(F.transform(F.slice("held", at + 1, end - at), lambda x: x["c"]), merged)
+
+    def merged(g: Column) -> Column:
+        each = lambda name: F.transform(g, lambda c: c[name])
+        first = F.element_at(g, 1)
+        changed = {
+            "text": F.array_join(each("text"), "\n\n"),
+            "token_count": F.aggregate(each("token_count"), F.lit(0), lambda s, x: s + x),
+            "quality_score": F.array_min(each("quality_score")),
+            "page_end": F.when(F.size(g) == 1, first["page_end"]).otherwise(F.array_max(F.transform(g, lambda c: F.coalesce(c["page_end"], F.lit(0))))),
+        }
+        return F.struct(*[changed.get(c, first[c]).alias(c) for c in columns])
+
+    out = by.withColumn("heads", heads).select(F.explode(F.transform("heads", join)).alias("c")).select("c.*")
     return out.withColumn("text_hash", X.content_hash("text"))
 
 

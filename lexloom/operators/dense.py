@@ -40,7 +40,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _search(sent, k: int, own: bool, named: bool):
+def _search(sent, k: int, own: bool, named: bool, digits: int | None):
     """For each batch of chunks the k best of each query: one matrix product, then a selection in which early ids win."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +54,7 @@ def _search(sent, k: int, own: bool, named: bool):
                 if not len(q):
                     continue
                 s = np.array([queries[i] for i in q]) @ _matrix(rows.column(1), dim).T
+                s = s if digits is None else np.round(s, digits)
                 if own:
                     theirs = np.array([x if x is not None else object() for x in rows.column(2).to_pylist()], object)
                     s[np.array([users[i] for i in q], object)[:, None] != theirs[None, :]] = -np.inf
@@ -73,12 +74,13 @@ def _search(sent, k: int, own: bool, named: bool):
     return run
 
 
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 20, digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k chunks of highest cosine similarity with each query's vector.
 
     queries: query_id, vector, and optionally user_id and document_ids; chunks: chunk_id, vector, and the columns that
     those need. Zero and missing vectors take no part, and vectors are compared with those of their length. All chunks
-    are compared, so recall is exact. Queries are sent to the chunks in blocks of QUERY_BLOCK.
+    are compared, so recall is exact. Queries are sent to the chunks in blocks of QUERY_BLOCK. With ``digits`` scores are
+    rounded before ranks are given.
     """
     spark = chunks.sparkSession
     own = "user_id" in queries.columns and "user_id" in chunks.columns
@@ -93,10 +95,12 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFram
         table = pa.Table.from_pylist([{"id": r.query_id} for r in rows])
         unit = [np.array(r.vector) / np.linalg.norm(r.vector) for r in rows]
         sent = spark.sparkContext.broadcast((table.column("id").combine_chunks(), unit, [r.user_id for r in rows], [r.document_ids for r in rows]))
-        part = c.mapInArrow(_search(sent, k, own, named), schema)
+        part = c.mapInArrow(_search(sent, k, own, named, digits), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
+    if digits is not None:
+        found = found.withColumn("score", F.round("score", digits))
     return best_per_query(found, k).select("query_id", "chunk_id", "score", "rank")
 
 

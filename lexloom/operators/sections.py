@@ -24,6 +24,34 @@ def heading_path(headings: Column, strict: bool = True) -> Column:
     return F.transform(F.aggregate(headings, empty, step), lambda e: e["title"])
 
 
+#: Places of a path that are followed as columns; documents with deeper headings fold theirs one by one.
+DEPTH = 12
+
+
+def with_paths(sections: DataFrame, strict: bool = True) -> DataFrame:
+    """``sections`` (doc_id, section_no, title, level, ...) with heading_path; untitled ones have an empty path.
+
+    Strictly a heading goes to the place after the first level - 1 of the path so far, which therefore is as long as the
+    least, over headings j up to it, of level(j) + the number of headings from j to it; a running minimum gives each
+    heading's place, and what stands at place p of a path is the last heading put there. That takes one pass whatever
+    the number of headings. Paths that are not strict, and those deeper than DEPTH, are folded from all titles before.
+    """
+    order = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
+    titled = F.col("title").isNotNull()
+    level = F.when(titled, F.greatest(F.coalesce(F.nullif("level", F.lit(0)), F.lit(1)), F.lit(1)))
+    columns = sections.columns
+    rows = sections.withColumn("_n", F.sum(titled.cast("int")).over(order)).withColumn("_level", level)
+    rows = rows.withColumn("_place", F.col("_n") + F.least(F.lit(0), F.min(F.col("_level") - F.col("_n")).over(order)))
+    deep = F.max("_level").over(Window.partitionBy("doc_id")) > DEPTH if strict else F.lit(True)
+    rows = rows.withColumn("_deep", F.coalesce(deep, F.lit(False)))
+    folded = heading_path(F.collect_list(F.when(F.col("_deep") & titled, F.struct("title", "level"))).over(order), strict)
+    path = folded
+    if strict:
+        there = F.array(*[F.last(F.when(F.col("_place") == p, F.col("title")), ignorenulls=True).over(order) for p in range(1, DEPTH + 1)])
+        path = F.when(F.col("_deep"), folded).otherwise(F.slice(there, F.lit(1), F.coalesce("_place", F.lit(0))))
+    return rows.select(*columns, F.when(titled, path).otherwise(F.array().cast("array<string>")).alias("heading_path"))
+
+
 def detect_sections(pages: DataFrame, strict: bool = True) -> DataFrame:
     """(doc_id, section_no, section_id, section_title, heading_path, text, page_start, page_end, blocks) of each document.
 
@@ -44,12 +72,12 @@ def detect_sections(pages: DataFrame, strict: bool = True) -> DataFrame:
     body = F.filter("items", lambda x: ~x["heading"])
     gap = lambda x, i: F.when(i == 0, "").when(x["b"]["block_type"] == "table", "\n\n").otherwise("\n")
     join = F.array_join(F.transform(body, lambda x, i: F.concat(gap(x, i), x["line"])), "")
-    before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
-    titles = F.collect_list(F.when(F.col("title").isNotNull(), F.struct("title", "level"))).over(before)
     made = titled.select(
-        "doc_id", "section_no", F.col("title").alias("section_title"), heading_path(titles, strict).alias("heading_path"), join.alias("text"), head["b"]["page_start"].cast("int").alias("page_start"),
+        "doc_id", "section_no", F.col("title").alias("section_title"), "title", "level", join.alias("text"), head["b"]["page_start"].cast("int").alias("page_start"),
         F.greatest(head["b"]["page_end"], F.array_max(F.transform(body, lambda x: x["b"]["page_end"]))).cast("int").alias("page_end"), F.transform("items", lambda x: x["b"]).alias("blocks"),
     )
+    made = with_paths(made, strict)
+    made = made.select("doc_id", "section_no", "section_title", "heading_path", "text", "page_start", "page_end", "blocks")
     texts = F.transform(F.array_sort(F.collect_list(F.when(X.strip(X.text_of("text")) != "", F.struct("page_number", "text")))), lambda x: x["text"])
     flat = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "blocks"))), lambda x: flat_text(x["blocks"])), lambda x: x != ""), "\n\n")
     span = pages.select("doc_id", "page_number", "text", F.transform(F.coalesce("blocks", F.array().cast(pages.schema["blocks"].dataType)), lambda b: b).alias("blocks"))

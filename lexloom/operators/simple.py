@@ -55,9 +55,12 @@ def simple_chunks(sections: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
     rows = sections.select(*keep, simple_units(body).alias("units"))
     rows = rows.withColumn("sizes", F.transform("units", X.token_count))
     ranges = U.pack_ranges(F.col("sizes"), config.chunk_target, config.chunk_target, config.chunk_overlap, config.chunk_max, config.strict)
-    rows = rows.select(*keep, "units", F.posexplode(ranges).alias("n", "r"))
-    rows = rows.select(*keep, "n", F.slice("units", F.col("r.first") + 1, F.col("r.end") - F.col("r.first")).alias("texts"))
-    gap = F.when(U.asking(F.flatten(F.transform("texts", U.lines_of))) >= 2, "\n\n").otherwise(" ")
-    rows = rows.withColumn("text", X.strip(F.call_function("array_join", F.col("texts"), gap)))
+
+    def chunk(r: Column) -> Column:
+        texts = F.slice("units", r["first"] + 1, r["end"] - r["first"])
+        apart = U.asking(F.flatten(F.transform(texts, U.lines_of))) >= 2
+        return X.strip(F.when(apart, F.array_join(texts, "\n\n")).otherwise(F.array_join(texts, " ")))
+
+    rows = rows.withColumn("ranges", ranges).select(*keep, F.posexplode(F.transform("ranges", chunk)).alias("n", "text"))
     index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "n")) - 1).cast("int")
     return rows.select("doc_id", index.alias("chunk_index"), "section_id", "section_title", "page_number", "text", X.token_count("text").alias("token_count"))

@@ -1,13 +1,16 @@
 """Units of text, the pieces that chunks are packed of: how sections part into them, and which of them share a chunk.
 
-All of it is columns. Runs of blocks are numbered by windows; what depends on everything before it within one section
-(words of a piece, units of a chunk) is a fold over lengths, and texts are sliced once by the places it finds.
+Runs of blocks are numbered by windows; which units share a chunk is a fold over their sizes, and texts are sliced once
+by the places it finds. All is columns but for the cuts of long texts, which are found in numpy.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import text as X
 
@@ -15,6 +18,7 @@ from lexloom.functions import text as X
 KEEP_LINES = ("qa", "list", "table")
 SECTION = ["doc_id", "section_no"]
 _UNIT = "array<struct<kind:string,text:string>>"
+_WHITE = np.array([ord(c) for c in X.WHITE_CHARS], np.uint32)
 _RANGES = "array<struct<first:int,own:int,end:int>>"
 
 
@@ -22,32 +26,6 @@ def _unit(kind: str, text: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
 
-def block_units(sections: DataFrame, strict: bool = True) -> DataFrame:
-    """(doc_id, section_no, unit_no, kind, text) of sections that have blocks.
-
-    Tables and questions stand alone; runs of list items, and of other blocks, are joined by lines; headings are left
-    out. Strictly a list holds on, over what follows it, until a question.
-    """
-    rows = sections.select(*SECTION, F.posexplode("blocks").alias("n", "b"))
-    rows = rows.select(*SECTION, "n", F.coalesce(F.col("b.block_type"), F.lit("paragraph")).alias("type"), X.text_of(F.col("b.text")).alias("text")).filter("type <> 'heading'")
-    order = Window.partitionBy(*SECTION).orderBy("n")
-    alone, item = F.col("type").isin("table", "qa"), F.col("type") == "list"
-    if strict:
-        last = lambda kind: F.coalesce(F.max(F.when(F.col("type") == kind, F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-        holds = last("list") > last("qa")
-        parts = item & ~holds
-    else:
-        holds = F.coalesce(F.lag("type").over(order) == "list", F.lit(False))
-        parts = item != holds
-        holds = item
-    parted = alone | parts | F.coalesce(F.lag(alone).over(order), F.lit(True))
-    kind = F.when(alone, F.col("type")).when(item | holds, "list").otherwise("paragraph")
-    rows = rows.select(*SECTION, "n", "text", kind.alias("kind"), parted.cast("int").alias("parted"))
-    rows = rows.withColumn("unit_no", F.sum("parted").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    lines = F.array_sort(F.collect_list(F.struct("n", "text")))
-    return rows.groupBy(*SECTION, "unit_no").agg(F.min_by("kind", "n").alias("kind"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
-
-
 def lines_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), X.strip), lambda x: x != "")
 
@@ -90,36 +68,69 @@ def text_units(title: Column, text: Column) -> Column:
 
 
 def section_units(sections: DataFrame, strict: bool = True) -> DataFrame:
-    """(doc_id, section_no, unit_no, kind, text) of all sections, those without blocks by their texts."""
-    plain = sections.filter(F.coalesce(F.size("blocks"), F.lit(0)) <= 0)
-    plain = plain.select(*SECTION, F.posexplode(text_units(F.col("section_title"), F.col("text"))).alias("unit_no", "u")).select(*SECTION, "unit_no", "u.kind", "u.text")
-    return block_units(sections.filter(F.size("blocks") > 0), strict).unionByName(plain)
-
+    """(doc_id, section_no, of, unit_no, kind, text) of sections; ``of`` has a section's columns but its text and blocks.
 
-def split_long(text: Column, most: int) -> Column:
-    """Pieces of a text of more than ``most`` tokens, each cut after the word with which it reaches that many."""
-    size = lambda w: F.struct(F.length(w).alias("n"), X.count_of(w, X.INDIC).alias("indic"), X.count_of(w, X.LATIN).alias("latin"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("indic"), F.lit(0).alias("latin"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+    Tables and questions stand alone; runs of list items, and of other blocks, are joined by lines; headings are left
+    out. Strictly a list holds on, over what follows it, until a question. Sections without blocks part by their texts.
+    """
+    part = lambda type, text, ready: F.struct(F.coalesce(type, F.lit("paragraph")).alias("type"), X.text_of(text).alias("text"), F.lit(ready).alias("ready"))
+    texts = F.transform(text_units(F.col("section_title"), F.col("text")), lambda u: part(u["kind"], u["text"], True))
+    parts = F.when(F.size("blocks") > 0, F.transform("blocks", lambda b: part(b["block_type"], b["text"], False))).otherwise(texts)
+    of = F.struct(*[c for c in sections.columns if c not in (*SECTION, "text", "blocks")]).alias("of")
+    rows = sections.select(*SECTION, of, F.posexplode(parts).alias("n", "b")).select(*SECTION, "of", "n", "b.*").filter("type <> 'heading'")
+    order = Window.partitionBy(*SECTION).orderBy("n")
+    alone, item = F.col("type").isin("table", "qa"), F.col("type") == "list"
+    if strict:
+        last = lambda kind: F.coalesce(F.max(F.when(F.col("type") == kind, F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+        holds = last("list") > last("qa")
+        parts = item & ~holds
+    else:
+        holds = F.coalesce(F.lag("type").over(order) == "list", F.lit(False))
+        parts = item != holds
+        holds = item
+    parted = F.col("ready") | alone | parts | F.coalesce(F.lag(alone).over(order), F.lit(True))
+    kind = F.when(F.col("ready") | alone, F.col("type")).when(item | holds, "list").otherwise("paragraph")
+    rows = rows.select(*SECTION, "of", "n", "text", kind.alias("kind"), parted.cast("int").alias("parted"))
+    rows = rows.withColumn("unit_no", F.sum("parted").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct("n", "text")))
+    return rows.groupBy(*SECTION, "unit_no").agg(F.first("of").alias("of"), F.min_by("kind", "n").alias("kind"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+
+
+def _pieces(text: str, most: int) -> list[str]:
+    """``split_long`` of one text, by sums over its characters: a cut is searched where the sums allow it only."""
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    solid = ~np.isin(chars, _WHITE)
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    sums = lambda flags: np.append(0, np.cumsum(flags))
+    indic, latin = sums((chars >= 0x980) & (chars <= 0x9FF)), sums((chars >= 65) & (chars <= 90) | (chars >= 97) & (chars <= 122))
+    length = np.append(0, np.cumsum(ends - starts + 1))  # of all words up to each, with a space after each
+    words, out, i = text.split(), [], 0
+    while i < len(words):
+        low = int(np.searchsorted(length, length[i] + 1 + most * 5 // 2))
+        high = min(int(np.searchsorted(length, length[i] + 2 + 4 * most)), len(words))
+        end = np.arange(low, high + 1)[: max(high + 1 - low, 0)]
+        end = end[end <= len(words)]
+        n = length[end] - length[i] - 1
+        by = np.where(indic[ends[end - 1]] - indic[starts[i]] >= latin[ends[end - 1]] - latin[starts[i]], 2.5, 4.0)
+        full = np.flatnonzero(np.floor(n / by) >= most)
+        cut = int(end[full[0]]) if len(full) else len(words)
+        out.append(" ".join(words[i:cut]))
+        i = cut
+    return out
 
-    def step(s: Column, m: Column) -> Column:
-        gap = F.when(s["n"] > 0, 1).otherwise(0)
-        grown = F.struct((s["n"] + gap + m["n"]).alias("n"), (s["indic"] + m["indic"]).alias("indic"), (s["latin"] + m["latin"]).alias("latin"))
 
-        def cut(g: Column) -> Column:
-            at = s["at"] + 1
-            full = X.tokens_of(g) >= most
-            left = lambda name: F.when(full, 0).otherwise(g[name]).alias(name)
-            return F.struct(left("n"), left("indic"), left("latin"), at.alias("at"), F.when(full, F.concat(s["cuts"], F.array(at))).otherwise(s["cuts"]).alias("cuts"))
+def split_long(text: Column, most: int) -> Column:
+    """Pieces of a text of more than ``most`` tokens, each cut after the word with which it reaches that many.
 
-        return X.let(grown, cut)
+    Where a piece ends depends on all before it, so this runs in numpy, on Arrow batches of long texts only.
+    """
 
-    def pieces(words: Column) -> Column:
-        ends = F.aggregate(F.transform(words, size), start, step, lambda s: F.array_distinct(F.concat(s["cuts"], F.array(s["at"]))))
-        cut = lambda e: F.transform(e, lambda end, i: F.array_join(F.slice(words, begin(e, i) + 1, end - begin(e, i)), " "))
-        return F.filter(X.let(ends, cut), lambda p: p != "")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _pieces(t, most))
 
-    begin = lambda e, i: F.coalesce(F.get(e, i - 1), F.lit(0))
-    return F.when(X.token_count(text) <= most, F.array(text)).otherwise(X.let(X.words(text), pieces))
+    return F.coalesce(split(F.when(X.token_count(text) > most, text)), F.array(text))
 
 
 def pack_ranges(sizes: Column, limit: int, target: int, overlap: int, most: int, strict: bool = True) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULT, EngineConfig
 from lexloom.operators import blocks, chunks, headers, pages, sections
 from lexloom.sources.connectors import Embedder, with_embeddings
+from lexloom.sources.staging import Staged
 
 
 @dataclass
@@ -22,32 +22,33 @@ class Ingested:
     chunks: DataFrame
     languages: DataFrame
     statuses: DataFrame
+    staged: Staged
 
     def release(self) -> None:
-        """Free what is kept for the branches of the plan that share it."""
-        self.pages.unpersist()
-        self.sections.unpersist()
+        """Delete what was written for the branches of the plan that share it."""
+        self.staged.release()
 
 
 def ingest(parsed: DataFrame, ocr: DataFrame | None = None, tables: DataFrame | None = None, bookmarks: DataFrame | None = None, config: EngineConfig = DEFAULT) -> Ingested:
     """Profile, tables, OCR merge, furniture, block types, sections and chunks of parsed pages.
 
     A document without chunks has the status failed and the error "No embeddable text extracted", others are ready.
-    Typed pages and sections are kept (in memory, else on disk) as several branches read them; ``release`` frees them.
+    Typed pages are written to the shared folder, as several branches read them; ``release`` deletes them.
     """
     profiles = pages.profile(parsed, tables, bookmarks)
     found = pages.route_tables(parsed, tables, profiles) if tables is not None else parsed
     if ocr is None:
         ocr = found.select("doc_id", "page_number", "text", "confidence").limit(0)
     merged = pages.merge_parsed_with_ocr(found, ocr)
-    typed = blocks.classify_blocks(headers.strip_headers(merged, strip_blocks=not config.strict)).persist(StorageLevel.MEMORY_AND_DISK)
-    split = sections.detect_sections(typed, config.strict).persist(StorageLevel.MEMORY_AND_DISK)
+    staged = Staged(blocks.classify_blocks(headers.strip_headers(merged, strip_blocks=not config.strict)), "pages")
+    typed = staged.table
+    split = sections.detect_sections(typed, config.strict)
     languages = pages.document_language(typed, config)
     confidences = ocr.select("doc_id", "page_number", "confidence")
     made = chunks.chunk_sections(split, languages, confidences, config)
     some = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     statuses = profiles.select("doc_id").join(some, "doc_id", "left").select("doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(F.col("n_chunks") > 0, "ready").otherwise("failed").alias("status"), F.when(F.col("n_chunks").isNull(), "No embeddable text extracted").alias("error_message"))
-    return Ingested(profiles, typed, split, made, languages, statuses)
+    return Ingested(profiles, typed, split, made, languages, statuses, staged)
 
 
 def index_rows(made: DataFrame, user_id: str, make: Callable[[], Embedder], config: EngineConfig = DEFAULT) -> DataFrame:

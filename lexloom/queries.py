@@ -384,8 +384,7 @@ def _dense(spark: SparkSession, sf_dir: str, own: bool) -> DataFrame:
     c = _vectors(spark, sf_dir)
     q = c.select(F.col("chunk_id").alias("query_id"), "vector", *(["user_id"] if own else []))
     c = c if own else c.drop("user_id")
-    hits = dense.dense_search(q, c, 40)
-    return dense.best_per_query(hits.drop("rank").withColumn("score", F.round("score", 6)), 20)
+    return dense.dense_search(q, c, 20, digits=6)
 
 
 @query(f"WITH {_DENSE.format('')} {_RANKED.format('d')}")
@@ -409,7 +408,7 @@ _BM25 = """w AS (SELECT doc_id AS chunk_id, source, unnest(regexp_extract_all(lo
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.LexicalIndex:
     d = read(spark, sf_dir, "documents")
-    return bm25.build_index(d.select(F.col("doc_id").alias("chunk_id"), "text"), bm25.ASCII_WORDS, keep=True)
+    return bm25.build_index(d.select(F.col("doc_id").alias("chunk_id"), "text"), bm25.ASCII_WORDS)
 
 
 def _bm25(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
@@ -418,8 +417,7 @@ def _bm25(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
     if own:
         q = q.withColumn("user_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
         c = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("user_id"))
-    hits = bm25.bm25_search(q, _index(spark, sf_dir), c, 60)
-    return dense.best_per_query(hits.drop("rank").withColumn("score", F.round("score", 6)), 20)
+    return bm25.bm25_search(q, _index(spark, sf_dir), c, 20, digits=6)
 
 
 @query(f"WITH {_BM25} {_RANKED.format('b')}")
@@ -444,8 +442,7 @@ _HYBRID = f"""{_BM25}, lx AS ({_RANKED.format('b')}),
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     q = read(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = dense.dense_search(q, _vectors(spark, sf_dir).drop("user_id"), 40).drop("rank").withColumn("score", F.round("score", 6))
-    return ranking.rrf([dense.best_per_query(near, 20), _bm25(spark, sf_dir)])
+    return ranking.rrf([dense.dense_search(q, _vectors(spark, sf_dir).drop("user_id"), 20, digits=6), _bm25(spark, sf_dir)])
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, chunk_id, score, rank FROM rf WHERE rank <= 20")

@@ -50,6 +50,29 @@ def test_heading_path_is_by_place(spark):
     assert mended == [("h3",), ("h2",), ("h1",)]
 
 
+@pytest.mark.parametrize("depth", [3, 20])
+def test_heading_paths_of_any_depth(spark, depth):
+    """Paths followed by place are those that a fold over all titles gives, some of them deeper than the columns."""
+    rng = random.Random(depth)
+    rows, expected = [], {}
+    for d in range(6):
+        path = []
+        for n in range(40):
+            level = rng.choice([None, 0, *range(1, depth + 1)])
+            rows.append((d, n, f"t{n}" if n else None, level))
+            path = [*path[: max((level or 1) - 1, 0)], f"t{n}"] if n else []
+            expected[d, n] = path
+    df = spark.createDataFrame(rows, "doc_id int, section_no int, title string, level int")
+    assert {(r.doc_id, r.section_no): r.heading_path for r in sections.with_paths(df).collect()} == expected
+
+
+def test_many_headings(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("section_no"), F.concat(F.lit("t"), "id").alias("title"), (1 + F.col("id") % 5).cast("int").alias("level"))
+    last = sections.with_paths(rows).orderBy(F.desc("section_no")).first()
+    assert last.heading_path == [f"t{i}" for i in range(n - 5, n)]
+
+
 def test_sections(spark):
     p = make(spark, [("d", 1, "", [block("paragraph", "Before all, a line."), block("heading", "Title"), block("paragraph", "First text."), block("table", "| a |.")]), ("d", 2, "", [block("paragraph", "More text.", 2)]), ("e", 3, " ", None)])
     rows = {(r.doc_id, r.section_no): r for r in sections.detect_sections(p).collect()}
@@ -81,7 +104,7 @@ def test_units(spark):
 
 def packed(spark, parts, config=EngineConfig()):
     rows = spark.createDataFrame([("d", 0, i, 0, k, t) for i, (k, t) in enumerate(parts)], "doc_id string, section_no int, unit_no int, piece_no int, kind string, text string")
-    made = chunks.pack_units(rows.withColumn("size", X.token_count("text")), config).withColumn("n", X.token_count("text"))
+    made = chunks.pack_units(rows.withColumn("size", X.token_count("text")).withColumn("of", F.struct(F.lit(1).alias("x"))), config).withColumn("n", X.token_count("text"))
     return [(r.block_type, r.text, r.n) for r in made.orderBy("draft_no").collect()]
 
 
