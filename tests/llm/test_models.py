@@ -10,6 +10,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -369,18 +370,26 @@ def test_pack_edges(spark):
 
 
 def slow_scan(text, threshold=0.8):
-    grams = lambda t: {(a, b) for w in [[x for x in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in t.translate({c: c + 32 for c in range(65, 91)})).split()]] for a, b in zip(w, w[1:], strict=False)}
-    lines = (text or "").split("\n")
-    units = list(enumerate(lines)) + ([(-1, " ".join(lines))] if len(lines) > 1 else [])
+    words = lambda t: re.findall("[a-z0-9]+", t.translate({c: c + 32 for c in range(65, 91)}))
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    lines = [words(x) for x in (text or "").split("\n")]
+    whole = [w for x in lines for w in x]
+    full = [j for j, x in enumerate(lines) if x]
     found = []
-    for u, line in units:
-        for i, (name, body) in enumerate(licenses.TEMPLATES):
-            x, y = grams(line), grams(body)
+    for i, (name, body) in enumerate(licenses.TEMPLATES):
+        y = pairs(words(body))
+        units = [(j, 1, x) for j, x in enumerate(lines)] + ([(-1, len(lines), whole)] if len(lines) > 1 else [])
+        for k, j in enumerate(full if len(words(body)) > licenses.RUN_WORDS else []):
+            if pairs(lines[j]) & y:
+                reach = next((m for m in range(1, len(full) - k) if sum(len(lines[x]) for x in full[k : k + m]) >= len(words(body))), len(full) - k)
+                units += [(j, full[k + m - 1] - j + 1, [w for x in full[k : k + m] for w in lines[x]]) for m in (reach, reach - 1) if m > 1]
+        for u, n, w in units:
+            x = pairs(w)
             dice = 2 * len(x & y) / (len(x) + len(y)) if x else 0
             if dice >= threshold:
-                found.append((-dice, i, len(lines) if u == -1 else u, name, u))
+                found.append((-dice, i, len(lines) if u == -1 else u, n, name, u))
     best = min(found, default=None)
-    return (best[3], -best[0], best[4], len(found)) if best else (None, None, None, 0)
+    return (best[4], -best[0], best[5], best[3], len(found)) if best else (None, None, None, None, 0)
 
 
 def test_licenses(spark):
@@ -396,9 +405,21 @@ def test_licenses(spark):
         texts.append("\n".join(lines))
     whole = licenses.TEMPLATES[1][1].split()
     texts += [" ".join(whole[:30]) + "\n" + " ".join(whole[30:])]
+    split = len(texts) - 1
+    wrapped = {}
+    for name, body in {n: t for n, t in licenses.TEMPLATES if len(t) > 400}.items():  # each licence's longest text
+        for width in (60, 78):
+            notice = textwrap.wrap("Copyright 2020 Some One " + body, width)
+            for head, mark in (([], ""), ([prose(rng, 12) for _ in range(40)], "# "), (["import os"], " * ")):
+                at = len(head)
+                wrapped[len(texts)] = name, at, len(notice)
+                texts.append("\n".join([*head, *(mark + x for x in notice[:4]), mark, *(mark + x for x in notice[4:]), *(prose(rng, 12) for _ in range(30))]))
     got = {r.doc_id: tuple(r)[1:] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert got == {i: slow_scan(t) for i, t in enumerate(texts)}
-    assert got[len(texts) - 1][:3] == ("Apache-2.0", 1.0, -1)
+    assert got[split][:4] == ("Apache-2.0", 1.0, 0, 2)
+    for i, (name, at, n) in wrapped.items():
+        license, dice, unit, n_lines, _ = got[i]
+        assert license == name and dice > 0.9 and at <= unit <= at + 1 and n - 2 <= n_lines <= n + 2
 
 
 def test_licenses_edges(spark):
