@@ -143,22 +143,22 @@ def oracle(threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMP
     rows = ", ".join(f"({i}, {name!r}, {len(template_words(text))}, [{', '.join(repr(g) for g in template_bigrams(text))}])" for i, (name, text) in enumerate(templates))
     grams = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
-        WITH t(i, license, size, g) AS (VALUES {rows}),
+        WITH t(i, license, n_words, g) AS (VALUES {rows}),
         d AS (SELECT row_number() OVER () AS r, doc_id, string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\n]+', ' ', 'g')), chr(10)) AS lines FROM documents),
         l AS (SELECT r, list_filter(string_split(lines[j], ' '), lambda x: x <> '') AS w, (j - 1)::INTEGER AS line FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS j FROM d)),
         f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line) AS k, {grams.format('w')} AS g FROM l WHERE len(w) > 0),
-        s AS (SELECT DISTINCT r, k, i, size FROM (SELECT r, k, unnest(g) AS x FROM f) JOIN (SELECT i, size, unnest(g) AS x FROM t WHERE size > {RUN_WORDS}) USING (x)),
-        c AS (SELECT s.r, s.k, i, size, f.k AS e, sum(len(w)) OVER (PARTITION BY s.r, s.k, i ORDER BY f.k) AS total FROM s JOIN f ON f.r = s.r AND f.k >= s.k AND f.k < s.k + size),
-        o AS (SELECT r, k, i, coalesce(min(e) FILTER (total >= size), max(e)) AS e FROM c GROUP BY r, k, i),
+        s AS (SELECT DISTINCT r, k, i, n_words FROM (SELECT r, k, unnest(g) AS x FROM f) JOIN (SELECT i, n_words, unnest(g) AS x FROM t WHERE n_words > {RUN_WORDS}) USING (x)),
+        c AS (SELECT s.r, s.k, s.i, s.n_words, f.k AS e, sum(len(w)) OVER (PARTITION BY s.r, s.k, s.i ORDER BY f.k) AS total FROM s JOIN f ON f.r = s.r AND f.k >= s.k AND f.k < s.k + s.n_words),
+        o AS (SELECT r, k, i, coalesce(min(e) FILTER (total >= n_words), max(e)) AS e FROM c GROUP BY r, k, i),
         v AS (SELECT r, k, i, e FROM o UNION ALL SELECT r, k, i, e - 1 FROM o),
         rw AS (SELECT v.r, v.k, v.i, v.e, flatten(list(f.w ORDER BY f.k)) AS w, min(line) AS unit, (max(line) - min(line) + 1)::INTEGER AS n_lines
                FROM v JOIN f ON f.r = v.r AND f.k BETWEEN v.k AND v.e WHERE v.e > v.k GROUP BY v.r, v.k, v.i, v.e),
-        u AS (SELECT r, w, line AS unit, 1 AS n_lines, NULL::INTEGER AS only FROM l
+        u AS (SELECT r, w, line AS unit, 1 AS n_lines, NULL::INTEGER AS for_i FROM l
               UNION ALL SELECT r, list_filter(string_split(array_to_string(lines, ' '), ' '), lambda x: x <> ''), -1, len(lines)::INTEGER, NULL FROM d WHERE len(lines) > 1
               UNION ALL SELECT r, w, unit, n_lines, i FROM rw),
-        g AS (SELECT r, unit, n_lines, only, {grams.format('w')} AS g FROM u WHERE len(w) > 1),
+        g AS (SELECT r, unit, n_lines, for_i, {grams.format('w')} AS g FROM u WHERE len(w) > 1),
         m AS (SELECT r, unit, n_lines, i, license, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t
-              ON len(g.g) BETWEEN len(t.g) * {threshold!r} / {2 - threshold!r} - 1 AND len(t.g) * {2 - threshold!r} / {threshold!r} + 1 AND coalesce(only, i) = i),
+              ON len(g.g) BETWEEN len(t.g) * {threshold!r} / {2 - threshold!r} - 1 AND len(t.g) * {2 - threshold!r} / {threshold!r} + 1 AND coalesce(for_i, i) = i),
         b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, i, CASE WHEN unit = -1 THEN 1 ELSE 0 END, unit, n_lines) AS place, count(*) OVER (PARTITION BY r) AS n
               FROM m WHERE dice >= {threshold!r}::DOUBLE)
         SELECT d.doc_id, b.license, b.dice, b.unit, b.n_lines, coalesce(b.n, 0)::BIGINT AS n_matches FROM d LEFT JOIN b ON d.r = b.r AND b.place = 1"""

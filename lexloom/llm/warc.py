@@ -1,7 +1,9 @@
 """WARC archives with a Zstandard dictionary: a leading skippable frame holds it, and each record is a frame of its own.
 
 Layout of an archive: a skippable frame (magic 0x184D2A5D) whose content is the dictionary, then one frame for each
-WARC/1.1 record, compressed with that dictionary. The dictionary is built from the archive's own records.
+WARC/1.1 record, the first of them a warcinfo, compressed with that dictionary. The dictionary is built from whole
+records of the archive, at even steps; where they are too few or too alike to train on, it is their last bytes as they
+are, and the warcinfo says so.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs
@@ -27,16 +30,23 @@ ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 10, 4 << 20
 LEVEL = 3
 
 
-def _record(kind: str, record_id: str, uri: str, payload: bytes, digest: str, refers_to: str | None, length: int) -> bytes:
+def _record(kind: str, name: str, uri: str, payload: bytes, digest: str, refers_to: str | None, length: int, page: str = "", date: str = "1970-01-01T00:00:00Z", target: str = "") -> bytes:
+    """One record; name is unique to it, page and refers_to are keys of pages, target is the uri of the page referred to."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {uri}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page: {page}"]
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To-Target-URI: {target}", f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _info(name: str, date: str, dictionary: str) -> bytes:
+    block = f"software: lexloom\r\nformat: WARC File Format 1.1\r\ndictionary: {dictionary}\r\n".encode()
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Headers by lower-case name, the HTTP header and the payload of one record."""
     head, _, rest = record.partition(b"\r\n\r\n")
@@ -47,24 +57,22 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary of records taken at even steps; empty if they are too few to train on."""
-    total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    samples = [r[: 1 << 17] for r in records[::step]]
-    if len(samples) < 8 or sum(map(len, samples)) < 4096:
-        return b""
+def build_dictionary(records: list[bytes]) -> tuple[bytes, str]:
+    """A dictionary of whole records taken at even steps, about SAMPLE_BYTES in all, and how it was made: trained or raw."""
+    step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
+    samples = records[::step]
+    size = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 4), samples, k=200, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 4), samples, k=200, d=8).as_bytes(), "trained"
+    except (zstandard.ZstdError, ValueError):  # too few samples, or too little that they share
+        return b"".join(samples)[-DICTIONARY_BYTES:], "raw"
 
 
-def encode_archive(records: list[bytes]) -> Iterator[bytes]:
-    dictionary = build_dictionary(records)
+def encode_archive(records: list[bytes], name: str = "", date: str = "1970-01-01T00:00:00Z") -> Iterator[bytes]:
+    dictionary, how = build_dictionary(records)
     yield struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
-    more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **more)
+    compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    yield compressor.compress(_info(str(uuid.uuid5(uuid.NAMESPACE_URL, name)), date, how))
     for r in records:
         yield compressor.compress(r)
 
@@ -74,9 +82,7 @@ def decode_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     magic, size = struct.unpack("<II", stream.read(8))
     if magic != SKIPPABLE:
         raise ValueError("the archive has no leading dictionary frame")
-    dictionary = stream.read(size)
-    more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    plain = zstandard.ZstdDecompressor(**more)
+    plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stream.read(size)))
     data = stream.read(chunk)
     while data:
         frame, out = plain.decompressobj(), []
@@ -103,22 +109,28 @@ def _base32(digest_hex: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, key: str, uri: str, payload: str, minimum: int) -> DataFrame:
-    """(key, uri, payload, digest, record_type, refers_to): which records are responses and which revisit another."""
+    """(k, uri, body, digest, record_type, refers_to, target): which records are responses and which revisit another.
+
+    Which pages share a payload is found from keys and digests alone; a payload is joined with what was found for its
+    page only where it is not alone, so payloads that very many pages share do not meet in one task.
+    """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"), body.alias("body"), _base32(F.sha1(body.cast("binary"))).alias("digest"))
-    long_enough = F.octet_length("body") >= minimum
-    groups = rows.filter(long_enough).groupBy("digest").agg(F.max("k").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "first")
+    names = rows.filter(F.octet_length("body") >= minimum).select("k", "uri", "digest")
+    groups = names.groupBy("digest").agg(F.max(F.struct("k", "uri")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     scratch = Scratch(pages.sparkSession, "warc-plan")
-    marked = rows.join(scratch.save(groups, "groups"), (F.col("digest") == F.col("d")) & long_enough, "left")
-    leads = F.col("d").isNull() | F.col("k").eqNullSafe(F.col("first"))
-    return marked.select("k", "uri", "body", "digest", F.when(leads, "response").otherwise("revisit").alias("record_type"), F.when(~leads, F.col("first")).alias("refers_to"))
+    shared = names.select("k", "digest").join(scratch.save(groups, "groups"), "digest").select(F.col("k").alias("sk"), F.col("digest").alias("d"), "first").distinct()
+    marked = rows.join(scratch.save(shared, "shared"), F.col("k").eqNullSafe(F.col("sk")) & (F.col("digest") == F.col("d")), "left")
+    leads = F.col("d").isNull() | F.col("k").eqNullSafe(F.col("first.k"))
+    return marked.select("k", "uri", "body", "digest", F.when(leads, "response").otherwise("revisit").alias("record_type"), F.when(~leads, F.col("first.k")).alias("refers_to"), F.when(~leads, F.col("first.uri")).alias("target"))
 
 
-def write_archives(records: DataFrame, root: str) -> DataFrame:
+def write_archives(records: DataFrame, root: str, date: str) -> DataFrame:
     """Write planned records to archives under ``root``; (path, n_records, n_bytes) of each.
 
     A task names its archives by its partition and renames them into place when they are whole, so a task that runs
-    again replaces what it wrote. Archives are closed at ARCHIVE_BYTES of records, which bounds memory.
+    again replaces what it wrote. Archives are closed at ARCHIVE_BYTES of records, which with the longest record bounds
+    memory; records of any length are kept whole. Ids of records are made of archive and place, so none is given twice.
     """
     tune(records.sparkSession)
 
@@ -128,12 +140,15 @@ def write_archives(records: DataFrame, root: str) -> DataFrame:
         held, size, made = [], 0, 0
         where = TaskContext.get().partitionId()
 
+        def label() -> str:
+            return f"part-{where:06d}-{made:05d}.warc.zst"
+
         def close() -> pa.RecordBatch:
             nonlocal held, size, made
-            name = f"{base}/part-{where:06d}-{made:05d}.warc.zst"
+            name = f"{base}/{label()}"
             temporary, total = f"{base}/.{uuid.uuid4().hex}", 0
             with fs.open_output_stream(temporary, compression=None) as out:
-                for piece in encode_archive(held):
+                for piece in encode_archive(held, label(), date):
                     out.write(piece)
                     total += len(piece)
             fs.move(temporary, name)
@@ -141,10 +156,10 @@ def write_archives(records: DataFrame, root: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["path", "n_records", "n_bytes"])
 
         for b in batches:
-            for k, u, body, digest, kind, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, u, body, digest, kind, refers, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload = body.encode()
-                clean = " ".join(u.split())
-                held.append(_record(kind, f"urn:page:{'' if k is None else k}", clean, payload, digest, f"urn:page:{refers}", len(payload)))
+                unique = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{label()}/{len(held)}"))
+                held.append(_record(kind, unique, " ".join(u.split()), payload, digest, refers, len(payload), "" if k is None else str(k), date, " ".join((target or "").split())))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()
@@ -170,11 +185,13 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
                 with fs.open_input_stream(path, compression=None) as stream:
                     for record in decode_archive(stream):
                         fields, http, payload = parse_record(record)
+                        if fields["warc-type"] == "warcinfo":
+                            continue
                         kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                         length = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length:"))[15:])
                         if kind == "response" and (length != len(payload) or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                             raise ValueError(f"{path}: a payload differs from its digest")
-                        page, refers = fields["warc-record-id"][10:-1], fields.get("warc-refers-to", "<urn:page:>")[10:-1]
+                        page, refers = fields["x-page"], fields.get("x-refers-to-page")
                         rows.append((page or None, length, digest, kind, refers or None, fields["warc-target-uri"], payload if kind == "response" else None))
                         size += len(record)
                         if size >= 8 << 20:
@@ -194,15 +211,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ_TYPES, strict=True)], names=[x.split()[0] for x in READ_SCHEMA.split(", ")])
 
 
-def archive(spark: SparkSession, pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", minimum: int = 0, root: str | None = None) -> DataFrame:
+def archive(spark: SparkSession, pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", minimum: int = 0, root: str | None = None, date: str | None = None) -> DataFrame:
     """Write a WARC record for each row of ``pages`` and read the archives back: see ``read_archives``.
 
     Of records with equal payloads of at least ``minimum`` bytes, that with the largest key is the response and others
     revisit it; smaller ones are all responses. A null payload is empty, a null uri an empty one. Repeated rows with the
     largest key are all responses; a row with a null key revisits if any equal payload has a key. Equal payloads are
-    found by their SHA-1. An empty table makes no archive and gives no rows. Other columns are not read.
+    found by their SHA-1. Texts of any length are kept whole. ``date`` is that of all records, by default the time of the
+    call. An empty table makes no archive and gives no rows. Other columns are not read.
     """
     scratch = Scratch(spark, "warc")
     root = root or scratch.path("archives")
-    manifest = scratch.save(write_archives(plan_records(pages, key, uri, payload, minimum), root), "manifest")
+    manifest = scratch.save(write_archives(plan_records(pages, key, uri, payload, minimum), root, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")), "manifest")
     return read_archives(manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"), root)

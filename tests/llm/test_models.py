@@ -156,15 +156,38 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch):
         assert r.uri == " ".join((url or "").split())
     files = sorted((tmp_path / "out").glob("*.warc.zst"))
     assert len(files) > 3 and not list((tmp_path / "out").glob(".*"))
-    with_dictionary = 0
+    made, names = set(), []
     for f in files:
         data = f.read_bytes()
         magic, size = struct.unpack("<II", data[:8])
-        assert magic == 0x184D2A5D
-        with_dictionary += size > 0
-        assert data[8 + size : 12 + size] == zstandard.FRAME_HEADER
-        assert sum(1 for _ in warc.decode_archive(io.BytesIO(data), chunk=7)) == sum(1 for _ in warc.decode_archive(io.BytesIO(data)))
-    assert with_dictionary
+        assert magic == 0x184D2A5D and size and data[8 + size : 12 + size] == zstandard.FRAME_HEADER
+        records = list(warc.decode_archive(io.BytesIO(data), chunk=7))
+        assert records == list(warc.decode_archive(io.BytesIO(data)))
+        head, _, info = warc.parse_record(records[0])
+        assert head["warc-type"] == "warcinfo"
+        made |= {how for how in ("trained", "raw") if f"dictionary: {how}".encode() in records[0]}
+        names += [warc.parse_record(r)[0]["warc-record-id"] for r in records]
+    assert "trained" in made and len(names) == len(set(names)) == len(rows) + len(files)
+
+
+def test_dictionary_is_of_whole_records():
+    """Records that cannot be trained on are the dictionary themselves; long ones are not cut."""
+    rng = random.Random(2)
+    few = [prose(rng, 400).encode() for _ in range(2)]
+    assert warc.build_dictionary(few) == (b"".join(few), "raw")
+    long = [prose(rng, 60_000).encode() for _ in range(30)]
+    dictionary, how = warc.build_dictionary(long)
+    assert how == "trained" and len(dictionary) <= warc.DICTIONARY_BYTES
+    for records in (few, long, [b""], [b"x"]):
+        assert list(warc.decode_archive(io.BytesIO(b"".join(warc.encode_archive(records)))))[1:] == records
+
+
+def test_archive_hot_payload(spark):
+    """One payload in thousands of pages, and another of 3 MB."""
+    rows = [(i, "u", "same page" if i % 3 else f"page {i}") for i in range(6000)] + [(6000, "u", "long " * 600_000)]
+    got = {int(r.id): r for r in warc.archive(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 6001 and got[6000].payload_bytes == 3_000_000 and len(got[6000].payload) == 3_000_000
+    assert all((got[i].record_type, got[i].refers_to) == (("response", None) if i % 3 == 0 or i == 5999 else ("revisit", "5999")) for i in range(6000))
 
 
 def test_archive_minimum_and_edges(spark):
@@ -176,9 +199,9 @@ def test_archive_minimum_and_edges(spark):
 
 
 def test_truncated_archive():
-    records = [warc._record("response", "urn:page:1", "u", b"<html>" + bytes(500), "D", None, 506) for _ in range(20)]
+    records = [warc._record("response", "1", "u", b"<html>" + bytes(500), "D", None, 506) for _ in range(20)]
     data = b"".join(warc.encode_archive(records))
-    assert list(warc.decode_archive(io.BytesIO(data))) == records
+    assert list(warc.decode_archive(io.BytesIO(data)))[1:] == records
     with pytest.raises(ValueError):
         list(warc.decode_archive(io.BytesIO(data[:-4])))
 
