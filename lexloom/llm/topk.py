@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch
 
-#: Vectors in a shard tile and in a query block; bytes of queries that are broadcast at once; lists merged at a node.
-SHARD, BLOCK, WAVE_BYTES, FAN_IN = 4096, 1024, 16 << 20, 32
+#: Vectors in a shard tile and in a query block; bytes of queries and of tiles that meet in one task; lists merged at a
+#: node.
+SHARD, BLOCK, WAVE_BYTES, PART_BYTES, FAN_IN = 4096, 1024, 16 << 20, 32 << 20, 32
 
 
 def _pack(rows: int):
@@ -82,12 +83,15 @@ def _select(s: np.ndarray, ids: np.ndarray, kth: np.ndarray, k: int) -> tuple[np
     return np.nonzero(ok)
 
 
-def _search(wave, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(dim, np.frombuffer(ids, np.int64), np.frombuffer(m, np.float64).reshape(n, dim), peak) for dim, n, ids, m, peak in wave.value]
+def _search(k: int):
+    """One cell of the grid: a part of the shard tiles against a wave of query blocks, with a list of each query."""
+
+    def run(shards: pa.Table, wave: pa.Table) -> pa.Table:
+        blocks = [(r["dim"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["m"], np.float64).reshape(r["n"], r["dim"]), r["peak"]) for r in wave.to_pylist()]
+        part = wave.column("part")[0].as_py() if len(blocks) else 0
         best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in blocks]
         kth = [np.full(len(b[1]), -np.inf) for b in blocks]
-        for batch in batches:
+        for batch in shards.to_batches(max_chunksize=1):
             for shard in batch.to_pylist():
                 ids = np.frombuffer(shard["ids"], np.int64)
                 m = np.frombuffer(shard["m"], np.float64).reshape(shard["n"], shard["dim"])
@@ -111,25 +115,13 @@ def _search(wave, k: int):
                     low = np.full(len(qids), np.inf if v.dtype == np.float64 else 2**63 - 1, v.dtype)
                     np.minimum.at(low, r, v)
                     kth[i] = np.where(full, low, -np.inf if v.dtype == np.float64 else -(2**63) + 1)
-        for (_, qids, _, _), (r, v, x) in zip(blocks, best, strict=True):
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(x), pa.array(v.astype(np.int64))], names=["query_id", "vec_id", "score"])
+        lists = [(np.full(len(r), part), qids[r], x, v.astype(np.int64)) for (_, qids, _, _), (r, v, x) in zip(blocks, best, strict=True)]
+        columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*lists, strict=True)] if lists else [np.zeros(0, np.int64)] * 4
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _waves(blocks: DataFrame) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for r in blocks.toLocalIterator():
-        held.append((r.dim, r.n, bytes(r.ids), bytes(r.m), r.peak))
-        size += len(r.m) + len(r.ids)
-        if size >= WAVE_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def _merge(lists: DataFrame, keys: list[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -142,7 +134,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     key; ties go to the smaller key. Null vectors, vectors with a null or non-finite component (before or after scaling)
     and rows with a null key take no part; vectors are compared with those of their own length only. Repeated candidate
     rows count each; a repeated query key is one query, with the least of its vectors. Scores beyond 64 bits saturate.
-    An empty table gives an empty one. Queries are broadcast in waves of WAVE_BYTES against all rows.
+    An empty table gives an empty one. Tiles and query blocks meet as the cells of a grid, dealt out by a shuffle: no
+    query passes through the driver, and the plan is the same whatever their number.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -152,14 +145,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     shards = scratch.save(base.select("id", "v").mapInArrow(_floored(_pack(SHARD)), SHARD_SCHEMA), "shards")
     queries = base.filter("q").groupBy("id").agg(F.min("v").alias("v"))
     blocks = scratch.save(queries.mapInArrow(_floored(_pack(BLOCK)), SHARD_SCHEMA), "blocks")
-    lists = None
-    for wave in _waves(blocks):
-        part = shards.mapInArrow(_search(spark.sparkContext.broadcast(wave), k), "query_id long, vec_id long, score long")
-        lists = part if lists is None else lists.unionByName(part)
-    if lists is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lists = lists.withColumn("node", F.spark_partition_id())
-    nodes = lists.rdd.getNumPartitions()
+    held = lambda t: t.agg(F.coalesce(F.sum(F.octet_length("m") + F.octet_length("ids")), F.lit(0))).first()[0]
+    waves = max(1, -(-held(blocks) // WAVE_BYTES))
+    nodes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held(shards) // PART_BYTES))
+    dealt = lambda t, own, n, other, m: t.select("*", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    cells = dealt(shards, "part", nodes, "wave", waves).groupBy("part", "wave").cogroup(dealt(blocks, "wave", waves, "part", nodes).groupBy("part", "wave"))
+    lists = cells.applyInArrow(_search(k), "node long, query_id long, vec_id long, score long")
     while nodes > FAN_IN:
         lists = lists.withColumn("node", F.floor(F.col("node") / FAN_IN))
         lists, nodes = _merge(lists, [F.col("query_id"), F.col("node")], k).drop("rank"), nodes // FAN_IN + 1
