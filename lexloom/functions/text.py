@@ -6,6 +6,7 @@ includes U+001C to U+001F, word characters are letters, numbers and the undersco
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -127,6 +128,22 @@ def compose(c: Column | str) -> Column:
     return F.coalesce(_compose(F.when(text_of(c).rlike(r"[^\x00-\x7F]"), text_of(c))), text_of(c))
 
 
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    def one(t: str) -> str:
+        plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t).casefold())
+        return unicodedata.normalize("NFC", re.sub("[\u0300-\u036f]", "", plain))
+
+    return texts.map(lambda t: None if t is None else one(t))
+
+
+def fold(c: Column | str) -> Column:
+    """A text for search: compatibility characters composed, cases folded, accents dropped; vowel signs and other marks
+    of Indic scripts stay. ASCII texts are but lower-cased and not sent to Python."""
+    t = text_of(c)
+    return F.coalesce(_folded(F.when(t.rlike(r"[^\x00-\x7F]"), t)), F.lower(t))
+
+
 def _unwrap(c: Column, drop: str) -> Column:
     """Without the characters of class ``drop``, line ends as LF, words that a hyphen parts at a line end joined."""
     c = F.regexp_replace(F.regexp_replace(c, f"[{drop}]", ""), r"\r\n?", "\n")

@@ -16,8 +16,9 @@ UNICODE_WORDS, ASCII_WORDS = r"[\p{L}\p{N}\p{M}_]+", "[a-z0-9]+"
 
 
 def analyze(c: Column | str, pattern: str = UNICODE_WORDS) -> Column:
-    """Lower-cased words of a text, in order."""
-    return F.regexp_extract_all(F.lower(X.text_of(c)), F.lit(f"({pattern})"), F.lit(1))
+    """Words of a text, in order: of the folded text by default, of the lower-cased one for ASCII words."""
+    text = F.lower(X.text_of(c)) if pattern == ASCII_WORDS else X.fold(c)
+    return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
 @dataclass

@@ -73,9 +73,12 @@ def rename(documents: DataFrame, key: str, name: str) -> DataFrame:
     return documents.withColumn("display_name", F.when(F.col("id") == key, F.lit(name)).otherwise(F.col("display_name")))
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``table`` with the rows' keys replaced or added; of rows with one key any one counts."""
-    fresh = rows.dropDuplicates([key])
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``table`` with the rows' keys replaced or added; of rows with one key that with the greatest ``order`` counts, and
+    of equals, or without an order, that whose values hash highest, so that a run again gives the same."""
+    first = [F.desc(c) for c in ([order] if order else [])]
+    w = Window.partitionBy(key).orderBy(*first, F.desc(F.xxhash64(*rows.columns)))
+    fresh = rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
     return table.join(fresh.select(key), key, "left_anti").select(*table.columns).unionByName(fresh.select(*table.columns))
 
 

@@ -51,7 +51,13 @@ def ingest(parsed: DataFrame, ocr: DataFrame | None = None, tables: DataFrame |
     return Ingested(profiles, typed, split, made, languages, statuses, staged)
 
 
-def index_rows(made: DataFrame, user_id: str, make: Callable[[], Embedder], config: EngineConfig = DEFAULT) -> DataFrame:
-    """Rows of the index table: payloads and vectors of chunks."""
+def index_rows(made: DataFrame, user_id: str, make: Callable[[], Embedder], config: EngineConfig = DEFAULT, profiles: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Rows of the index table: the payloads and vectors of chunks.
+
+    profiles (doc_id, document_type) and files (doc_id, source_file) give what chunks do not know; without them it is null.
+    """
     rows = with_embeddings(made, make, batch=config.embedding_batch)
-    return rows.withColumn("user_id", F.lit(user_id)).withColumn("page_number", F.col("page_start")).withColumnRenamed("doc_id", "document_id")
+    for table, column in ((profiles, "document_type"), (files, "source_file")):
+        rows = rows.withColumn(column, F.lit(None).cast("string")) if table is None else rows.join(table.select("doc_id", column), "doc_id", "left")
+    rows = rows.withColumn("user_id", F.lit(user_id)).withColumn("page_number", F.col("page_start")).withColumn("source_language", F.col("language"))
+    return rows.withColumnRenamed("doc_id", "document_id")

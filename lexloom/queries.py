@@ -184,10 +184,44 @@ def line_tests(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct({_words('lower(text)')}) AS s FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.s AS x, b.s AS y FROM b a JOIN b ON a.item_id < b.item_id)
-        SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END AS similarity FROM p""")
+        SELECT a, b, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS similarity FROM p WHERE len(list_intersect(x, y)) > 0""")
 def jaccard_items(spark, sf_dir):
     s = read(spark, sf_dir, "benchmark").select("item_id", X.token_set("text").alias("s"))
-    return s.alias("x").join(s.alias("y"), F.col("x.item_id") < F.col("y.item_id")).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), X.jaccard(F.col("x.s"), F.col("y.s")).alias("similarity"))
+    w = s.select("item_id", F.explode("s").alias("w"))
+    met = w.select(F.col("item_id").alias("a"), "w").join(w.select(F.col("item_id").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
+    both = met.join(s.select(F.col("item_id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("item_id").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("similarity"))
+
+
+@query(f"""{_T}, n AS (SELECT doc_id, variant, regexp_replace(regexp_replace(nfc_normalize(t), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\r\\n?', chr(10), 'g') AS t FROM v),
+        j AS (SELECT doc_id, variant, regexp_replace(t, '([\\p{{L}}\\p{{N}}_])[-\\x{{ad}}]\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS t FROM n),
+        f AS (SELECT doc_id, variant, replace(replace(regexp_replace(t, '\\n{{2,}}', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10)) AS t FROM j)
+        SELECT doc_id, variant, {_strip("regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g')")} AS cleaned FROM f""".replace("{{2,}}", "{2,}"))
+def clean_text_older(spark, sf_dir):
+    return varied(spark, sf_dir).select("doc_id", "variant", X.clean_text_simple("t", lines=False).alias("cleaned"))
+
+
+@query(f"""{_T}, p AS (SELECT a.doc_id, a.t AS t, b.t AS u, (a.doc_id % 7) / 7.0::DOUBLE AS c FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.variant = 0 AND b.variant = 1)
+        SELECT doc_id, greatest({_indic('u')}, {_latin('u')}) > greatest({_indic('t')}, {_latin('t')}) OR 0.5::DOUBLE >= c AS takes FROM p""")
+def page_fallback(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.expr(INDIC).alias("u"))
+    return d.select("doc_id", pages.prefer_fallback(F.col("text"), F.col("doc_id") % 7 / F.lit(7.0), F.col("u"), F.lit(0.5)).alias("takes"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21, 12) END AS id,
+        CASE WHEN c_nationkey = 0 THEN c_custkey ELSE c_nationkey END AS page FROM customer""")
+def parsed_ids(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    given = F.when(F.col("c_custkey") % 5 == 0, "not an id").otherwise(F.concat(F.lit(" {"), F.upper(F.md5(F.col("c_name").cast("binary"))), F.lit("} ")))
+    return c.select("c_custkey", X.uuid_or_null(given).alias("id"), X.default_if_unset("c_nationkey", F.col("c_custkey")).cast("long").alias("page"))
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM e GROUP BY label, i)
+        SELECT label, round(sqrt(sum(x * x)), 6) AS before, round(max(CASE WHEN i = 0 THEN x END) / sqrt(sum(x * x)), 6) AS first FROM m GROUP BY label""")
+def mean_pooling(spark, sf_dir):
+    by = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("rows"))
+    pooled = by.select("label", V.mean_pool(F.col("rows")).alias("v"), F.element_at("rows", 1).alias("r"), F.size("rows").alias("n"), F.aggregate(F.slice("rows", 2, F.size("rows")), F.element_at("rows", 1).cast("array<double>"), lambda s, r: F.zip_with(s, r.cast("array<double>"), lambda x, y: x + y)).alias("sum"))
+    return pooled.select("label", F.round(V.norm(F.col("sum")) / F.col("n"), 6).alias("before"), F.round(F.col("v")[0], 6).alias("first"))
 
 
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm, round(e[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS first
@@ -430,6 +464,25 @@ def bm25_filtered(spark, sf_dir):
     return _bm25(spark, sf_dir, True).select("query_id", "chunk_id", "score", "rank")
 
 
+_FOLDED = _BM25.replace("'[a-z0-9]+'", r"'[\p{L}\p{N}\p{M}_]+'").replace("lower(text)", "strip_accents(replace(lower(text), 'ß', 'ss'))")
+
+
+@query(f"WITH {_FOLDED} {_RANKED.format('b')}")
+def bm25_folded(spark, sf_dir):
+    """The default analyzer: words of any script, folded."""
+    d, q = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = bm25.build_index(d.select(F.col("doc_id").alias("chunk_id"), "text"))
+    return bm25.bm25_search(q, index, None, 20, digits=6).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_DENSE.format('AND c.vec_id BETWEEN q.vec_id - 20 AND q.vec_id + 20')} {_RANKED.format('d')}")
+def dense_topk_documents(spark, sf_dir):
+    """Every vector asks among the documents that it names."""
+    c = _vectors(spark, sf_dir).drop("user_id")
+    q = c.select(F.col("chunk_id").alias("query_id"), "vector", F.sequence(F.col("chunk_id") - 20, F.col("chunk_id") + 20).alias("document_ids"))
+    return dense.dense_search(q, c, 20, digits=6).select("query_id", "chunk_id", "score", "rank")
+
+
 #: Vectors that stand for items: that of the same number among the embeddings.
 _HYBRID = f"""{_BM25}, lx AS ({_RANKED.format('b')}),
         dn AS (SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
@@ -467,7 +520,17 @@ def rerank_topk(spark, sf_dir):
     return ranking.rerank(_candidates(spark, sf_dir)).select("query_id", "chunk_id", "rerank_score", "rerank_rank")
 
 
-@query()
+_MMR = f"""{_RERANK}, mx AS (SELECT query_id, max(1.0::DOUBLE * score) AS top FROM rf WHERE rank <= 20 GROUP BY query_id),
+        cs AS (SELECT ca.query_id, ca.chunk_id, ca.rank, ca.x, rf.score / top AS rel FROM ca JOIN rf USING (query_id, chunk_id) JOIN mx ON mx.query_id = ca.query_id),
+        js AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, CASE WHEN len(a.x) = 0 OR len(b.x) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.x, b.x))::DOUBLE / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) END AS j FROM cs a JOIN cs b USING (query_id)),
+        ch AS (SELECT query_id, 1 AS n, [arg_min(chunk_id, rank)] AS sel FROM cs GROUP BY query_id
+               UNION ALL
+               SELECT query_id, n + 1, list_append(sel, chunk_id) FROM
+                 (SELECT ch.query_id, ch.n, ch.sel, cs.chunk_id, row_number() OVER (PARTITION BY ch.query_id ORDER BY round(0.7::DOUBLE * cs.rel - 0.3::DOUBLE * (SELECT max(js.j) FROM js WHERE js.query_id = ch.query_id AND js.a = cs.chunk_id AND list_contains(ch.sel, js.b)), 7) DESC, cs.rank) AS place
+                  FROM ch JOIN cs ON cs.query_id = ch.query_id AND NOT list_contains(ch.sel, cs.chunk_id) WHERE ch.n < 5) WHERE place = 1)"""
+
+
+@query(f"WITH RECURSIVE {_MMR} SELECT query_id, sel[n] AS chunk_id, n AS mmr_rank FROM ch")
 def mmr_select(spark, sf_dir):
     return ranking.mmr(_candidates(spark, sf_dir), top_k=5).select("query_id", "chunk_id", "mmr_rank")
 
@@ -505,14 +568,22 @@ def context_block(spark, sf_dir):
     return context.context_block(_contexts(spark, sf_dir))
 
 
-@query(f"""{_T} SELECT doc_id, variant, CASE WHEN ({_latin('t')}) > ({_indic('t')}) THEN '{prompts.TURN['en'][0]}' || lang || '{prompts.TURN['en'][1]}' || t || '{prompts.TURN['en'][2]}'
-        ELSE '{prompts.TURN['as'][0]}' || lang || '{prompts.TURN['as'][1]}' || t || '{prompts.TURN['as'][2]}' END AS content FROM v""")
+def _turn(language: str) -> str:
+    head, middle, tail = (x.replace("'", "''") for x in prompts.TURN[language])
+    return f"'{head}' || lang || '{middle}' || t || '{tail}'"
+
+
+@query(f"""{_T}, m AS (SELECT doc_id, variant, 0 AS place, 'system' AS role, '{prompts.SYSTEM_PROMPT.replace("'", "''")}' AS content FROM v
+        UNION ALL SELECT doc_id, variant, 1, 'assistant', source FROM v
+        UNION ALL SELECT doc_id, variant, 2, 'user', CASE WHEN ({_latin('t')}) > ({_indic('t')}) THEN {_turn('en')} ELSE {_turn('as')} END FROM v)
+        SELECT doc_id, variant, place::INTEGER AS place, role, content FROM m""")
 def prompt_messages(spark, sf_dir):
-    m = prompts.messages(F.col("t"), F.col("lang"))
-    return varied(spark, sf_dir).select("doc_id", "variant", F.element_at(m, -1)["content"].alias("content"))
+    past = F.array(F.struct(F.lit("assistant").alias("role"), F.col("source").alias("content")))
+    rows = varied(spark, sf_dir).select("doc_id", "variant", F.posexplode(prompts.messages(F.col("t"), F.col("lang"), past)).alias("place", "m"))
+    return rows.select("doc_id", "variant", "place", "m.role", "m.content")
 
 
-# ---- evaluation: items look for documents that hold their first word
+# ---- evaluation: items look for documents of numbers made from theirs
 
 
 @query(f"""WITH {_BM25}, r AS ({_RANKED.format('b')}), ca AS (SELECT item_id AS case_id, [item_id * 3, item_id * 5 + 1, item_id * 7 + 2] AS ex FROM benchmark), x AS (SELECT case_id, list_distinct(ex) AS ex FROM ca),
@@ -593,7 +664,32 @@ def latest_stage_status(spark, sf_dir):
     return relational.latest_status(read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT event_id, round(value, 6) AS score FROM events")
+@query("SELECT event_id, shape, round(value, 6) AS score FROM events, (SELECT unnest(range(7))::INTEGER AS shape)")
 def rerank_response(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("raw", F.concat(F.lit('[{"score":'), F.col("value").cast("string"), F.lit("}]")))
-    return e.select("event_id", F.round(parsing.rerank_scores(F.col("raw"), 1)[0], 6).alias("score"))
+    """Each event's value as an answer of every shape that a reranker may give."""
+    shapes = ('[{"score":%s}]', "[%s]", '[[{"score":%s}]]', "[[%s]]", '{"scores":[%s]}', '{"logits":[%s]}', '{"scores":[{"score":%s}]}')
+    raw = F.array(*[F.struct(F.lit(i).alias("shape"), F.concat(F.lit(x.split("%s")[0]), F.col("value").cast("string"), F.lit(x.split("%s")[1])).alias("raw")) for i, x in enumerate(shapes)])
+    e = read(spark, sf_dir, "events").select("event_id", F.explode(raw).alias("r"))
+    return e.select("event_id", "r.shape", F.round(parsing.rerank_scores(F.col("r.raw"), 1)[0], 6).alias("score"))
+
+
+@query("""SELECT event_id, nullif(trim(event_type), '') AS said, event_type AS delta FROM events""")
+def chat_response(spark, sf_dir):
+    """Answers and stream events that say an event's type."""
+    said, quoted = F.concat(F.lit("  "), "event_type", F.lit(" ")), lambda c: F.to_json(F.struct(c.alias("content")))
+    raw = F.concat(F.lit('{"choices":[{"message":'), quoted(said), F.lit("}]}"))
+    line = F.concat(F.lit('data: {"choices":[{"delta":'), quoted(F.col("event_type")), F.lit("}]}"))
+    return read(spark, sf_dir, "events").select("event_id", parsing.chat_answer(raw).alias("said"), parsing.stream_delta(line).alias("delta"))
+
+
+@query("""WITH t AS (SELECT conv_id, max(turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id)
+        SELECT conv_id::VARCHAR AS id, (last + 5)::BIGINT AS last_message_at, (n + 2)::BIGINT AS messages FROM t""")
+def persist_turn(spark, sf_dir):
+    """One more turn of every conversation: its messages and the time of its last one."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("conversation_id"), F.concat_ws("-", "conv_id", "turn", "role").alias("id"), "role", F.col("text").alias("content_text"), F.timestamp_seconds("turn").alias("created_at"))
+    conversations = c.groupBy(F.col("conversation_id").alias("id")).agg(F.max("created_at").alias("last_message_at"))
+    now = F.col("last_message_at") + F.expr("interval 5 seconds")
+    turn = conversations.select(F.col("id").alias("conversation_id"), F.lit("u").alias("user_id"), F.concat("id", F.lit("-q")).alias("user_message_id"), F.concat("id", F.lit("-a")).alias("assistant_message_id"), F.lit("why?").alias("question"), F.lit("so").alias("answer"), F.lit("text").alias("input_type"), F.array(F.lit("x")).alias("retrieved_chunk_ids"), F.lit("m").alias("model_used"), F.lit(3).alias("latency_ms"), now.alias("created_at"))
+    rows, touched = relational.persist_turn(c, conversations, turn)
+    n = rows.groupBy("conversation_id").agg(F.count("*").alias("messages"))
+    return touched.join(n, F.col("id") == F.col("conversation_id")).select("id", F.col("last_message_at").cast("long").alias("last_message_at"), "messages")
