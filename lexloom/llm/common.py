@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.staging import shared_dir
+
 #: Arrow batches handed to Python hold at most so many rows and bytes, so that long texts stay small in memory.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -16,20 +17,6 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (local mode)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-    sc.setCheckpointDir(base)
-    return base
-
-
 class Scratch:
     """Tables written under the shared folder, to cut lineage; a lost executor only makes Spark read them again.
 
@@ -72,7 +59,7 @@ class Scratch:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
+    """Bound the Arrow batches of this session, from now on: plans run later than they are made, so it cannot be undone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
