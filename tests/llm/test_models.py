@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lexloom.llm import attribution, katz, licenses, packing, queries, rules, warc
 from lexloom.llm.common import fold_of
+from tests.llm.test_pairs import slow_components, slow_contamination, slow_fingerprint, spans_in
 
 DOCS = "doc_id long, text string"
 WORD_BPE, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -534,3 +535,66 @@ def test_pipeline(spark, tmp_path):
     assert sum(i in texts["benchmark_decontamination"] for i in good) >= 0.98 * len(good)
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packed(rows, list(texts["benchmark_decontamination"].items()), 4096)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Each stage against a slow version of it, on what the stage before kept."""
+    rng = random.Random(13)
+    docs, labels = [], []
+    passages = [[prose(rng, rng.randint(5, 30)) for _ in range(rng.randint(3, 6))] for _ in range(6)]
+    items = [(0, prose(rng, 14)), (1, prose(rng, 6)), (2, None)]
+    for i in range(250):
+        good = rng.random() < 0.75
+        lines = [prose(rng, rng.randint(1, 40)) for _ in range(rng.randint(1, 4))]
+        if rng.random() < 0.4:
+            at = rng.randint(0, len(lines))
+            lines[at:at] = rng.choice(passages)
+        if rng.random() < 0.05:
+            lines.append("so " + rng.choice(items[:2])[1])
+        text = "\n".join(lines)
+        docs.append((i, text if good else text.upper() + " $$$ ###"))
+        labels.append((i, int(good)))
+    docs += [(250 + n, docs[n * 7][1]) for n in range(15)] + [(270 + n, docs[n * 5][1].replace(" a", " b", 1)) for n in range(15)]
+    docs += [(None, "some words under a null key"), (290, None), (291, ""), (292, "a b"), (293, "A  B")]
+    spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda r: (r[0] is not None, r[0] or 0)
+    rows_of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=order)
+
+    def quality(rows):
+        d = spark.createDataFrame(rows, DOCS)
+        model = rules.train(d, spark.createDataFrame(labels, "doc_id long, quality int"), usable=fold_of("doc_id", 4) != 2)
+        score = lambda t: model.intercept + sum(w for rule, w in model.rules if all(slow_statistics(t or "")[n] <= v if sign == "<=" else slow_statistics(t or "")[n] > v for n, sign, v in rule))
+        return [(i, t) for i, t in rows if 1 / (1 + math.exp(-score(t))) >= 0.7]
+
+    def lines(rows):
+        plain = [[" ".join(x.lower().split()) for x in (t or "").split("\n")] for _, t in rows]
+        out = []
+        for n, (i, t) in enumerate(rows):
+            solid = [x for x, line in enumerate(plain[n]) if line]
+            gone = {solid[x] for m in range(n) for x in spans_in([plain[n][x] for x in solid], [x for x in plain[m] if x], 50)}
+            left = t if not gone else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone)
+            if not gone or left.strip():
+                out.append((i, left))
+        return out
+
+    def near(rows):
+        fps = [slow_fingerprint(t) for _, t in rows]
+        keys = [n if i is None else i - 10**6 for n, (i, _) in enumerate(rows)]  # null keys last
+        least = slow_components(keys, fps)
+        return [r for r, k, x in zip(rows, keys, least, strict=True) if k == x]
+
+    def clean(rows):
+        return [(i, t) for i, t in rows if not slow_contamination(t, items)[-1]]
+
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for (_, stage), slow in zip(corpus_pipeline.STAGES[:-1], (quality, lines, near, clean), strict=True):
+        before = rows_of(out)
+        out = spark.createDataFrame(stage(spark, out, str(tmp_path)).collect(), out.schema)
+        assert rows_of(out) == sorted(slow(before), key=order)
+        sizes.append(out.count())
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 100
+    assert all(r.n_chars == len(r.text or "") for r in out.collect())
+    check_packed(corpus_pipeline.run(spark, str(tmp_path)).collect(), rows_of(out), 4096)
