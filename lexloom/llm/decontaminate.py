@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import packed, raw, tune, unpacked
+from lexloom.llm.common import Scratch, packed, raw, tune, unpacked
 from lexloom.llm.words import alnum_words
 
 SHINGLE = 5
 #: Bytes of item text in one block. A larger benchmark is handled in blocks of this size, each broadcast by itself.
 BLOCK_BYTES = 2 << 20
+#: Bytes of documents for which each of several blocks is loaded once.
+GROUP_BYTES = 32 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,23 +102,42 @@ def _meets(ids: np.ndarray, width: int, table: np.ndarray) -> tuple[np.ndarray,
     return at[found], h[found]
 
 
-def count_shingles(texts: DataFrame, block: Broadcast) -> dict[tuple[int, int], int]:
-    """In how many places of all the texts each shingle of the block stands."""
+def _gathered(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.RecordBatch]:
+    """Batches as they come, or of GROUP_BYTES if ``several`` blocks have to be loaded for each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if not several or sum(x.nbytes for x in held) >= GROUP_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def count_shingles(texts: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """(block, w, h, n): in how many places of all the texts each shingle of each block stands, found in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = block.value
-        total = {w: np.zeros(len(t), np.int64) for w, t in b.shingles.items()}
-        for batch in batches:
-            for text in raw(batch.column(0)):
-                ids = _ids(alnum_words(text), b.vocabulary)
+        total: dict[tuple[int, int], np.ndarray] = {}
+        tables: dict[tuple[int, int], np.ndarray] = {}
+        for batch in _gathered(batches, len(blocks) > 1):
+            words = [alnum_words(t) for t in raw(batch.column(0))]
+            for n, sent in enumerate(blocks):
+                b: Block = sent.value
                 for w, t in b.shingles.items():
-                    np.add.at(total[w], np.searchsorted(t, _meets(ids, w, t)[1]), 1)
-        for w, t in b.shingles.items():
-            yes = total[w] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(yes.sum(), w, np.int32)), pa.array(t[yes].view(np.int64)), pa.array(total[w][yes])], names=["w", "h", "n"])
+                    tables[n, w] = t
+                    total.setdefault((n, w), np.zeros(len(t), np.int64))
+                for own in words:
+                    ids = _ids(own, b.vocabulary)
+                    for w, t in b.shingles.items():
+                        np.add.at(total[n, w], np.searchsorted(t, _meets(ids, w, t)[1]), 1)
+                if len(blocks) > 1:
+                    sent.__dict__.pop("_value", None)
+        for (n, w), t in tables.items():
+            yes = total[n, w] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(yes.sum(), x, np.int32)) for x in (n, w)] + [pa.array(t[yes].view(np.int64)), pa.array(total[n, w][yes])], names=["block", "w", "h", "n"])
 
-    found = texts.mapInArrow(run, "w int, h long, n long").groupBy("w", "h").agg(F.sum("n").alias("n"))
-    return {(r.w, r.h & (2**64 - 1)): r.n for r in found.toLocalIterator()}
+    return texts.mapInArrow(run, "block int, w int, h long, n long").groupBy("block", "w", "h").agg(F.sum("n").alias("n"))
 
 
 class Matcher:
@@ -181,12 +202,19 @@ def _finder(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col(text).cast("string").alias("t"))
+    sent = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, item, item_text, window)]
+    if not sent:
+        return _Finder([])
+    found = count_shingles(texts, sent)
+    if len(sent) > 1:
+        found = Scratch(spark, "decontaminate").save(found, "counts")
     ready: list[Broadcast] = []
-    for block in _blocks(benchmark, item, item_text, window):
-        sent = spark.sparkContext.broadcast(block)
-        order_by_rarity(block, count_shingles(texts, sent))
-        sent.unpersist()
+    for n, old in enumerate(sent):
+        block: Block = old.value
+        order_by_rarity(block, {(r.w, r.h & (2**64 - 1)): r.n for r in found.filter(F.col("block") == n).toLocalIterator()})
         ready.append(spark.sparkContext.broadcast(block))
+        old.__dict__.pop("_value", None)
+        old.unpersist()
     return _Finder(ready)
 
 
@@ -207,7 +235,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = find.matchers()
-        for b in batches:
+        for b in _gathered(batches, len(find.blocks) > 1):
             words = [alnum_words(t) for t in raw(b.column(1))]
             found = find(matchers, words)
             hit, merged, digests = [], [], []
@@ -236,7 +264,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = find.matchers()
-        for b in batches:
+        for b in _gathered(batches, len(find.blocks) > 1):
             clean = [not spans for spans, _ in find(matchers, [alnum_words(t) for t in raw(b.column(1))])]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(clean, pa.bool_()))], names=["row"])
 
