@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +118,16 @@ def quality_score(c: Column | str) -> Column:
     return let(shape(c), lambda m: quality_of(m, c))
 
 
+#: Arrow batches handed to Python hold at most so many rows and bytes, so that long texts stay small in memory.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, from now on: plans run later than they are made, so it cannot be undone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 @F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -12,6 +12,7 @@ from lexloom.operators import units as U
 
 def clean_units(units: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Units cleaned by their types, without those that are not worth a vector; long ones in pieces, with their tokens."""
+    X.bound_batches(units.sparkSession)
     rows = units.withColumn("text", X.compose("text"))
     lines = F.col("kind").isin(*U.KEEP_LINES)
     cleaned = F.when(lines, X.clean_text("text", lines=True, composed=True)).otherwise(X.clean_text("text", composed=True))

@@ -52,37 +52,86 @@ def with_paths(sections: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select(*columns, F.when(titled, path).otherwise(F.array().cast("array<string>")).alias("heading_path"))
 
 
+def _lines(b: Column) -> Column:
+    return X.strip(b["text"])
+
+
+def _is_heading(b: Column) -> Column:
+    return X.is_heading(_lines(b), b["block_type"], b["heading_level"])
+
+
+def number_pages(pages: DataFrame, strict: bool = True) -> DataFrame:
+    """(doc_id, page_number, at, empty, heads) of ``pages`` (doc_id, page_number, bare, first, heads): at is the number
+    of the section that a page begins in, empty whether its document has bare pages only; heads get their paths.
+
+    Only headings are gathered by document, not texts.
+    """
+    kind = pages.schema["heads"].dataType
+    heads = F.flatten(F.collect_list(F.coalesce("heads", F.array().cast(kind))))
+    by = pages.groupBy("doc_id", "page_number").agg(F.min("bare").alias("bare"), F.max("first").alias("first"), heads.alias("heads"))
+    # bare pages last: whether a document begins with a heading is told by its first other page
+    order = Window.partitionBy("doc_id").orderBy("bare", "page_number")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    n = F.size("heads")
+    by = by.withColumn("at", (F.sum(n).over(upto) - n - F.first("first").over(upto).cast("int")).cast("int")).withColumn("empty", F.min("bare").over(upto))
+    # a row for the page's beginning, without title, and one for each heading
+    rows = by.select("doc_id", "page_number", "at", "empty", F.posexplode(F.concat(F.array(F.lit(None).cast(kind.elementType)), "heads")).alias("n", "h"))
+    rows = rows.select("doc_id", "page_number", "at", "empty", (F.col("at") + F.col("n")).alias("section_no"), F.col("h.ord").alias("ord"), F.col("h.title").alias("title"), F.col("h.level").alias("level"))
+    rows = with_paths(rows, strict)
+    found = F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct("ord", F.col("heading_path").alias("path")))))
+    return rows.groupBy("doc_id", "page_number").agg(F.min("at").alias("at"), F.min("empty").alias("empty"), found.alias("heads"))
+
+
+def section_blocks(pages: DataFrame, strict: bool = True) -> DataFrame:
+    """(doc_id, section_no, page_number, block_ord, heading, path, bare, page, b): the blocks of ``pages``, numbered by sections.
+
+    A bare page, which has no text in its blocks, is one row that stands for it, if its document has no other pages.
+    """
+    kind = pages.schema["blocks"].dataType
+    text = X.text_of("text")
+    blocks = F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(F.array(F.struct(F.lit("paragraph").alias("block_type"), F.col("text"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.lit(1.0).alias("confidence"), F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("double").alias("font_size"))).cast(kind))
+    parts = F.filter(F.transform(blocks, lambda b, i: F.struct(i.alias("ord"), b.alias("b"))), lambda x: _lines(x["b"]) != "")
+    page = F.struct(F.when(X.strip(text) != "", text).alias("text"), F.nullif(flat_text(F.coalesce("blocks", F.array().cast(kind))), F.lit("")).alias("flat"))
+    heads = F.transform(F.filter("parts", lambda x: _is_heading(x["b"])), lambda x: F.struct(x["ord"].alias("ord"), _lines(x["b"]).alias("title"), x["b"]["heading_level"].alias("level")))
+    slim = pages.select("doc_id", "page_number", parts.alias("parts")).select("doc_id", "page_number", (F.size("parts") == 0).alias("bare"), F.get("parts", F.lit(0))["ord"].alias("begin"), heads.alias("heads"))
+    first = F.coalesce(F.get("heads", F.lit(0))["ord"] == F.col("begin"), F.lit(False))
+    numbers = number_pages(slim.select("doc_id", "page_number", "bare", first.alias("first"), "heads"), strict)
+    numbers = numbers.select(F.col("doc_id").alias("_doc"), F.col("page_number").alias("_page"), "at", "empty", "heads").hint("shuffle_hash")
+    of = pages.select("doc_id", "page_number", "text", "blocks")
+    rows = of.join(numbers, of["doc_id"].eqNullSafe(F.col("_doc")) & of["page_number"].eqNullSafe(F.col("_page")))
+    rows = rows.select("doc_id", "page_number", "at", "empty", "heads", parts.alias("parts"), page.alias("page")).withColumn("bare", F.size("parts") == 0).filter("empty OR NOT bare")
+    one = F.when(F.col("bare"), F.array(F.lit(None).cast(rows.schema["parts"].dataType.elementType))).otherwise(F.col("parts"))
+    rows = rows.select("doc_id", "page_number", "at", "heads", "bare", F.when(F.col("bare"), F.col("page")).alias("page"), F.explode(one).alias("x"))
+    n = F.size(F.filter("heads", lambda h: h["ord"] <= F.col("x.ord")))
+    rows = rows.withColumn("n", F.when(F.col("bare") | (F.size("heads") == 0), 0).otherwise(n)).withColumn("last", F.get("heads", F.col("n") - 1))
+    heading = F.coalesce(F.col("last.ord") == F.col("x.ord"), F.lit(False))
+    return rows.select("doc_id", (F.col("at") + F.col("n")).alias("section_no"), "page_number", F.col("x.ord").alias("block_ord"), heading.alias("heading"), F.when(heading, F.col("last.path")).alias("path"), "bare", "page", F.col("x.b").alias("b"))
+
+
 def detect_sections(pages: DataFrame, strict: bool = True) -> DataFrame:
     """(doc_id, section_no, section_id, section_title, heading_path, text, page_start, page_end, blocks) of each document.
 
     ``pages`` have classified blocks. A heading starts a section, and blocks before the first make an untitled one. The
     text leaves the heading out; tables are set off by a blank line. A document without any block that has text is one
     untitled section of no blocks over its pages. section_id depends on the document and the section's number only.
+    Texts are gathered by section, never by document.
     """
-    blocks = F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(F.array(F.struct(F.lit("paragraph").alias("block_type"), F.col("text"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.lit(1.0).alias("confidence"), F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("double").alias("font_size"))).cast(pages.schema["blocks"].dataType))
-    rows = pages.select("doc_id", "page_number", F.posexplode(blocks).alias("block_ord", "b")).withColumn("line", X.strip(F.col("b.text"))).filter("line <> ''")
-    rows = rows.withColumn("heading", X.is_heading("line", F.col("b.block_type"), F.col("b.heading_level")))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "block_ord").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first("heading").over(order)
-    rows = rows.withColumn("section_no", (F.sum(F.col("heading").cast("int")).over(order) - first.cast("int")).cast("int"))
-    item = F.struct("page_number", "block_ord", "heading", "line", F.col("b"))
-    by = rows.groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    head = F.element_at("items", 1)
-    titled = by.withColumn("title", F.when(head["heading"], head["line"])).withColumn("level", F.when(head["heading"], head["b"]["heading_level"]))
+    item = F.struct("page_number", "block_ord", "heading", "path", "b")
+    whole = F.struct("page_number", "page.flat", "page.text")
+    rows = section_blocks(pages, strict)
+    by = rows.groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.when(~F.col("bare"), item))).alias("items"), F.array_sort(F.collect_list(F.when(F.col("bare"), whole))).alias("whole"))
+    head = F.get("items", F.lit(0))
     body = F.filter("items", lambda x: ~x["heading"])
     gap = lambda x, i: F.when(i == 0, "").when(x["b"]["block_type"] == "table", "\n\n").otherwise("\n")
-    join = F.array_join(F.transform(body, lambda x, i: F.concat(gap(x, i), x["line"])), "")
-    made = titled.select(
-        "doc_id", "section_no", F.col("title").alias("section_title"), "title", "level", join.alias("text"), head["b"]["page_start"].cast("int").alias("page_start"),
-        F.greatest(head["b"]["page_end"], F.array_max(F.transform(body, lambda x: x["b"]["page_end"]))).cast("int").alias("page_end"), F.transform("items", lambda x: x["b"]).alias("blocks"),
-    )
-    made = with_paths(made, strict)
-    made = made.select("doc_id", "section_no", "section_title", "heading_path", "text", "page_start", "page_end", "blocks")
-    texts = F.transform(F.array_sort(F.collect_list(F.when(X.strip(X.text_of("text")) != "", F.struct("page_number", "text")))), lambda x: x["text"])
-    flat = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "blocks"))), lambda x: flat_text(x["blocks"])), lambda x: x != ""), "\n\n")
-    span = pages.select("doc_id", "page_number", "text", F.transform(F.coalesce("blocks", F.array().cast(pages.schema["blocks"].dataType)), lambda b: b).alias("blocks"))
-    filled = F.max(F.exists(blocks, lambda b: X.strip(X.text_of(b["text"])) != ""))
-    whole = span.groupBy("doc_id").agg(filled.alias("filled"), F.coalesce(F.nullif(flat, F.lit("")), F.array_join(texts, "\n\n")).alias("text"), F.min("page_number").cast("int").alias("page_start"), F.max("page_number").cast("int").alias("page_end"))
-    whole = whole.filter("NOT filled").select("doc_id", F.lit(0).alias("section_no"), F.lit(None).cast("string").alias("section_title"), F.array().cast("array<string>").alias("heading_path"), "text", "page_start", "page_end", F.array().cast(pages.schema["blocks"].dataType).alias("blocks"))
+    join = F.array_join(F.transform(body, lambda x, i: F.concat(gap(x, i), _lines(x["b"]))), "")
+    of_pages = lambda name: F.array_join(F.transform("whole", lambda x: x[name]), "\n\n")
+    none = F.size("items") == 0
+    numbers = F.transform("whole", lambda x: x["page_number"])
     section_id = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":s:"), F.col("section_no").cast("string")), 256)
-    return made.unionByName(whole).withColumn("section_id", section_id).select("doc_id", "section_no", "section_id", "section_title", "heading_path", "text", "page_start", "page_end", "blocks")
+    return by.select(
+        "doc_id", "section_no", section_id.alias("section_id"), F.when(head["heading"], _lines(head["b"])).alias("section_title"), F.coalesce(head["path"], F.array().cast("array<string>")).alias("heading_path"),
+        F.when(none, F.coalesce(F.nullif(of_pages("flat"), F.lit("")), of_pages("text"))).otherwise(join).alias("text"),
+        F.when(none, F.array_min(numbers)).otherwise(head["b"]["page_start"]).cast("int").alias("page_start"),
+        F.when(none, F.array_max(numbers)).otherwise(F.greatest(head["b"]["page_end"], F.array_max(F.transform(body, lambda x: x["b"]["page_end"])))).cast("int").alias("page_end"),
+        F.transform("items", lambda x: x["b"]).alias("blocks"),
+    )

@@ -102,7 +102,13 @@ def _pieces(text: str, most: int) -> list[str]:
     solid = ~np.isin(chars, _WHITE)
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
-    sums = lambda flags: np.append(0, np.cumsum(flags))
+
+    def sums(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many flags there are before each word, and up to its end."""
+        upto = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, out=upto[1:])
+        return upto[starts], upto[ends]
+
     indic, latin = sums((chars >= 0x980) & (chars <= 0x9FF)), sums((chars >= 65) & (chars <= 90) | (chars >= 97) & (chars <= 122))
     length = np.append(0, np.cumsum(ends - starts + 1))  # of all words up to each, with a space after each
     words, out, i = text.split(), [], 0
@@ -112,7 +118,7 @@ def _pieces(text: str, most: int) -> list[str]:
         end = np.arange(low, high + 1)[: max(high + 1 - low, 0)]
         end = end[end <= len(words)]
         n = length[end] - length[i] - 1
-        by = np.where(indic[ends[end - 1]] - indic[starts[i]] >= latin[ends[end - 1]] - latin[starts[i]], 2.5, 4.0)
+        by = np.where(indic[1][end - 1] - indic[0][i] >= latin[1][end - 1] - latin[0][i], 2.5, 4.0)
         full = np.flatnonzero(np.floor(n / by) >= most)
         cut = int(end[full[0]]) if len(full) else len(words)
         out.append(" ".join(words[i:cut]))

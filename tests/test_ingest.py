@@ -306,3 +306,38 @@ def test_simple_variant(spark):
     assert [(r.chunk_index, r.text) for r in rows] == [(0, "Intro text here."), (1, "1. Title\nbody line more."), (2, "Next title")]
     rows = spark.createDataFrame([("q1?\nq2？\na2\nplain",), ("One. Two?\n\nThree",)], "t string").select(simple.simple_units(F.col("t")).alias("u"))
     assert [r.u for r in rows.collect()] == [["q1?", "q2？\na2", "plain"], ["One.", "Two?", "Three"]]
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_texts_are_not_gathered_by_document(spark):
+    """Windows and groups over whole documents hold headings and numbers; texts meet by section, in bounded batches."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(key)
+    made = chunks.draft_chunks(sections.detect_sections(blocks.classify_blocks(_corpus(spark))))
+    seen = 0
+    for node in _nodes(made._jdf.queryExecution().optimizedPlan()):
+        kind = node.nodeName()
+        by = node.partitionSpec() if kind == "Window" else node.groupingExpressions() if kind == "Aggregate" else None
+        if by is not None and by.size() == 1 and by.mkString(",").startswith("doc_id#"):
+            names = {x.split("#")[0].strip() for x in node.children().apply(0).output().mkString(",").split(",")}
+            assert not names & {"text", "blocks", "b", "line", "items", "page"}
+            seen += 1
+    assert seen
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == X.BATCH_ROWS
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == X.BATCH_BYTES
+
+
+def test_sections_over_bare_pages(spark):
+    """Bare pages count only where a document has no others; sections go on over pages; nulls are keys like others."""
+    blank = [block("paragraph", " ")]
+    p = make(spark, [("d", 1, "unread", blank), ("d", 2, "", [block("heading", "Title", 2), block("paragraph", "One.", 2)]), ("d", 3, "", [block("paragraph", "Two.", 3), block("heading", "Next", 3, 2), block("paragraph", "Three.", 3)]), ("e", 1, "first", []), ("f", 1, "kept", [block("paragraph", "")]), ("f", 2, "too", [block("paragraph", "", 2)]), (None, 1, "A null key.", None), ("g", 1, "", None)])
+    got = {(r.doc_id, r.section_no): (r.section_title, r.text, r.heading_path, r.page_start, r.page_end, len(r.blocks)) for r in sections.detect_sections(p).collect()}
+    assert got == {
+        ("d", 0): ("Title", "One.\nTwo.", ["Title"], 2, 3, 3), ("d", 1): ("Next", "Three.", ["Title", "Next"], 3, 3, 2), ("e", 0): ("first", "", ["first"], 1, 1, 1),
+        ("f", 0): (None, "kept\n\ntoo", [], 1, 2, 0), (None, 0): (None, "A null key.", [], 1, 1, 1), ("g", 0): (None, "", [], 1, 1, 0),
+    }
