@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Character classes that results depend on.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space, as all that is not other: single characters below U+0100 are a bitmap to the regex engine and looked up first.
+WHITE = "[^" + "".join(f"\\x{c:02x}" for c in range(0x100) if chr(c) not in WHITE_CHARS) + r"\u0100-\u167f\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\x{10ffff}]"
 INDIC = r"[\u0980-\u09ff]"
 LATIN = "[A-Za-z]"
 GARBAGE = r"\u0141-\u0142\u02a2\u02e4\u034b-\u034e\u0350-\u0361"
 CONTROL = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f"
 INVISIBLE = r"\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufffe-\uffff"
 WORD = r"[\p{L}\p{N}_]"
+#: Finds the first character that may be in CONTROL, INVISIBLE or GARBAGE, or a carriage return. Single characters below
+#: U+0100 are a bitmap to the regex engine, so that texts without such characters are passed over quickly.
+SUSPECT = "[^" + "".join(f"\\x{c:02x}" for c in (9, 10, *range(0x20, 0x7F), *range(0x80, 0x100))) + r"\u0100-\u0140\u0143-\u02a1\u0362-\u1fff\u2070-\ufefe]"
 PAGE_LABEL = "(?iu)^(?:পৃষ্ঠা|পৃ\\.|Page|P\\.?)(?U)[\\s\\x1c-\\x1f]*\\p{Nd}+[\\s\\x1c-\\x1f./-]*$"
 PAGE_DIGITS = r"(?U)^[\p{Nd}./\s\x1c-\x1f-]{1,12}$"
 LIST_ITEM = "(?U)^[\\s\\x1c-\\x1f]*(?:[-•*]|\\p{Nd}+[.)]|[(][a-zA-Z০-৯][)]|\\([ivx]+\\))[\\s\\x1c-\\x1f]+"
@@ -75,7 +79,7 @@ def share_of(m: Column, script: str) -> Column:
 
 def indic_ratio(c: Column | str) -> Column:
     """Share of Bengali-Assamese characters among those that are not white space; 0 if there are none."""
-    return let(shape(c), lambda m: share_of(m, "indic"))
+    return F.when(text_of(c).rlike(INDIC), let(shape(c), lambda m: share_of(m, "indic"))).otherwise(F.lit(0.0))
 
 
 def latin_ratio(c: Column | str) -> Column:
@@ -156,7 +160,7 @@ def fold(c: Column | str) -> Column:
 
 def _unwrap(c: Column, drop: str) -> Column:
     """Without the characters of class ``drop``, line ends as LF, words that a hyphen parts at a line end joined."""
-    c = F.regexp_replace(F.regexp_replace(c, f"[{drop}]", ""), r"\r\n?", "\n")
+    c = let(c, lambda x: F.when(x.rlike(SUSPECT), F.regexp_replace(F.regexp_replace(x, f"[{drop}]", ""), r"\r\n?", "\n")).otherwise(x))
     joined = lambda x: F.regexp_replace(x, rf"({WORD})[-\xad]\n({WORD})", "$1$2")
     return let(c, lambda x: F.when(x.contains("-\n") | x.contains("\xad\n"), joined(x)).otherwise(x))
 

@@ -24,7 +24,7 @@ def strip_headers(pages: DataFrame, min_pages: int = 3, strip_blocks: bool = Fal
     """``pages`` without lines that repeat or are page numbers. Blocks keep theirs unless ``strip_blocks``."""
     by = repeated_lines(pages, min_pages).groupBy("doc_id").agg(F.collect_set("line").alias("_furniture"))
     joined = pages.join(by, "doc_id", "left").withColumn("_furniture", F.coalesce("_furniture", F.array().cast("array<string>")))
-    drop = lambda x: F.array_contains(F.col("_furniture"), X.normalize_line(x)) | X.is_page_number(X.strip(x))
+    drop = lambda x: F.when(F.size("_furniture") > 0, F.array_contains(F.col("_furniture"), X.normalize_line(x))).otherwise(False) | X.is_page_number(X.strip(x))
     kept = F.filter(F.split(X.text_of("text"), "\n"), lambda x: ~drop(x))
     out = joined.withColumn("text", X.strip(F.array_join(kept, "\n")))
     if strip_blocks:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULT, EngineConfig
 from lexloom.functions import text as X
+from lexloom.operators.units import counted
 
 #: A page with at least so many characters has text of its own; least share of a script in real text.
 MIN_TEXT, MIN_SHARE, LAYER_SHARE = 20, 0.15, 0.20
@@ -132,7 +133,8 @@ def merge_parsed_with_ocr(parsed: DataFrame, ocr: DataFrame, composed: bool = Fa
 
 def document_language(pages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(doc_id, language) by script shares of all pages together; counts are summed, texts never joined."""
-    shapes = pages.select("doc_id", X.shape("text").alias("m"))
+    X.bound_batches(pages.sparkSession)
+    shapes = pages.select("doc_id", counted(F.col("text")).alias("m"))
     sums = shapes.groupBy("doc_id").agg(F.sum("m.indic").alias("i"), F.sum("m.latin").alias("a"), F.sum("m.solid").alias("n"))
     share = lambda c: F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col(c) / F.col("n"))
     i, a = share("i") >= MIN_SHARE, share("a") >= MIN_SHARE

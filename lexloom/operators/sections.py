@@ -97,11 +97,12 @@ def section_blocks(pages: DataFrame, strict: bool = True) -> DataFrame:
     first = F.coalesce(F.get("heads", F.lit(0))["ord"] == F.col("begin"), F.lit(False))
     numbers = number_pages(slim.select("doc_id", "page_number", "bare", first.alias("first"), "heads"), strict)
     numbers = numbers.select(F.col("doc_id").alias("_doc"), F.col("page_number").alias("_page"), "at", "empty", "heads").hint("shuffle_hash")
-    of = pages.select("doc_id", "page_number", "text", "blocks")
+    # texts meet the numbers once, in their parts, or whole for bare pages
+    of = pages.select("doc_id", "page_number", parts.alias("parts"), page.alias("page")).withColumn("bare", F.size("parts") == 0).withColumn("page", F.when(F.col("bare"), F.col("page")))
     rows = of.join(numbers, of["doc_id"].eqNullSafe(F.col("_doc")) & of["page_number"].eqNullSafe(F.col("_page")))
-    rows = rows.select("doc_id", "page_number", "at", "empty", "heads", parts.alias("parts"), page.alias("page")).withColumn("bare", F.size("parts") == 0).filter("empty OR NOT bare")
+    rows = rows.select("doc_id", "page_number", "at", "empty", "heads", "parts", "page", "bare").filter("empty OR NOT bare")
     one = F.when(F.col("bare"), F.array(F.lit(None).cast(rows.schema["parts"].dataType.elementType))).otherwise(F.col("parts"))
-    rows = rows.select("doc_id", "page_number", "at", "heads", "bare", F.when(F.col("bare"), F.col("page")).alias("page"), F.explode(one).alias("x"))
+    rows = rows.select("doc_id", "page_number", "at", "heads", "bare", "page", F.explode(one).alias("x"))
     n = F.size(F.filter("heads", lambda h: h["ord"] <= F.col("x.ord")))
     rows = rows.withColumn("n", F.when(F.col("bare") | (F.size("heads") == 0), 0).otherwise(n)).withColumn("last", F.get("heads", F.col("n") - 1))
     heading = F.coalesce(F.col("last.ord") == F.col("x.ord"), F.lit(False))

@@ -1,13 +1,17 @@
 """Units of text, the pieces that chunks are packed of: how sections part into them, and which of them share a chunk.
 
 Runs of blocks are numbered by windows; which units share a chunk is a fold over their sizes, and texts are sliced once
-by the places it finds. All is columns but for the cuts of long texts, which are found in numpy.
+by the places it finds. All is columns but for the cleaning, the counts and the cuts of units, one pass over Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +22,14 @@ from lexloom.functions import text as X
 KEEP_LINES = ("qa", "list", "table")
 SECTION = ["doc_id", "section_no"]
 _UNIT = "array<struct<kind:string,text:string>>"
-_WHITE = np.array([ord(c) for c in X.WHITE_CHARS], np.uint32)
+_WHITE = np.zeros(0x3002, bool)  # by code point, those above as the last
+_WHITE[[ord(c) for c in X.WHITE_CHARS]] = True
+_LATIN_BYTES = bytes([*range(65, 91), *range(97, 123)])
+_WHITE_BYTES, _WIDE_WHITE = bytes(ord(c) for c in X.WHITE_CHARS if c < "\x80"), [c for c in X.WHITE_CHARS if c >= "\x80"]
+_CONTROL_BYTES = bytes([*range(9), 11, 12, *range(14, 32), 127])
+_DROPPED = re.compile(f"[{X.CONTROL}{X.INVISIBLE}{X.GARBAGE}]")
+#: A cleaned piece of a unit: characters, those that are not white space, those of either script.
+PIECES = "array<struct<text:string,n:int,solid:int,indic:int,latin:int>>"
 _RANGES = "array<struct<first:int,own:int,end:int>>"
 
 
@@ -96,10 +107,11 @@ def section_units(sections: DataFrame, strict: bool = True) -> DataFrame:
     return rows.groupBy(*SECTION, "unit_no").agg(F.first("of").alias("of"), F.min_by("kind", "n").alias("kind"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
 
 
-def _pieces(text: str, most: int) -> list[str]:
-    """``split_long`` of one text, by sums over its characters: a cut is searched where the sums allow it only."""
+def _cuts(text: str, most: int) -> list[tuple[str, int, int, int, int]]:
+    """``split_long`` of one text, with the counts of each piece, by sums over its characters: a cut is searched where
+    the sums allow it only."""
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    solid = ~np.isin(chars, _WHITE)
+    solid = ~_WHITE[np.minimum(chars, len(_WHITE) - 1)]
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
 
@@ -109,7 +121,7 @@ def _pieces(text: str, most: int) -> list[str]:
         np.cumsum(flags, out=upto[1:])
         return upto[starts], upto[ends]
 
-    indic, latin = sums((chars >= 0x980) & (chars <= 0x9FF)), sums((chars >= 65) & (chars <= 90) | (chars >= 97) & (chars <= 122))
+    indic, latin = sums((chars - 0x980) <= 0x7F), sums(((chars | 32) - 97) < 26)  # unsigned: what lies below wraps around
     length = np.append(0, np.cumsum(ends - starts + 1))  # of all words up to each, with a space after each
     words, out, i = text.split(), [], 0
     while i < len(words):
@@ -121,11 +133,100 @@ def _pieces(text: str, most: int) -> list[str]:
         by = np.where(indic[1][end - 1] - indic[0][i] >= latin[1][end - 1] - latin[0][i], 2.5, 4.0)
         full = np.flatnonzero(np.floor(n / by) >= most)
         cut = int(end[full[0]]) if len(full) else len(words)
-        out.append(" ".join(words[i:cut]))
+        size = int(length[cut] - length[i] - 1)
+        out.append((" ".join(words[i:cut]), size, size - (cut - i - 1), int(indic[1][cut - 1] - indic[0][i]), int(latin[1][cut - 1] - latin[0][i])))
         i = cut
     return out
 
 
+def _pieces(text: str, most: int) -> list[str]:
+    return [p[0] for p in _cuts(text, most)]
+
+
+def _clean(text: str, lines: bool) -> str:
+    """``text.clean_text`` of an NFC text."""
+    if text.isascii():
+        raw = text.encode()
+        bare = raw.translate(None, _CONTROL_BYTES)
+        text = text if len(bare) == len(raw) else bare.decode()
+    else:
+        text = _DROPPED.sub("", text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "-\n" in text or "\xad\n" in text:
+        text = re.sub(r"(\w)[-\xad]\n(\w)", r"\1\2", text)
+    if "\t" in text or "  " in text:
+        blanks = lambda t: re.sub(r"[ \t]{2,}", " ", t)
+    else:
+        blanks = str
+    if lines:
+        return "\n".join(x for x in (blanks(y).strip(X.WHITE_CHARS) for y in text.split("\n")) if x).strip(X.WHITE_CHARS)
+    if "\n" in text:
+        text = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<!\n)\n(?!\n)", " ", text))
+        blanks = lambda t: re.sub(r"[ \t]{2,}", " ", t)
+    return blanks(text).strip(X.WHITE_CHARS)
+
+
+def _counts(text: str) -> tuple[int, int, int, int]:
+    """(n, solid, indic, latin) of a text, as ``text.shape``."""
+    raw = text.encode()
+    white = len(raw) - len(raw.translate(None, _WHITE_BYTES))
+    latin = len(raw) - len(raw.translate(None, _LATIN_BYTES))
+    if len(raw) == len(text):
+        return len(text), len(text) - white, 0, latin
+    white += sum(text.count(c) for c in _WIDE_WHITE)
+    return len(text), len(text) - white, raw.count(b"\xe0\xa6") + raw.count(b"\xe0\xa7"), latin  # U+0980 to U+09FF
+
+
+def counted(text: Column) -> Column:
+    """``text.shape`` of texts, null as empty, in a pass over Arrow batches."""
+
+    @F.arrow_udf("struct<n:int,solid:int,indic:int,latin:int>")
+    def count(texts: pa.Array) -> pa.Array:
+        rows = [_counts(t.as_py() or "") for t in texts]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(4)], ["n", "solid", "indic", "latin"])
+
+    return count(text)
+
+
+def _worth(text: str, lines: bool, least: float, most: int) -> list[tuple[str, int, int, int, int]]:
+    """The pieces of a unit, none if it is not worth a vector. A cleaned text has no garbage, whose share is 0."""
+    text = _clean(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text), lines)
+    if len(text) < 10:
+        return []
+    n, solid, indic, latin = _counts(_clean(text, False))
+    i, a = (indic / solid, latin / solid) if solid else (0.0, 0.0)
+    quality = 0.0 if n < 5 else max(0.0, min(1.0, 0.5 * max(i, a) + 0.3 + 0.2 * min(a + i, 1.0)))
+    return _sized(text, most) if quality >= least else []
+
+
+def _sized(text: str, most: int) -> list[tuple[str, int, int, int, int]]:
+    n, solid, indic, latin = _counts(text)
+    if max(1, int(n / (2.5 if indic >= latin else 4.0))) > most:
+        return _cuts(text, most)
+    return [(text, n, solid, indic, latin)]
+
+
+def worth_pieces(text: Column, lines: Column, least: float, most: int) -> Column:
+    """The cleaned pieces of at most ``most`` tokens, cut as by ``split_long``, of units that ``is_embeddable`` keeps.
+
+    The same as ``clean_text``, ``is_embeddable``, ``split_long`` and ``shape``, in one pass over Arrow batches.
+    """
+
+    @F.arrow_udf(PIECES)
+    def made(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        at, flat = [0], ([], [], [], [], [])
+        for t, keep in zip(texts, lines):
+            for piece in _worth(t.as_py() or "", keep.as_py(), least, most):
+                for column, value in zip(flat, piece):
+                    column.append(value)
+            at.append(len(flat[0]))
+        fields = [pa.array(c, pa.string() if k == 0 else pa.int32()) for k, c in enumerate(flat)]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, ["text", "n", "solid", "indic", "latin"]))
+
+    return made(text, lines)
+
+
 def split_long(text: Column, most: int) -> Column:
     """Pieces of a text of more than ``most`` tokens, each cut after the word with which it reaches that many.
 

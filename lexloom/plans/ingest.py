@@ -22,30 +22,38 @@ class Ingested:
     chunks: DataFrame
     languages: DataFrame
     statuses: DataFrame
-    staged: Staged
+    staged: list[Staged]
 
     def release(self) -> None:
         """Delete what was written for the branches of the plan that share it."""
-        self.staged.release()
+        for x in self.staged:
+            x.release()
 
 
 def ingest(parsed: DataFrame, ocr: DataFrame | None = None, tables: DataFrame | None = None, bookmarks: DataFrame | None = None, config: EngineConfig = DEFAULT) -> Ingested:
     """Profile, tables, OCR merge, furniture, block types, sections and chunks of parsed pages.
 
     A document without chunks has the status failed and the error "No embeddable text extracted", others are ready.
-    Typed pages are written to the shared folder, as several branches read them; ``release`` deletes them.
+    Merged pages and chunk drafts are written to the shared folder, as several branches read them; ``release`` deletes
+    them.
     """
+    staged: list[Staged] = []
+
+    def stage(label: str, rows: DataFrame) -> DataFrame:
+        staged.append(Staged(rows, label))
+        return staged[-1].table
+
     profiles = pages.profile(parsed, tables, bookmarks)
     found = pages.route_tables(parsed, tables, profiles) if tables is not None else parsed
     if ocr is None:
         ocr = found.select("doc_id", "page_number", "text", "confidence").limit(0)
     merged = pages.merge_parsed_with_ocr(found, ocr)
-    staged = Staged(blocks.classify_blocks(headers.strip_headers(merged, strip_blocks=not config.strict)), "pages")
-    typed = staged.table
+    # blocks are made of lines again by each branch that reads them: they would double what is written
+    typed = blocks.classify_blocks(stage("pages", headers.strip_headers(merged, strip_blocks=not config.strict)))
     split = sections.detect_sections(typed, config.strict)
     languages = pages.document_language(typed, config)
     confidences = ocr.select("doc_id", "page_number", "confidence")
-    made = chunks.chunk_sections(split, languages, confidences, config)
+    made = chunks.chunk_sections(split, languages, confidences, config, lambda rows: stage("drafts", rows))
     some = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     statuses = profiles.select("doc_id").join(some, "doc_id", "left").select("doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(F.col("n_chunks") > 0, "ready").otherwise("failed").alias("status"), F.when(F.col("n_chunks").isNull(), "No embeddable text extracted").alias("error_message"))
     return Ingested(profiles, typed, split, made, languages, statuses, staged)

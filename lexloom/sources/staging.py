@@ -29,7 +29,7 @@ class Staged:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/lexloom-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         fs, path = self._at()
         fs.deleteOnExit(path)
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
