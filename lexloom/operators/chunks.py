@@ -141,12 +141,8 @@ def neighbour_links(chunks: DataFrame, doc: str = "doc_id", index: str = "chunk_
     return chunks.withColumn("prev_chunk_id", F.lag(key).over(w)).withColumn("next_chunk_id", F.lead(key).over(w))
 
 
-def _plan(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | None, config: EngineConfig) -> DataFrame:
-    """(_doc, _section, groups, base, total, _default, ocr_confidence) of sections.
-
-    Exact dedup, merge of tiny ones, noise filter and numbers, by measures alone: groups are the drafts of each chunk,
-    base the number of its section's first chunk, total the count of its document's. No text is read.
-    """
+def _groups(drafts: DataFrame, config: EngineConfig) -> DataFrame:
+    """(doc_id, section_no, page_start, groups): the drafts of each chunk that is kept, by measures alone."""
     m = drafts.select(*U.SECTION, "page_start", F.posexplode("measures").alias("draft_no", "m"))
     first = F.min(F.struct("section_no", "draft_no", "page_start", F.col("m").dropFields("text_hash").alias("m")))
     kept = m.groupBy("doc_id", F.col("m.text_hash").alias("text_hash")).agg(first.alias("d")).select("doc_id", "d.*")
@@ -159,7 +155,21 @@ def _plan(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | None
         return F.struct(F.transform(g, lambda x: x["draft_no"]).alias("drafts"), total("token_count").alias("token_count"), F.array_min(F.transform(g, lambda x: x["m"]["quality_score"])).alias("quality_score"), (total("n") + 2 * (F.size(g) - 1)).alias("n"))
 
     good = lambda g: (g["n"] >= 10) & (g["quality_score"] >= config.min_quality) & (g["token_count"] <= config.chunk_max)
-    by = by.select(*U.SECTION, "page_start", F.filter(F.transform("heads", group), good).alias("groups"))  # no filter of these: pushed down, it would fold anew for each group
+    return by.select(*U.SECTION, "page_start", F.filter(F.transform("heads", group), good).alias("groups"))  # no filter of these: pushed down, it would fold anew for each group
+
+
+def chunk_counts(drafts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(doc_id, n_chunks) of documents that keep chunks of ``measured_drafts``, without reading a text."""
+    return _groups(drafts, config).groupBy("doc_id").agg(F.sum(F.size("groups")).alias("n_chunks")).filter("n_chunks > 0")
+
+
+def _plan(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | None, config: EngineConfig) -> DataFrame:
+    """(_doc, _section, groups, base, total, _default, ocr_confidence) of sections.
+
+    Exact dedup, merge of tiny ones, noise filter and numbers, by measures alone: groups are the drafts of each chunk,
+    base the number of its section's first chunk, total the count of its document's. No text is read.
+    """
+    by = _groups(drafts, config)
     n, whole = F.size("groups"), Window.partitionBy("doc_id")
     upto = whole.orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
     by = by.select(*U.SECTION, "page_start", "groups", (F.sum(n).over(upto) - n).cast("int").alias("base"), F.sum(n).over(whole).cast("int").alias("total"))
@@ -191,13 +201,16 @@ def measured_drafts(sections: DataFrame, config: EngineConfig = DEFAULT) -> Data
     return rows.select(*U.SECTION, "of.*", each("block_type").alias("kinds"), each("text").alias("texts"), F.transform("chunks", measures).alias("measures"))
 
 
-def chunk_sections(sections: DataFrame, languages: DataFrame, confidences: DataFrame | None = None, config: EngineConfig = DEFAULT, stage: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """Sections to chunks: drafts, measures, exact dedup, merge of tiny ones, noise filter, numbers and links.
+def chunk_sections(sections: DataFrame, languages: DataFrame, confidences: DataFrame | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Sections to chunks: drafts, measures, exact dedup, merge of tiny ones, noise filter, numbers and links."""
+    return finished_chunks(measured_drafts(sections, config), languages, confidences, config)
+
+
+def finished_chunks(drafts: DataFrame, languages: DataFrame, confidences: DataFrame | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Chunks of ``measured_drafts``, which are read twice.
 
-    Which drafts make up which chunk follows from their measures, and only then do texts meet it, by section. ``stage``
-    may write the drafts, which are read twice.
+    Which drafts make up which chunk follows from their measures, and only then do texts meet it, by section.
     """
-    drafts = stage(measured_drafts(sections, config))
     plan = _plan(drafts, languages, confidences, config).hint("shuffle_hash")
     rows = drafts.join(plan, drafts["doc_id"].eqNullSafe(F.col("_doc")) & (drafts["section_no"] == F.col("_section")))
     of = [c for c in drafts.columns if c not in (*U.SECTION, "kinds", "texts", "measures")]

@@ -53,8 +53,9 @@ def ingest(parsed: DataFrame, ocr: DataFrame | None = None, tables: DataFrame |
     split = sections.detect_sections(typed, config.strict)
     languages = pages.document_language(typed, config)
     confidences = ocr.select("doc_id", "page_number", "confidence")
-    made = chunks.chunk_sections(split, languages, confidences, config, lambda rows: stage("drafts", rows))
-    some = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    drafts = stage("drafts", chunks.measured_drafts(split, config))
+    made = chunks.finished_chunks(drafts, languages, confidences, config)
+    some = chunks.chunk_counts(drafts, config)
     statuses = profiles.select("doc_id").join(some, "doc_id", "left").select("doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(F.col("n_chunks") > 0, "ready").otherwise("failed").alias("status"), F.when(F.col("n_chunks").isNull(), "No embeddable text extracted").alias("error_message"))
     return Ingested(profiles, typed, split, made, languages, statuses, staged)
 
