@@ -29,7 +29,13 @@ class Staged:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/lexloom-{label}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # no plan reads this write's shuffle files again
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         fs, path = self._at()
         fs.deleteOnExit(path)
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
